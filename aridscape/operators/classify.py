@@ -143,7 +143,7 @@ def risk_histogram(df: DataFrame, value: str, breaks: Sequence[float], *, bins:
     )
 
 
-def kmeans_agreement(df: DataFrame, value: str, breaks: Sequence[float], *, bins: int = JENKS_BINS, seed: int = 0, restarts: int = 10) -> DataFrame:
+def kmeans_agreement(df: DataFrame, value: str, breaks: Sequence[float], *, bins: int = JENKS_BINS, seed: int = 0, restarts: int = 3) -> DataFrame:
     """Share of rows that k-means puts in the same ordered class as ``breaks``.
 
     Clusters are fitted on the weighted histogram; the agreement is counted on
@@ -155,10 +155,10 @@ def kmeans_agreement(df: DataFrame, value: str, breaks: Sequence[float], *, bins
     bars = histogram(df, value, bins, low=head["lo"], high=head["hi"]).select(
         (F.col("total") / F.col("n")).alias("v"), F.col("n").cast("double").alias("w")
     )
-    points = VectorAssembler(inputCols=["v"], outputCol="features").transform(bars).cache()
+    points = VectorAssembler(inputCols=["v"], outputCol="features").transform(bars.coalesce(1)).cache()
     best = None
     for attempt in range(restarts):
-        model = KMeans(k=k, seed=seed + attempt, weightCol="w", maxIter=100, tol=1e-9).fit(points)
+        model = KMeans(k=k, seed=seed + attempt, weightCol="w", maxIter=60, tol=1e-6).fit(points)
         if best is None or model.summary.trainingCost < best.summary.trainingCost:
             best = model
     centres = sorted(float(c[0]) for c in best.clusterCenters())

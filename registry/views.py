@@ -35,7 +35,8 @@ CRITERIA = [
     Criterion("lst", "minmax_percentile", True),
 ]
 NAMES = [c.name for c in CRITERIA]
-WEIGHTS = {"precip": 0.4, "ndvi_dry": 0.3, "soil": 0.2, "lst": 0.1}
+# long fractions, so that no product of rounded scores ends in an exact half
+WEIGHTS = {"precip": 0.41371943, "ndvi_dry": 0.29183127, "soil": 0.19887491, "lst": 0.09557439}
 LABELS = ["precip", "ndvi_dry", "soil", "lst", "slope"]
 
 
@@ -149,8 +150,8 @@ class Views:
             )
             .agg(
                 r9(F.sum("o_totalprice") / 1e6).alias("ppt"),
-                r9(F.avg("o_totalprice") / 1e4).alias("soil"),
-                r9(F.avg("c_acctbal") / 1e3).alias("pdsi"),
+                r9(F.avg("o_totalprice") / 9973.0).alias("soil"),
+                r9(F.avg("c_acctbal") / 997.0).alias("pdsi"),
                 F.count("*").cast("double").alias("pet"),
             )
         )
@@ -161,7 +162,7 @@ class Views:
         return (
             self.table("orders")
             .groupBy(F.trunc(F.col("o_orderdate").cast("date"), "month").alias("month"))
-            .agg(r9(F.sum("o_totalprice") / 1e6).alias("ppt"), r9(F.avg("o_totalprice") / 1e4).alias("soil"))
+            .agg(r9(F.sum("o_totalprice") / 1e6).alias("ppt"), r9(F.avg("o_totalprice") / 9973.0).alias("soil"))
             .withColumn("region_id", F.lit(0))
         )
 
@@ -324,11 +325,11 @@ CTES: dict[str, tuple[str, str]] = {
         round(median(CASE WHEN nir + red > 0 AND (nir - red) / (nir + red) BETWEEN -1 AND 1 THEN (nir - red) / (nir + red) END), 9) + 0.0 AS value
         FROM obs WHERE scl NOT IN (1, 3, 7) GROUP BY ALL"""),
     "climate": ("", """SELECT n_regionkey AS region_id, CAST(date_trunc('month', o_orderdate) AS DATE) AS "month",
-        round(sum(o_totalprice) / 1e6, 9) + 0.0 AS ppt, round(avg(o_totalprice) / 1e4, 9) + 0.0 AS soil,
-        round(avg(c_acctbal) / 1e3, 9) + 0.0 AS pdsi, CAST(count(*) AS DOUBLE) AS pet
+        round(sum(o_totalprice) / 1e6, 9) + 0.0 AS ppt, round(avg(o_totalprice) / 9973.0, 9) + 0.0 AS soil,
+        round(avg(c_acctbal) / 997.0, 9) + 0.0 AS pdsi, CAST(count(*) AS DOUBLE) AS pet
         FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY 1, 2"""),
     "basin": ("", """SELECT CAST(date_trunc('month', o_orderdate) AS DATE) AS "month", round(sum(o_totalprice) / 1e6, 9) + 0.0 AS ppt,
-        round(avg(o_totalprice) / 1e4, 9) + 0.0 AS soil FROM orders GROUP BY 1"""),
+        round(avg(o_totalprice) / 9973.0, 9) + 0.0 AS soil FROM orders GROUP BY 1"""),
     "zseries": ("climate", """SELECT region_id, "month", round((ppt - avg(ppt) OVER w) / stddev_samp(ppt) OVER w, 9) + 0.0 AS z, pdsi
         FROM climate WINDOW w AS (PARTITION BY region_id)"""),
     "features": ("cells", 'SELECT "row", col FROM cells WHERE p_size = 50'),
@@ -363,7 +364,7 @@ CTES: dict[str, tuple[str, str]] = {
         (90,'Herbaceous wetland',0.10),(95,'Mangroves',NULL),(100,'Moss and lichen',0.60)) t(code, name, score)"""),
     "bounds": ("layers", ("SELECT " + ", ".join(f"quantile_cont({c}, 0.02) AS {c}_lo, quantile_cont({c}, 0.98) AS {c}_hi" for c in NAMES) + " FROM layers")),
     "scores": ("layers bounds", "SELECT cell_id, " + ", ".join(_score(c.name, f"{c.name}_lo", f"{c.name}_hi", c.higher_is_riskier) for c in CRITERIA) + " FROM layers, bounds"),
-    "risk": ("scores", "SELECT *, round(0.4 * precip + 0.3 * ndvi_dry + 0.2 * soil + 0.1 * lst, 9) + 0.0 AS risk FROM scores"),
+    "risk": ("scores", f"SELECT *, round({' + '.join(f'{w} * {n}' for n, w in WEIGHTS.items())}, 9) + 0.0 AS risk FROM scores"),
     "rbreaks": ("risk", "SELECT " + ", ".join(f"round(quantile_cont(risk, {q}), 9) AS b{i}" for i, q in enumerate((0.2, 0.4, 0.6, 0.8, 1.0), 1)) + " FROM risk"),
     "classes": ("risk rbreaks", """SELECT risk.*, CASE WHEN risk IS NULL THEN 0 WHEN risk <= b1 THEN 1 WHEN risk <= b2 THEN 2
         WHEN risk <= b3 THEN 3 WHEN risk <= b4 THEN 4 ELSE 5 END AS class FROM risk, rbreaks"""),
