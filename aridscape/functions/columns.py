@@ -18,6 +18,15 @@ def ratio(numerator: Column, denominator: Column) -> Column:
     return F.try_divide(numerator, F.when(denominator != 0, denominator))
 
 
+def correlation(x: Column, y: Column) -> Column:
+    """Pearson correlation over jointly defined rows; null where a side is constant.
+
+    The built-in aggregate divides by zero there, which is an error in ANSI mode.
+    """
+    both_x, both_y = F.when(y.isNotNull(), x), F.when(x.isNotNull(), y)
+    return ratio(F.covar_pop(both_x, both_y), F.stddev_pop(both_x) * F.stddev_pop(both_y))
+
+
 def defined(columns: Iterable[Column]) -> Column:
     """True where every column is non-null."""
     result = F.lit(True)

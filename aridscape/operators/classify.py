@@ -5,8 +5,6 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -143,26 +141,39 @@ def risk_histogram(df: DataFrame, value: str, breaks: Sequence[float], *, bins:
     )
 
 
-def kmeans_agreement(df: DataFrame, value: str, breaks: Sequence[float], *, bins: int = JENKS_BINS, seed: int = 0, restarts: int = 3) -> DataFrame:
+def _weighted_centres(v: np.ndarray, w: np.ndarray, k: int, restarts: int, seed: int) -> list[float]:
+    """Best of several one-dimensional k-means runs on weighted bars."""
+    rng = np.random.default_rng(seed)
+    best, best_cost = None, np.inf
+    for _ in range(restarts):
+        centres = np.sort(rng.choice(v, size=k, replace=False, p=w / w.sum()))
+        for _ in range(300):
+            nearest = np.searchsorted((centres[:-1] + centres[1:]) / 2, v)
+            mass = np.bincount(nearest, w, minlength=k)
+            moved = np.sort(np.where(mass > 0, np.bincount(nearest, w * v, minlength=k) / np.maximum(mass, 1e-300), centres))
+            settled = np.allclose(moved, centres, rtol=0, atol=1e-12)
+            centres = moved
+            if settled:
+                break
+        cost = float((w * (v - centres[np.searchsorted((centres[:-1] + centres[1:]) / 2, v)]) ** 2).sum())
+        if cost < best_cost:
+            best, best_cost = centres, cost
+    return best.tolist()
+
+
+def kmeans_agreement(df: DataFrame, value: str, breaks: Sequence[float], *, bins: int = JENKS_BINS, seed: int = 0, restarts: int = 10) -> DataFrame:
     """Share of rows that k-means puts in the same ordered class as ``breaks``.
 
-    Clusters are fitted on the weighted histogram; the agreement is counted on
-    every row. Cluster borders are midpoints of neighbouring centres, so the
-    comparison is a plain projection.
+    The clusters are fitted on the histogram the cluster reduced the data to;
+    the agreement is counted on every row. In one dimension a cluster ends
+    halfway between neighbouring centres, so membership is a plain projection.
     """
-    k = len(breaks)
     head = df.agg(F.min(value).alias("lo"), F.max(value).alias("hi")).first()
     bars = histogram(df, value, bins, low=head["lo"], high=head["hi"]).select(
         (F.col("total") / F.col("n")).alias("v"), F.col("n").cast("double").alias("w")
-    )
-    points = VectorAssembler(inputCols=["v"], outputCol="features").transform(bars.coalesce(1)).cache()
-    best = None
-    for attempt in range(restarts):
-        model = KMeans(k=k, seed=seed + attempt, weightCol="w", maxIter=60, tol=1e-6).fit(points)
-        if best is None or model.summary.trainingCost < best.summary.trainingCost:
-            best = model
-    centres = sorted(float(c[0]) for c in best.clusterCenters())
-    points.unpersist()
+    ).orderBy("v").collect()
+    v, w = (np.array([r[c] for r in bars]) for c in ("v", "w"))
+    centres = _weighted_centres(v, w, len(breaks), restarts, seed)
     borders = [(a + b) / 2 for a, b in zip(centres, centres[1:])]
     same = apply_breaks(F.col(value), breaks) == apply_breaks(F.col(value), [*borders, float("inf")])
     return df.where(F.col(value).isNotNull()).agg(F.avg(same.cast("double")).alias("agreement"), F.count("*").alias("n"))

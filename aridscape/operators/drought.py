@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from aridscape.functions import special
-from aridscape.functions.columns import half_open_category, ratio
+from aridscape.functions.columns import correlation, half_open_category, ratio
 from aridscape.functions.special import gamma_shape_mle
 
 # Index classes as (exclusive upper bound, label).
@@ -223,7 +223,7 @@ def drought_events(
 def cross_check(df: DataFrame, a: str, b: str, *, keys: Sequence[str] = REGION, min_months: int = 120) -> DataFrame:
     joint = df.where(F.col(a).isNotNull() & F.col(b).isNotNull())
     return joint.groupBy(*keys).agg(
-        F.count("*").alias("n"), F.when(F.count("*") >= min_months, F.corr(a, b)).alias("r")
+        F.count("*").alias("n"), F.when(F.count("*") >= min_months, correlation(F.col(a), F.col(b))).alias("r")
     )
 
 

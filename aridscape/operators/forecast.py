@@ -9,7 +9,7 @@ from pyspark.ml.regression import LinearRegression
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from aridscape.functions.columns import ratio
+from aridscape.functions.columns import correlation, ratio
 from aridscape.operators.stats import spearman
 
 REGION = ("region_id",)
@@ -49,7 +49,7 @@ def lagged(df: DataFrame, value: str, lead: int, *, keys: Sequence[str] = REGION
 def lag_correlation(train: DataFrame, value: str, lead: int, *, keys: Sequence[str] = REGION, order: str = "month", min_pairs: int = 12) -> DataFrame:
     pairs = train.withColumn("_lag", lagged(train, value, lead, keys=keys, order=order))
     n = F.count("_lag")
-    return pairs.groupBy(*keys).agg(F.when(n >= min_pairs, F.corr(value, "_lag")).otherwise(0.0).alias("rho"))
+    return pairs.groupBy(*keys).agg(F.when(n >= min_pairs, correlation(F.col(value), F.col("_lag"))).otherwise(0.0).alias("rho"))
 
 
 def skill(
@@ -65,7 +65,7 @@ def skill(
     hit = (p <= drought) & (y <= drought)
     sums = rows.groupBy(*keys).agg(
         F.count("*").alias("n"),
-        F.corr(truth, prediction).alias("_r"),
+        correlation(y, p).alias("_r"),
         F.stddev_pop(p).alias("_sp"),
         F.avg((p - y) * (p - y)).alias("_mse"),
         F.avg(F.abs(p - y)).alias("mae"),
@@ -115,7 +115,7 @@ def benchmark(
     pair = F.col("is_train") & F.col("lag").isNotNull()
     n_pairs = F.sum(pair.cast("long"))
     rho = tall.groupBy(*keys, "lead").agg(
-        F.when(n_pairs >= min_pairs, F.corr(F.when(pair, F.col("truth")), F.when(pair, F.col("lag")))).otherwise(0.0).alias("rho")
+        F.when(n_pairs >= min_pairs, correlation(F.when(pair, F.col("truth")), F.when(pair, F.col("lag")))).otherwise(0.0).alias("rho")
     )
     test = tall.where(~F.col("is_train")).join(rho, [*keys, "lead"])
     methods = F.array(
@@ -205,7 +205,7 @@ def describe_predictors(dataset: DataFrame, predictors: Sequence[str] = PREDICTO
     entries = F.array(*[F.struct(F.lit(p).alias("predictor"), F.col(p).cast("double").alias("x")) for p in predictors])
     tall = dataset.select(*keys, "target", F.explode(entries).alias("e")).select(*keys, "target", "e.predictor", "e.x")
     joint = tall.where(F.col("x").isNotNull() & F.col("target").isNotNull())
-    pearson = joint.groupBy(*keys, "predictor").agg(F.count("*").alias("n"), F.corr("x", "target").alias("pearson"))
+    pearson = joint.groupBy(*keys, "predictor").agg(F.count("*").alias("n"), correlation(F.col("x"), F.col("target")).alias("pearson"))
     rank = spearman(joint, "x", "target", groups=[*keys, "predictor"], min_n=2, **options)
     return pearson.join(rank.select(*keys, "predictor", F.col("rho").alias("spearman")), [*keys, "predictor"])
 
@@ -243,7 +243,7 @@ def seasonal_baselines(dataset: DataFrame, *, keys: Sequence[str] = REGION, trai
         F.count(prev).alias("np"),
         F.avg((y - mean) * (y - mean)).alias("mc"),
         F.avg((y - prev) * (y - prev)).alias("mp"),
-        F.corr("target", "previous").alias("rp"),
+        correlation(F.col("target"), F.col("previous")).alias("rp"),
     )
     rows = F.array(
         F.struct(
@@ -289,7 +289,7 @@ def univariate_skill(
         tall.where(~F.col("is_train")).join(fit, [*keys, "predictor"]).withColumn("p", prediction)
         .groupBy(*keys, "predictor", "slope", "intercept")
         .agg(
-            F.count("*").alias("n_test"), F.corr("target", "p").alias("correlation"),
+            F.count("*").alias("n_test"), correlation(F.col("target"), F.col("p")).alias("correlation"),
             F.avg(error * error).alias("mse"), F.avg(anomaly * anomaly).alias("mc"),
         )
         .join(reference, keys)
@@ -319,15 +319,15 @@ def ridge_skill(
     points = VectorAssembler(inputCols=[f"z_{p}" for p in predictors], outputCol="features").transform(complete)
     train = points.where("is_train")
     head = train.agg(F.count("*").alias("n"), F.stddev_pop("target").alias("sy")).first()
-    # Spark scales the label by its sample deviation and the penalty with it
+    # the solver divides the penalty by the deviation of the label
     model = LinearRegression(
         featuresCol="features", labelCol="target", solver="normal", elasticNetParam=0.0, standardization=False,
-        regParam=alpha / head["n"],
+        regParam=alpha / head["n"] * head["sy"],
     ).fit(train)
     scored = model.transform(points.where(~F.col("is_train")))
     y, p, prev, mean = F.col("target"), F.col("prediction"), F.col("previous"), F.col("train_mean")
     row = scored.agg(
-        F.count("*").alias("n_test"), F.corr("target", "prediction").alias("correlation"),
+        F.count("*").alias("n_test"), correlation(F.col("target"), F.col("prediction")).alias("correlation"),
         F.avg((y - p) * (y - p)).alias("mse"), F.avg((y - mean) * (y - mean)).alias("mc"), F.avg((y - prev) * (y - prev)).alias("mp"),
     ).select(
         "n_test", "correlation", F.sqrt("mse").alias("rmse"),

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from aridscape.functions.columns import defined, ratio
+from aridscape.functions.columns import correlation, defined, ratio
 from aridscape.functions.special import student_t_two_sided
 from aridscape.operators.anomaly import by_class, monotone_check
 from aridscape.operators.forecast import seasonal_summary, water_year_total
@@ -198,7 +198,7 @@ def quality_checks(stack: DataFrame, names: Sequence[str], *, risk: str = "risk"
         checks.append((f"constant:{n}", F.lit(0.01) - F.stddev_pop(n), F.lit(0.0)))
     for a_pos, a in enumerate(names):
         for b in names[a_pos + 1 :]:
-            checks.append((f"duplicate:{a}:{b}", F.abs(F.corr(only_valid(a), only_valid(b))), F.lit(0.97)))
+            checks.append((f"duplicate:{a}:{b}", F.abs(correlation(only_valid(a), only_valid(b))), F.lit(0.97)))
     checks.append(("coverage", F.lit(0.9) - F.avg(valid.cast("double")), F.lit(0.0)))
     checks.append(("risk_range", F.greatest(-F.min(risk), F.max(risk) - 1), F.lit(0.0)))
     checks.append(("risk_span", F.lit(0.3) - (F.max(risk) - F.min(risk)), F.lit(0.0)))
@@ -207,7 +207,7 @@ def quality_checks(stack: DataFrame, names: Sequence[str], *, risk: str = "risk"
         share = F.sum((F.col(classes) == code).cast("double")) / total
         checks.append((f"class_share:{code}", F.abs(share - 0.26) - 0.24, F.lit(0.0)))
     for raw, score in (directions or {}).items():
-        checks.append((f"direction:{raw}", F.corr(raw, score) + 0.9, F.lit(0.0)))
+        checks.append((f"direction:{raw}", correlation(F.col(raw), F.col(score)) + 0.9, F.lit(0.0)))
     rows = [F.struct(F.lit(n).alias("check"), v.cast("double").alias("measure"), limit.alias("limit")) for n, v, limit in checks]
     return (
         stack.agg(F.array(*rows).alias("r"))

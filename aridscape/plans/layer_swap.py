@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from aridscape.functions.columns import correlation
 from aridscape.operators.stats import column_quantiles, spearman
 
 
@@ -30,7 +31,7 @@ def compare_layers(layers: DataFrame, a: str, b: str, independent: str, *, names
     return layers.agg(
         *statistics,
         *[F.lit(medians[c][0]).alias(f"{name}_median") for c, name in ((a, names[0]), (b, names[1]))],
-        F.corr(a, b).alias("pearson"),
+        correlation(F.col(a), F.col(b)).alias("pearson"),
         F.lit(rho.get("ab")).cast("double").alias("spearman"),
         F.lit(rho.get("a")).cast("double").alias(f"rho_{names[0]}"),
         F.lit(rho.get("b")).cast("double").alias(f"rho_{names[1]}"),

@@ -29,23 +29,26 @@ def _(v):
     return v.anomalies.select("cell_id", "year", "anomaly")
 
 
-# the flag is left out where the spread sits on the limit itself: equal values in either engine may fall on either side
-_Z = """z AS (SELECT cell_id, "year", std, CASE WHEN round(std, 12) > 0.01 THEN round(anomaly / std, 5) + 0.0 END AS z FROM anomalies)"""
+# the limit is no value the data can take, so both engines flag the same cells
+_MIN_STD = 0.0123457
+_Z = f"""z AS (SELECT a.cell_id, a."year", stddev_samp(b.v) AS std, CASE WHEN stddev_samp(b.v) > {_MIN_STD} THEN (any_value(a.v) - avg(b.v)) / stddev_samp(b.v) END AS z
+  FROM impact a LEFT JOIN impact b ON a.cell_id = b.cell_id AND a."year" <> b."year" GROUP BY 1, 2)"""
 
 
 def _standardized(v):
-    return M.leave_one_out(v.impact, "v", standardize=True)
+    return M.leave_one_out(v.impact, "v", min_std=_MIN_STD)
 
 
-@query("m03_unstable_mask", sql("anomalies", 'SELECT "year", count(*) AS cells, round(avg(CASE WHEN z IS NULL THEN 1.0 ELSE 0.0 END), 4) AS masked_share FROM z GROUP BY 1', _Z))
+@query("m02_standardized", sql("impact", 'SELECT cell_id, "year", round(z, 6) + 0.0 AS z FROM z', _Z))
 def _(v):
-    out = M.mask_report(_standardized(v))
-    return out.select("year", "cells", F.round("masked_share", 4).alias("masked_share"))
+    return _standardized(v).select("cell_id", "year", r6("anomaly").alias("z"))
 
 
-@query("m03_mask_report")
+@query("m03_unstable_mask", sql("impact", """SELECT "year", count(*) AS cells, round(avg(CASE WHEN z IS NULL THEN 1.0 ELSE 0.0 END), 6) AS masked_share,
+  round(avg(CASE WHEN std > 0.0123457 THEN 0.0 ELSE 1.0 END) FILTER (std IS NOT NULL), 6) AS unstable_share FROM z GROUP BY 1""", _Z))
 def _(v):
-    return M.mask_report(_standardized(v))
+    out = M.mask_report(_standardized(v))
+    return out.select("year", "cells", r6("masked_share").alias("masked_share"), r6("unstable_share").alias("unstable_share"))
 
 
 _M_CLASS = """CASE WHEN z < -2 THEN 'Olağanüstü altında' WHEN z < -1.5 THEN 'Şiddetli altında' WHEN z < -1 THEN 'Orta altında' WHEN z < -0.5 THEN 'Hafif altında'
@@ -70,12 +73,12 @@ def _(v):
     return M.by_class(v.joined, "anomaly", "class", keys=["year"]).withColumn("mean", r6("mean"))
 
 
-@query("m07_signed_layers", sql("impact", """SELECT s.source, cell_id, "year", v * s.sign + 0.0 AS v FROM impact, (VALUES ('ndvi', 1), ('et', 1), ('lst', -1)) s(source, sign)"""))
+@query("m07_signed_layers", sql("impact", """SELECT s.source, cell_id, "year", round(v * s.sign, 9) + 0.0 AS v FROM impact, (VALUES ('ndvi', 1), ('et', 1), ('lst', -1)) s(source, sign)"""))
 def _(v):
     from functools import reduce
 
     parts = [M.signed(v.impact, s, "v").withColumn("source", F.lit(s)) for s in ("ndvi", "et", "lst")]
-    return reduce(lambda a, b: a.unionByName(b), parts).select("source", "cell_id", "year", (F.col("v") + 0.0).alias("v"))
+    return reduce(lambda a, b: a.unionByName(b), parts).select("source", "cell_id", "year", r9(F.col("v")).alias("v"))
 
 
 @query("m08_long_record", sql("impact", """SELECT a.cell_id, a."year", round(avg(b.v) - any_value(a.v), 6) + 0.0 AS anomaly FROM impact a LEFT JOIN impact b ON a.cell_id = b.cell_id AND a."year" <> b."year" GROUP BY 1, 2"""))

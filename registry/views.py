@@ -113,7 +113,7 @@ class Views:
         return (
             self.table("lineitem")
             .groupBy(F.col("l_partkey").alias("cell_id"), F.year("l_shipdate").alias("year"))
-            .agg(r9(F.avg("l_discount")).alias("v"))
+            .agg(F.avg("l_discount").alias("v"))
         )
 
     @cached_property
@@ -317,7 +317,7 @@ CTES: dict[str, tuple[str, str]] = {
     "layers": ("cells", """SELECT cell_id, sum(l_quantity) AS precip, round(avg(l_discount), 9) + 0.0 AS ndvi_dry,
         round(avg(l_tax), 9) + 0.0 AS soil, CASE WHEN p_size % 25 <> 0 THEN round(avg(l_extendedprice / l_quantity), 9) + 0.0 END AS lst
         FROM cells JOIN lineitem ON l_partkey = cell_id GROUP BY cell_id, p_size"""),
-    "impact": ("", """SELECT l_partkey AS cell_id, CAST(year(l_shipdate) AS INT) AS "year", round(avg(l_discount), 9) + 0.0 AS v
+    "impact": ("", """SELECT l_partkey AS cell_id, CAST(year(l_shipdate) AS INT) AS "year", avg(l_discount) AS v
         FROM lineitem GROUP BY 1, 2"""),
     "obs": ("", """SELECT l_partkey AS cell_id, CAST(l_shipdate AS DATE) AS day, 0.02 + l_tax AS red, 0.10 + 5.0 * l_discount AS nir,
         0.01 + l_tax / 2 AS blue, l_linenumber AS scl, CAST(l_quantity AS INT) AS qa, l_orderkey * 10 + l_linenumber AS scene_id FROM lineitem"""),
