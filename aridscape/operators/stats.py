@@ -15,6 +15,8 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from aridscape.session import cut_lineage
+
 BINS = 4096
 SMALL = 1_000_000
 SALTS = 64
@@ -123,14 +125,12 @@ class _ValueSpread:
 
     @classmethod
     def measure(cls, df: DataFrame, columns: Sequence[str], small: int) -> list["_ValueSpread"]:
+        """Approximate marks suffice: they balance the work and never touch the result."""
+        if df.count() <= small:
+            return [cls([], []) for _ in columns]
         steps = 512
         probs = F.array(*[F.lit(i / steps) for i in range(1, steps)])
-        row = df.agg(
-            F.count("*").alias("n"),
-            *[F.percentile_approx(c, probs, 10000).alias(f"q{i}") for i, c in enumerate(columns)],
-        ).first()
-        if row["n"] <= small:
-            return [cls([], []) for _ in columns]
+        row = df.agg(*[F.percentile_approx(c, probs, 4 * steps).alias(f"q{i}") for i, c in enumerate(columns)]).first()
         spreads = []
         for i, _ in enumerate(columns):
             marks = row[f"q{i}"]
@@ -206,8 +206,9 @@ def spearman(
     Returns ``groups..., n, rho``; ``rho`` is null below ``min_n`` pairs or
     where a side is constant. Values are rounded first so summation-order
     noise cannot split ties. Repeated (x, y) pairs collapse to one weighted
-    row before anything is shuffled on a value, and rows of very frequent
-    values are salted when their rank is looked up.
+    row before anything is shuffled on a value; those pairs are materialised
+    once, because they are measured, ranked by either side and joined. Rows of
+    very frequent values are salted when their rank is looked up.
     """
     groups = list(groups)
     rows = df.select(
@@ -215,8 +216,8 @@ def spearman(
         (F.round(F.col(x).cast("double"), digits) + 0.0).alias("_x"),
         (F.round(F.col(y).cast("double"), digits) + 0.0).alias("_y"),
     ).where(F.col("_x").isNotNull() & F.col("_y").isNotNull())
-    spread_x, spread_y = _ValueSpread.measure(rows, ["_x", "_y"], small)
-    pairs = rows.groupBy(*groups, "_x", "_y").agg(F.count("*").alias("_w"))
+    pairs = cut_lineage(rows.groupBy(*groups, "_x", "_y").agg(F.count("*").alias("_w")))
+    spread_x, spread_y = _ValueSpread.measure(pairs, ["_x", "_y"], small)
 
     def with_rank(data: DataFrame, value: str, other: str, spread: _ValueSpread, rank: str) -> DataFrame:
         counts = pairs.groupBy(*groups, value).agg(F.sum("_w").alias("_n"))

@@ -305,3 +305,17 @@ def _(v):
 def _(v):
     predicted = v.risk.where("risk IS NOT NULL").select("cell_id", F.col("risk").alias("prediction"))
     return O.prediction_risk(predicted, output="model_risk").select("cell_id", r6("model_risk").alias("model_risk"))
+
+
+@query("o17_drop_verdict", sql("joined scores labels", f"""SELECT round(max(r) FILTER (variant = 'full'), 6) AS full_rho, round(max(r) FILTER (variant = 'reduced'), 6) AS reduced_rho, CASE WHEN max(r) FILTER (variant = 'reduced') <= -0.1 THEN 'supported'
+  WHEN max(r) FILTER (variant = 'reduced') < max(r) FILTER (variant = 'full') THEN 'rejected_still_weak' ELSE 'rejected_weaker' END AS verdict FROM (
+  SELECT variant, avg(rho) AS r FROM (SELECT variant, "year", corr(rx, ry) AS rho FROM vranked GROUP BY 1, 2) JOIN labels USING ("year") WHERE is_dry GROUP BY 1)""",
+  f"""variants AS (SELECT 'full' AS variant, cell_id, "year", anomaly, risk AS r FROM joined WHERE risk IS NOT NULL AND anomaly IS NOT NULL UNION ALL
+  SELECT 'reduced', cell_id, "year", anomaly, round(({_W['precip']} * s.precip + {_W['ndvi_dry']} * s.ndvi_dry) / ({_W['precip']} + {_W['ndvi_dry']}), 9) FROM joined JOIN scores s USING (cell_id) WHERE joined.risk IS NOT NULL AND anomaly IS NOT NULL),
+  vranked AS (SELECT *, rank() OVER (PARTITION BY variant, "year" ORDER BY r) + (count(*) OVER (PARTITION BY variant, "year", r) - 1) / 2.0 AS rx,
+  rank() OVER (PARTITION BY variant, "year" ORDER BY anomaly) + (count(*) OVER (PARTITION BY variant, "year", anomaly) - 1) / 2.0 AS ry FROM variants)"""))
+def _(v):
+    from aridscape.plans.historical_test import criterion_drop_test
+
+    out = criterion_drop_test(v.scores, WEIGHTS, ["soil", "lst"], v.anomalies.select("cell_id", "year", "anomaly"), v.labels)
+    return out.select(r6("full_rho").alias("full_rho"), r6("reduced_rho").alias("reduced_rho"), "verdict")
