@@ -148,10 +148,24 @@ def monotone_check(class_means: DataFrame, *, keys: Sequence[str] = (), digits:
     )
 
 
-def class_month_curve(samples: DataFrame, monthly_focal: DataFrame, class_column: str, *, value: str = "focal") -> DataFrame:
-    """Mean of the sampled cells' focal means per class and month."""
-    return (
-        monthly_focal.join(samples.select("cell_id", class_column), "cell_id")
-        .groupBy(class_column, "month")
-        .agg(F.avg(value).alias("mean"), F.count(value).alias("n"))
+def class_month_curve(samples: DataFrame, monthly: DataFrame, class_column: str, *, size: int = 3, value: str = "value") -> DataFrame:
+    """Per class and month, the mean of the sampled cells' window means.
+
+    ``samples`` holds ``row, col`` and the class, ``monthly`` holds ``row, col,
+    month`` and the value. Only the samples' neighbourhoods are looked up; the
+    layers are scanned once and never gridded.
+    """
+    half = size // 2
+    offsets = F.sequence(F.lit(-half), F.lit(half))
+    around = (
+        samples.select(class_column, F.col("row").alias("_r"), F.col("col").alias("_c"))
+        .withColumn("row", F.col("_r") + F.explode(offsets))
+        .withColumn("col", F.col("_c") + F.explode(offsets))
+    )
+    focal = (
+        monthly.where(F.col(value).isNotNull())
+        .join(around, ["row", "col"])
+        .groupBy(class_column, "_r", "_c", "month")
+        .agg(F.avg(value).alias("focal"))
     )
+    return focal.groupBy(class_column, "month").agg(F.avg("focal").alias("mean"), F.count("*").alias("n"))

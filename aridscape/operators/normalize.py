@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 
@@ -9,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from aridscape.functions.columns import clip
-from aridscape.operators.stats import column_quantiles
+from aridscape.operators.stats import column_quantiles, column_stats
 
 METHODS = ("minmax_percentile", "minmax_capped", "lookup", "none")
 
@@ -71,15 +72,11 @@ def percentile_bounds(df: DataFrame, criteria: Sequence[Criterion], **options) -
     return bounds
 
 
-def check_raw(df: DataFrame, criteria: Sequence[Criterion]) -> None:
-    """One aggregation that rejects empty, negative-under-log and out-of-range layers."""
-    row = df.agg(
-        *[F.min(c.name).alias(f"lo_{c.name}") for c in criteria],
-        *[F.max(c.name).alias(f"hi_{c.name}") for c in criteria],
-    ).first()
+def check_raw(criteria: Sequence[Criterion], stats: Mapping[str, tuple]) -> None:
+    """Reject empty, negative-under-log and out-of-range layers from their ranges."""
     for c in criteria:
-        low, high = row[f"lo_{c.name}"], row[f"hi_{c.name}"]
-        if low is None:
+        n, low, high = stats[c.name]
+        if not n:
             raise NormalizationError(f"{c.name}: the layer has no defined cell")
         if c.log_transform and low < 0:
             raise NormalizationError(f"{c.name}: log transform with negative values")
@@ -100,8 +97,11 @@ def score_column(criterion: Criterion, bounds: Mapping[str, tuple[float, float]]
 
 def score_layers(df: DataFrame, criteria: Sequence[Criterion], *, keep: Sequence[str] = ("cell_id",), **options) -> DataFrame:
     """Score every criterion column in one projection; bounds enter as literals."""
-    check_raw(df, criteria)
-    bounds = percentile_bounds(df, criteria, **options)
+    stats = column_stats(df, [c.name for c in criteria])
+    check_raw(criteria, stats)
+    # the transform is monotone, so transformed ranges follow from the raw ones
+    moved = {c.name: (n, math.log1p(low), math.log1p(high)) if c.log_transform else (n, low, high) for c in criteria for n, low, high in [stats[c.name]]}
+    bounds = percentile_bounds(df, criteria, stats=moved, **options)
     return df.select(*keep, *[score_column(c, bounds).alias(c.name) for c in criteria])
 
 
@@ -111,15 +111,18 @@ def lookup_scores(cells: DataFrame, table: DataFrame, *, code: str = "code", out
     ``table`` is a code list (a handful of rows); the engine broadcasts it by
     its size.
     """
-    unknown = cells.where(F.col(code).isNotNull() & ~F.col(code).isin(*ignore)).select(code).distinct().join(table, code, "left_anti")
-    bad = [r[code] for r in unknown.limit(20).collect()]
-    if bad:
-        raise ValueError(f"class codes without an entry in the lookup table: {sorted(bad)}")
-    scored = cells.join(table.select(code, F.col("score").alias(output)), code, "left")
-    masked = scored.agg(F.avg(F.col(output).isNull().cast("double")).alias("m")).first()["m"]
-    if masked is not None and masked > max_masked:
-        raise ValueError(f"{masked:.0%} of the area is masked: check the lookup table")
-    return scored
+    # one grouped count answers both questions; codes are few by type
+    counts = cells.groupBy(code).agg(F.count("*").alias("n")).join(table.withColumn("_known", F.lit(True)), code, "left")
+    bad = F.col(code).isNotNull() & ~F.col(code).isin(*ignore) & F.col("_known").isNull()
+    head = counts.agg(
+        F.sort_array(F.collect_list(F.when(bad, F.col(code)))).alias("unknown"),
+        F.try_divide(F.sum(F.when(F.col("score").isNull(), F.col("n"))), F.sum("n")).alias("masked"),
+    ).first()
+    if head["unknown"]:
+        raise ValueError(f"class codes without an entry in the lookup table: {head['unknown'][:20]}")
+    if (head["masked"] or 0.0) > max_masked:
+        raise ValueError(f"{head['masked']:.0%} of the area is masked: check the lookup table")
+    return cells.join(table.select(code, F.col("score").alias(output)), code, "left")
 
 
 def profile(df: DataFrame, columns: Sequence[str], **options) -> DataFrame:

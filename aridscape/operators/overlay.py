@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from aridscape.functions.columns import clip, defined, ratio
 from aridscape.operators.classify import apply_breaks, compute_breaks
-from aridscape.operators.stats import spearman
+from aridscape.operators.stats import column_quantiles, pair_correlation, value_pairs
 
 MITIGATION = 0.30
 MITIGATING_CRITERION = "distance_to_water"
@@ -76,8 +76,6 @@ def weighted_overlay(stack: DataFrame, weights: Mapping[str, float], *, output:
 
 
 def risk_summary(df: DataFrame, risk: str = "risk", **options) -> DataFrame:
-    from aridscape.operators.stats import column_quantiles
-
     median = column_quantiles(df, [risk], [0.5], **options)[risk][0]
     return df.agg(
         F.count(risk).alias("n"),
@@ -114,8 +112,8 @@ def contributions(stack: DataFrame, weights: Mapping[str, float]) -> DataFrame:
 def sensitivity(stack: DataFrame, baseline: Mapping[str, float], scenarios: Mapping[str, Mapping[str, float]], breaks: Sequence[float], *, digits: int = 9, **options) -> DataFrame:
     """Per weight scenario: index shift, class agreement under baseline breaks, rank correlation.
 
-    All scenario indices are columns of one projection over one scan and share
-    their score expressions; one unpivot then serves every metric.
+    All scenario indices come from one projection over one scan and share their
+    score expressions. The resulting weighted pairs serve every metric.
     """
     rounded = lambda weights: F.round(risk_column(weights), digits)
     entries = F.array(*[F.struct(F.lit(s).alias("scenario"), rounded(w).alias("risk")) for s, w in scenarios.items()])
@@ -124,14 +122,15 @@ def sensitivity(stack: DataFrame, baseline: Mapping[str, float], scenarios: Mapp
         .select(rounded(baseline).alias("base"), F.explode(entries).alias("e"))
         .select("base", "e.scenario", "e.risk")
     )
-    shift = F.abs(F.col("risk") - F.col("base"))
-    same = apply_breaks(F.col("risk"), breaks) == apply_breaks(F.col("base"), breaks)
-    metrics = tall.groupBy("scenario").agg(
-        F.avg(shift).alias("mean_abs_diff"),
+    pairs = value_pairs(tall, "base", "risk", groups=["scenario"], digits=digits)
+    shift = F.abs(F.col("y") - F.col("x"))
+    same = apply_breaks(F.col("y"), breaks) == apply_breaks(F.col("x"), breaks)
+    metrics = pairs.groupBy("scenario").agg(
+        (F.sum(shift * F.col("weight")) / F.sum("weight")).alias("mean_abs_diff"),
         F.max(shift).alias("max_abs_diff"),
-        F.avg(same.cast("double")).alias("class_agreement"),
+        (F.sum(F.when(same, F.col("weight")).otherwise(0)) / F.sum("weight")).alias("class_agreement"),
     )
-    rho = spearman(tall, "base", "risk", groups=["scenario"], min_n=1, **options)
+    rho = pair_correlation(pairs, groups=["scenario"], min_n=1, **options)
     return metrics.join(rho.select("scenario", F.coalesce("rho", F.lit(1.0)).alias("spearman_rho")), "scenario")
 
 

@@ -25,29 +25,38 @@ SALTS = 64
 # --- quantiles -----------------------------------------------------------------
 
 
+def column_stats(df: DataFrame, columns: Mapping[str, Column] | Sequence[str]) -> dict[str, tuple]:
+    """(defined rows, minimum, maximum) of each column in one aggregation."""
+    exprs = columns if isinstance(columns, Mapping) else {c: F.col(c) for c in columns}
+    parts = [
+        F.struct(F.count(e).alias("n"), F.min(e).cast("double").alias("lo"), F.max(e).cast("double").alias("hi")).alias(f"s{i}")
+        for i, e in enumerate(exprs.values())
+    ]
+    row = df.agg(*parts).first()
+    return {n: (row[i]["n"], row[i]["lo"], row[i]["hi"]) for i, n in enumerate(exprs)}
+
+
 def column_quantiles(
     df: DataFrame,
     columns: Mapping[str, Column] | Sequence[str],
     probs: Sequence[float],
     *,
     small: int = SMALL,
+    stats: Mapping[str, tuple] | None = None,
 ) -> dict[str, list[float]]:
     """Linear-interpolation quantiles of each column over the non-null rows.
 
     Two small jobs up to ``small`` rows. Beyond that every pass is one scan
     that counts values per bin (map-side combined) and narrows the bin holding
     each wanted order statistic to the values it really contains, so no row is
-    shuffled and the result is still exact.
+    shuffled and the result is still exact. ``stats`` passes counts and ranges
+    that are already known.
     """
     exprs = columns if isinstance(columns, Mapping) else {c: F.col(c) for c in columns}
     names = list(exprs)
     data = df.select(*[exprs[n].cast("double").alias(n) for n in names])
-    head = data.agg(
-        *[F.count(n).alias(f"n_{n}") for n in names],
-        *[F.min(n).alias(f"lo_{n}") for n in names],
-        *[F.max(n).alias(f"hi_{n}") for n in names],
-    ).first()
-    counts = {n: head[f"n_{n}"] for n in names}
+    stats = stats or column_stats(data, names)
+    counts = {n: stats[n][0] for n in names}
     if max(counts.values()) <= small:
         row = data.agg(*[F.percentile(n, F.array(*[F.lit(float(p)) for p in probs])).alias(n) for n in names]).first()
         return {n: list(row[n]) if row[n] is not None else [math.nan] * len(probs) for n in names}
@@ -58,7 +67,7 @@ def column_quantiles(
             for p in probs:
                 position = p * (counts[n] - 1)
                 for rank in (math.floor(position), math.ceil(position)):
-                    wanted[(n, rank)] = (head[f"lo_{n}"], head[f"hi_{n}"], 0)
+                    wanted[(n, rank)] = (stats[n][1], stats[n][2], 0)
     found = _order_statistics(data, wanted)
     result = {}
     for n in names:
@@ -191,47 +200,37 @@ def _average_rank(counts: DataFrame, groups: list[str], value: str, weight: str,
     )
 
 
-def spearman(
-    df: DataFrame,
-    x: str,
-    y: str,
-    *,
-    groups: Sequence[str] = (),
-    min_n: int = 100,
-    small: int = SMALL,
-    digits: int = 9,
-) -> DataFrame:
-    """Rank correlation with average ranks over all jointly defined rows.
+def value_pairs(df: DataFrame, x: str, y: str, *, groups: Sequence[str] = (), digits: int = 9) -> DataFrame:
+    """Distinct ``groups, x, y`` with their row count ``weight``, materialised once.
 
-    Returns ``groups..., n, rho``; ``rho`` is null below ``min_n`` pairs or
-    where a side is constant. Values are rounded first so summation-order
-    noise cannot split ties. Repeated (x, y) pairs collapse to one weighted
-    row before anything is shuffled on a value; those pairs are materialised
-    once, because they are measured, ranked by either side and joined. Rows of
-    very frequent values are salted when their rank is looked up.
+    Values are rounded so summation-order noise cannot split ties. Repeated
+    pairs collapse before anything is shuffled on a value.
+    """
+    rounded = lambda c: F.round(F.col(c).cast("double"), digits) + 0.0
+    rows = df.select(*groups, rounded(x).alias("x"), rounded(y).alias("y")).where(F.col("x").isNotNull() & F.col("y").isNotNull())
+    return cut_lineage(rows.groupBy(*groups, "x", "y").agg(F.count("*").alias("weight")))
+
+
+def pair_correlation(pairs: DataFrame, *, groups: Sequence[str] = (), min_n: int = 100, small: int = SMALL) -> DataFrame:
+    """Rank correlation of weighted pairs: ``groups..., n, rho``.
+
+    Rows of very frequent values are salted when their rank is looked up.
     """
     groups = list(groups)
-    rows = df.select(
-        *groups,
-        (F.round(F.col(x).cast("double"), digits) + 0.0).alias("_x"),
-        (F.round(F.col(y).cast("double"), digits) + 0.0).alias("_y"),
-    ).where(F.col("_x").isNotNull() & F.col("_y").isNotNull())
-    pairs = cut_lineage(rows.groupBy(*groups, "_x", "_y").agg(F.count("*").alias("_w")))
-    spread_x, spread_y = _ValueSpread.measure(pairs, ["_x", "_y"], small)
+    spread_x, spread_y = _ValueSpread.measure(pairs, ["x", "y"], small)
 
     def with_rank(data: DataFrame, value: str, other: str, spread: _ValueSpread, rank: str) -> DataFrame:
-        counts = pairs.groupBy(*groups, value).agg(F.sum("_w").alias("_n"))
+        counts = pairs.groupBy(*groups, value).agg(F.sum("weight").alias("_n"))
         table = _average_rank(counts, groups, value, "_n", spread).select(
             *groups, value, F.col("_rank").alias(rank), F.explode(spread.salts(F.col(value))).alias("_salt")
         )
         salted = data.withColumn("_salt", spread.salt(F.col(value), F.col(other)))
         return salted.join(table, [*groups, value, "_salt"]).drop("_salt")
 
-    ranked = with_rank(with_rank(pairs, "_x", "_y", spread_x, "_rx"), "_y", "_x", spread_y, "_ry")
-    # weighted moments; ranks are centred by a constant close to their mean
-    w, rx, ry = F.col("_w").cast("double"), F.col("_rx"), F.col("_ry")
+    ranked = with_rank(with_rank(pairs, "x", "y", spread_x, "_rx"), "y", "x", spread_y, "_ry")
+    w, rx, ry = F.col("weight").cast("double"), F.col("_rx"), F.col("_ry")
     sums = ranked.groupBy(*groups).agg(
-        F.sum("_w").alias("n"),
+        F.sum("weight").alias("n"),
         F.sum(w * rx).alias("sx"),
         F.sum(w * ry).alias("sy"),
         F.sum(w * rx * rx).alias("sxx"),
@@ -245,6 +244,16 @@ def spearman(
     return sums.select(*groups, "n", F.when((F.col("n") >= min_n) & (vx > 0) & (vy > 0), rho).alias("rho"))
 
 
+def spearman(df: DataFrame, x: str, y: str, *, groups: Sequence[str] = (), min_n: int = 100, small: int = SMALL, digits: int = 9) -> DataFrame:
+    """Rank correlation with average ranks over all jointly defined rows.
+
+    Returns ``groups..., n, rho``; ``rho`` is null below ``min_n`` rows or
+    where a side is constant.
+    """
+    pairs = value_pairs(df, x, y, groups=groups, digits=digits)
+    return pair_correlation(pairs, groups=groups, min_n=min_n, small=small)
+
+
 # --- samples and lookups -------------------------------------------------------
 
 

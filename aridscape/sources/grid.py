@@ -66,10 +66,11 @@ class GridSpec:
 
 
 def cells(spark: SparkSession, grid: GridSpec, *, tile: int = TILE) -> DataFrame:
-    """One row per cell: ``cell_id, row, col, x, y, tile``."""
+    """One row per cell: ``cell_id, row, col, x, y, tile``; a task makes a few million cells."""
     tiles_across = -(-grid.width // tile)
+    parts = max(spark.sparkContext.defaultParallelism, grid.cell_count // 4_000_000 + 1)
     return (
-        spark.range(grid.cell_count)
+        spark.range(0, grid.cell_count, numPartitions=parts)
         .withColumnRenamed("id", "cell_id")
         .withColumn("row", F.expr(f"cell_id div {grid.width}"))
         .withColumn("col", F.pmod("cell_id", F.lit(grid.width)))

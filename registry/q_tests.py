@@ -101,11 +101,8 @@ def _(v):
   JOIN cells n ON n."row" BETWEEN r - 1 AND r + 1 AND n.col BETWEEN c - 1 AND c + 1 LEFT JOIN monthly m ON m.cell_id = n.cell_id AND m."year" = 1998 WHERE m."month" IS NOT NULL GROUP BY 1, 2, 3) GROUP BY 1, 2"""))
 def _(v):
     pure = terrain.pure_cells(v.zones, "zone", WIDTH, v.grid.height, tile=16)
-    every = v.cells.select("cell_id", "row", "col").withColumn("month", F.explode(F.sequence(F.lit(1), F.lit(12))))
-    year = v.monthly.where("year = 1998").select("cell_id", "month", "value")
-    focal = terrain.focal_mean(every.join(year, ["cell_id", "month"], "left"), "value", "focal", 3, keys=["month"], tile=16)
-    out = M.class_month_curve(pure, focal, "zone").where("n > 0")
-    return out.withColumn("mean", r6("mean"))
+    year = v.monthly.where("year = 1998").select("cell_id", "month", "value").join(v.cells.select("cell_id", "row", "col"), "cell_id")
+    return M.class_month_curve(pure, year, "zone").withColumn("mean", r6("mean"))
 
 
 # --- validation -------------------------------------------------------------------
