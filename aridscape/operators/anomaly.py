@@ -159,8 +159,10 @@ def class_month_curve(samples: DataFrame, monthly: DataFrame, class_column: str,
     offsets = F.sequence(F.lit(-half), F.lit(half))
     around = (
         samples.select(class_column, F.col("row").alias("_r"), F.col("col").alias("_c"))
-        .withColumn("row", F.col("_r") + F.explode(offsets))
-        .withColumn("col", F.col("_c") + F.explode(offsets))
+        .withColumn("_dr", F.explode(offsets))
+        .withColumn("_dc", F.explode(offsets))
+        .withColumns({"row": F.col("_r") + F.col("_dr"), "col": F.col("_c") + F.col("_dc")})
+        .drop("_dr", "_dc")
     )
     focal = (
         monthly.where(F.col(value).isNotNull())

@@ -141,10 +141,12 @@ def euclidean_distance(
     result is null where a grid holds no feature.
     """
     keys = list(keys)
-    column = Window.partitionBy(*keys, "col").orderBy("row")
+    column = Window.partitionBy(*keys, "col")
     at = F.when(F.col(feature), F.col("row"))
-    above = F.last(at, ignorenulls=True).over(column.rowsBetween(Window.unboundedPreceding, 0))
-    below = F.first(at, ignorenulls=True).over(column.rowsBetween(0, Window.unboundedFollowing))
+    # both directions look back along their own order: a frame that grows at
+    # its far end is linear, one open towards the end would be quadratic
+    above = F.last(at, ignorenulls=True).over(column.orderBy("row").rowsBetween(Window.unboundedPreceding, 0))
+    below = F.last(at, ignorenulls=True).over(column.orderBy(F.desc("row")).rowsBetween(Window.unboundedPreceding, 0))
     gap = F.least(F.col("row") - above, below - F.col("row"))
     lines = cells.select(*keys, "cell_id", "row", "col", gap.cast("double").alias("gap"))
     schema = lines.select(*keys, "cell_id", "row", "col").schema

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from aridscape.functions.columns import defined
 from aridscape.operators.stats import column_quantiles, hash_sample, spearman
+from aridscape.session import cut_lineage
 
 PHYSICAL_FEATURES = ("precipitation", "soil_awc", "slope", "aspect", "lst")
 DYNAMIC_FEATURE = "spi12_dynamic"
@@ -137,7 +138,7 @@ def factor_correlations(df: DataFrame, target: str, factors: Sequence[str], *, m
 
 def quartile_profile(df: DataFrame, target: str, by: str, **options) -> DataFrame:
     """Target statistics per quartile of ``by`` (right-closed), with a 95 % half-width."""
-    complete = df.where(F.col(target).isNotNull() & F.col(by).isNotNull())
+    complete = cut_lineage(df.where(F.col(target).isNotNull() & F.col(by).isNotNull()).select(target, by))
     cuts = column_quantiles(complete, [by], [0.25, 0.5, 0.75], **options)[by]
     quartile = F.when(F.col(by) <= cuts[0], 1).when(F.col(by) <= cuts[1], 2).when(F.col(by) <= cuts[2], 3).otherwise(4)
     marked = complete.withColumn("quartile", quartile)
@@ -157,7 +158,7 @@ def standardized_ols(df: DataFrame, target: str, factors: Sequence[str]) -> Data
     Constant factors carry no information and are left out.
     """
     columns = [target, *factors]
-    complete = df.where(defined(F.col(c) for c in columns))
+    complete = cut_lineage(df.where(defined(F.col(c) for c in columns)).select(*columns))
     head = complete.agg(
         *[F.avg(c).alias(f"m_{c}") for c in columns], *[F.stddev_samp(c).alias(f"s_{c}") for c in columns]
     ).first()

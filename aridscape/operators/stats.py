@@ -135,9 +135,11 @@ class _ValueSpread:
     @classmethod
     def measure(cls, df: DataFrame, columns: Sequence[str], small: int) -> list["_ValueSpread"]:
         """Approximate marks suffice: they balance the work and never touch the result."""
-        if df.count() <= small:
+        rows = df.count()
+        if rows <= small:
             return [cls([], []) for _ in columns]
-        steps = 512
+        # a bucket holds about ``small`` rows, as far as the number of marks stays reasonable
+        steps = min(max(rows // max(small, 1), 64), 8192)
         probs = F.array(*[F.lit(i / steps) for i in range(1, steps)])
         row = df.agg(*[F.percentile_approx(c, probs, 4 * steps).alias(f"q{i}") for i, c in enumerate(columns)]).first()
         spreads = []

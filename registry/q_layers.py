@@ -98,16 +98,16 @@ def _(v):
 _ET = "CASE WHEN l_quantity * 700 < 32700 THEN l_quantity * 70 END / CASE WHEN l_discount * 1000 * 0.1 > 1 THEN l_discount * 1000 * 0.1 END"
 
 
-@query("r12_et_ratio", f"SELECT l_partkey AS cell_id, round(avg({_ET}), 6) AS ratio FROM lineitem GROUP BY 1")
+@query("r12_et_ratio", f"SELECT l_partkey AS cell_id, round(avg({_ET}), 9) AS ratio FROM lineitem GROUP BY 1")
 def _(v):
     ratio = C.evaporation_ratio(F.col("l_quantity") * 700, F.col("l_discount") * 1000)
-    return v.table("lineitem").groupBy(F.col("l_partkey").alias("cell_id")).agg(r6(F.avg(ratio)).alias("ratio"))
+    return v.table("lineitem").groupBy(F.col("l_partkey").alias("cell_id")).agg(r9(F.avg(ratio)).alias("ratio"))
 
 
-@query("r12_et_ratio_yearly", f'SELECT l_partkey AS cell_id, CAST(year(l_shipdate) AS INT) AS "year", round(avg({_ET}), 6) AS ratio FROM lineitem GROUP BY 1, 2')
+@query("r12_et_ratio_yearly", f'SELECT l_partkey AS cell_id, CAST(year(l_shipdate) AS INT) AS "year", round(avg({_ET}), 9) AS ratio FROM lineitem GROUP BY 1, 2')
 def _(v):
     ratio = C.evaporation_ratio(F.col("l_quantity") * 700, F.col("l_discount") * 1000)
-    return v.table("lineitem").groupBy(F.col("l_partkey").alias("cell_id"), F.year("l_shipdate").alias("year")).agg(r6(F.avg(ratio)).alias("ratio"))
+    return v.table("lineitem").groupBy(F.col("l_partkey").alias("cell_id"), F.year("l_shipdate").alias("year")).agg(r9(F.avg(ratio)).alias("ratio"))
 
 
 @query("r13_rainfall_normal", sql("climate", """SELECT region_id, round(avg(total), 6) AS precip FROM (SELECT region_id, CASE WHEN count(p) = 3 THEN sum(p) END AS total FROM (
@@ -117,7 +117,7 @@ def _(v):
     return C.seasonal_rain_normal(monthly, "rain", C.month_range(7, 9), cell=["region_id"]).withColumn("precip", r6("precip"))
 
 
-@query("r14_water_capacity", """SELECT l_partkey AS cell_id, round(sum(awc * th) / sum(CASE WHEN awc IS NOT NULL THEN th END), 6) AS awc FROM (
+@query("r14_water_capacity", """SELECT l_partkey AS cell_id, round(sum(awc * th) / sum(CASE WHEN awc IS NOT NULL THEN th END), 9) AS awc FROM (
   SELECT l_partkey, [5.0, 10.0, 15.0][l_linenumber % 3 + 1] AS th, CASE WHEN f - w >= 0 THEN f - w END AS awc FROM (
   SELECT *, CASE WHEN l_quantity - 1 <> 0 THEN (l_quantity - 1) * 0.001 END AS f, CASE WHEN l_discount * 200 <> 0 THEN l_discount * 200 * 0.001 END AS w FROM lineitem)) GROUP BY 1""")
 def _(v):
@@ -125,7 +125,7 @@ def _(v):
         F.col("l_partkey").alias("cell_id"), (F.col("l_quantity") - 1).alias("field_capacity"), (F.col("l_discount") * 200).alias("wilting_point"),
         F.element_at(F.array(F.lit(5.0), F.lit(10.0), F.lit(15.0)), F.col("l_linenumber") % 3 + 1).alias("thickness"),
     )
-    return C.water_capacity(depths).withColumn("awc", r6("awc"))
+    return C.water_capacity(depths).withColumn("awc", r9(F.col("awc")))
 
 
 @query("r15_clean_elevation", sql("cells", "SELECT cell_id, CASE WHEN elev - 2000 >= -1000 THEN elev END AS elev FROM cells"))

@@ -81,11 +81,11 @@ def _(v):
     return reduce(lambda a, b: a.unionByName(b), parts).select("source", "cell_id", "year", r9(F.col("v")).alias("v"))
 
 
-@query("m08_long_record", sql("impact", """SELECT a.cell_id, a."year", round(avg(b.v) - any_value(a.v), 6) + 0.0 AS anomaly FROM impact a LEFT JOIN impact b ON a.cell_id = b.cell_id AND a."year" <> b."year" GROUP BY 1, 2"""))
+@query("m08_long_record", sql("impact", """SELECT a.cell_id, a."year", round(avg(b.v) - any_value(a.v), 9) + 0.0 AS anomaly FROM impact a LEFT JOIN impact b ON a.cell_id = b.cell_id AND a."year" <> b."year" GROUP BY 1, 2"""))
 def _(v):
     M.require_years(v.impact, 5)
     out = M.leave_one_out(M.signed(v.impact, "lst", "v"), "v", standardize=False)
-    return out.select("cell_id", "year", r6("anomaly").alias("anomaly"))
+    return out.select("cell_id", "year", r9(F.col("anomaly")).alias("anomaly"))
 
 
 @query("m09_monotone", sql("joined", """SELECT "year", bool_and(ok) AS monotone, arg_max(mean, class) < arg_min(mean, class) AS extremes_ordered FROM (

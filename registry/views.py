@@ -97,7 +97,7 @@ class Views:
             F.sum("l_quantity").alias("precip"),
             r9(F.avg("l_discount")).alias("ndvi_dry"),
             r9(F.avg("l_tax")).alias("soil"),
-            r9(F.avg(F.col("l_extendedprice") / F.col("l_quantity"))).alias("lst"),
+            r6(F.avg(F.col("l_extendedprice") / F.col("l_quantity"))).alias("lst"),
         )
         hot = F.when(F.col("p_size") % 25 != 0, F.col("lst"))
         return sums.join(self.cells.select("cell_id", "p_size"), "cell_id").select(
@@ -224,7 +224,7 @@ class Views:
         key = F.col("s_suppkey")
         extent = self.grid.height * RES
         ax = F.lit(LEFT) + ((key * 37 + 11) % 101 + 0.37) * (WIDTH * RES / 101)
-        ay = F.lit(TOP) - ((key * 53 + 7) % 103 + 0.41) * (extent / 103)
+        ay = F.lit(TOP) - ((key * 53 + 7) % 103 + 0.4137) * (extent / 103)
         bx = ax + ((key * 29) % 41 - 20) * 7.3 + 1.9
         by = ay + ((key * 31) % 37 - 18) * 5.7 + 2.3
         cx = ax + ((key * 17) % 43 - 21) * 6.1 + 3.1
@@ -315,7 +315,7 @@ CTES: dict[str, tuple[str, str]] = {
     "dims": ("", f"SELECT CAST(ceil(count(*) / {WIDTH}.0) AS BIGINT) AS h FROM part"),
     "zones": ("cells", """SELECT *, [40,10,30][CAST(("row" // 7 + col // 7) % 3 + 1 AS INT)] AS zone FROM cells"""),
     "layers": ("cells", """SELECT cell_id, sum(l_quantity) AS precip, round(avg(l_discount), 9) + 0.0 AS ndvi_dry,
-        round(avg(l_tax), 9) + 0.0 AS soil, CASE WHEN p_size % 25 <> 0 THEN round(avg(l_extendedprice / l_quantity), 9) + 0.0 END AS lst
+        round(avg(l_tax), 9) + 0.0 AS soil, CASE WHEN p_size % 25 <> 0 THEN round(avg(l_extendedprice / l_quantity), 6) + 0.0 END AS lst
         FROM cells JOIN lineitem ON l_partkey = cell_id GROUP BY cell_id, p_size"""),
     "impact": ("", """SELECT l_partkey AS cell_id, CAST(year(l_shipdate) AS INT) AS "year", avg(l_discount) AS v
         FROM lineitem GROUP BY 1, 2"""),
@@ -350,7 +350,7 @@ CTES: dict[str, tuple[str, str]] = {
         a_x + ((s_suppkey * 29) % 41 - 20) * 7.3 + 1.9 AS b_x, a_y + ((s_suppkey * 31) % 37 - 18) * 5.7 + 2.3 AS b_y,
         a_x + ((s_suppkey * 17) % 43 - 21) * 6.1 + 3.1 AS c_x, a_y + ((s_suppkey * 23) % 47 - 23) * 4.9 + 1.3 AS c_y
         FROM (SELECT *, {LEFT} + ((s_suppkey * 37 + 11) % 101 + 0.37) * ({WIDTH * RES} / 101) AS a_x,
-        {TOP} - ((s_suppkey * 53 + 7) % 103 + 0.41) * (h * {RES} / 103) AS a_y FROM supplier, dims)"""),
+        {TOP} - ((s_suppkey * 53 + 7) % 103 + 0.4137) * (h * {RES} / 103) AS a_y FROM supplier, dims)"""),
     "edges": ("vectors", """SELECT feature_id, geom_type, a_x AS x1, a_y AS y1, b_x AS x2, b_y AS y2 FROM vectors
         UNION ALL SELECT feature_id, geom_type, b_x, b_y, c_x, c_y FROM vectors WHERE geom_type = 'polygon'
         UNION ALL SELECT feature_id, geom_type, c_x, c_y, a_x, a_y FROM vectors WHERE geom_type = 'polygon'"""),
