@@ -40,7 +40,7 @@ def read_forms(spark: SparkSession, path: str) -> DataFrame:
 
 def parse_forms(forms: DataFrame) -> DataFrame:
     """Answer rows of each form: everything before the header, comments and blanks are skipped."""
-    lines = F.split(F.regexp_replace("text", "^﻿", ""), r"\r?\n")
+    lines = F.split(F.regexp_replace("text", "^\uFEFF", ""), r"\r?\n")
     start = F.array_position(F.transform(lines, lambda s: F.trim(s).startswith("no,")), F.lit(True))
     body = F.when(start > 0, F.slice(lines, (start + 1).cast("int"), F.size(lines))).otherwise(F.array().cast("array<string>"))
     kept = F.filter(body, lambda s: (F.trim(s) != "") & ~F.trim(s).startswith("#"))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from aridscape.functions.geodesy import with_lonlat, with_utm
 from aridscape.operators import composites, terrain
-from aridscape.operators.distance import euclidean_distance, rasterize
+from aridscape.operators.distance import rasterize
 from aridscape.operators.regrid import SourceRaster, regrid
 from aridscape.sources.export import class_overlay
 from aridscape.sources.grid import GridSpec, block_id, decimate
@@ -188,11 +188,11 @@ def _(v):
     return decimate(v.cells, 3).select("cell_id", "elev")
 
 
-@query("g12_focal_mean", sql("cells layers", """SELECT a.cell_id, round(sum(l.lst) / nullif(count(l.lst), 0), 6) AS focal FROM cells a JOIN cells b
+@query("g12_focal_mean", sql("cells layers", """SELECT a.cell_id, round(sum(l.lst / 997.0) / nullif(count(l.lst), 0), 9) AS focal FROM cells a JOIN cells b
   ON b."row" BETWEEN a."row" - 1 AND a."row" + 1 AND b.col BETWEEN a.col - 1 AND a.col + 1 LEFT JOIN layers l ON l.cell_id = b.cell_id GROUP BY 1"""))
 def _(v):
-    placed = v.cells.select("cell_id", "row", "col").join(v.layers.select("cell_id", "lst"), "cell_id", "left")
-    return terrain.focal_mean(placed, "lst", "focal", 3, tile=16).select("cell_id", r6("focal").alias("focal"))
+    placed = v.cells.select("cell_id", "row", "col").join(v.layers.select("cell_id", (F.col("lst") / 997.0).alias("lst")), "cell_id", "left")
+    return terrain.focal_mean(placed, "lst", "focal", 3, tile=16).select("cell_id", r9(F.col("focal")).alias("focal"))
 
 
 @query("g13_pure_cells", sql("zones dims", """SELECT a.cell_id, any_value(a.zone) AS zone FROM zones a JOIN zones b

@@ -8,7 +8,6 @@ from aridscape.operators import classify as K
 from aridscape.operators import overlay as O
 from aridscape.operators import weighting as A
 from aridscape.operators.normalize import Criterion, score_layers
-from aridscape.operators.stats import spearman
 
 from registry.views import LABELS, NAMES, WEIGHTS, query, r6, r9, sql
 

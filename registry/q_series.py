@@ -7,9 +7,8 @@ from pyspark.sql import functions as F
 from aridscape.operators import drought as D
 from aridscape.operators import forecast as P
 from aridscape.operators import yields as Y
-from aridscape.operators.anomaly import ANOMALY_CATEGORIES  # noqa: F401
 
-from registry.views import query, r6, r9, sql
+from registry.views import query, r6, sql
 
 _CATEGORY = """CASE WHEN {z} IS NULL THEN 'veri yok' WHEN {z} < -2 THEN 'Olağanüstü kurak' WHEN {z} < -1.5 THEN 'Şiddetli kurak' WHEN {z} < -1 THEN 'Orta kurak'
   WHEN {z} < -0.5 THEN 'Hafif kurak' WHEN {z} < 0.5 THEN 'Normale yakın' WHEN {z} < 1 THEN 'Hafif nemli' WHEN {z} < 1.5 THEN 'Orta nemli'
@@ -238,7 +237,7 @@ co AS (SELECT aa * (bb * cc - bc * bc) - ab * (ab * cc - bc * ac) + ac * (ab * b
 
 @query("f14_ridge", sql("", """SELECT 'a' AS predictor, round((ay * (bb * cc - bc * bc) - ab * (bby * cc - bc * cy) + ac * (bby * bc - bb * cy)) / det, 4) AS coefficient FROM co
   UNION ALL SELECT 'b', round((aa * (bby * cc - bc * cy) - ay * (ab * cc - bc * ac) + ac * (ab * cy - bby * ac)) / det, 4) FROM co
-  UNION ALL SELECT 'c', round((aa * (bb * cy - bby * bc) - ab * (ab * cy - bby * ac) + ay * (ab * bc - bb * ac)) / det, 4) FROM co""").join(["WITH " + _RIDGE + "\n", ""]))
+  UNION ALL SELECT 'c', round((aa * (bb * cy - bby * bc) - ab * (ab * cy - bby * ac) + ay * (ab * bc - bb * ac)) / det, 4) FROM co""", _RIDGE))
 def _(v):
     _row, coefficients = P.ridge_skill(_yearly(v), ["a", "b", "c"])
     return v.spark.createDataFrame([(k, round(c, 4)) for k, c in coefficients.items()], "predictor string, coefficient double")

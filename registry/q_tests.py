@@ -7,14 +7,12 @@ from pyspark.sql import functions as F
 from aridscape.operators import anomaly as M
 from aridscape.operators import drought as D
 from aridscape.operators import ml as L
-from aridscape.operators import overlay as O
 from aridscape.operators import terrain
 from aridscape.operators import validate as V
-from aridscape.operators.classify import apply_breaks, compute_breaks
 from aridscape.operators.stats import spearman
 from aridscape.sources.grid import block_id
 
-from registry.views import NAMES, RES, WEIGHTS, WIDTH, query, r6, r9, sql
+from registry.views import NAMES, WIDTH, query, r6, r9, sql
 
 # --- anomalies -------------------------------------------------------------------
 
@@ -300,7 +298,12 @@ def _(v):
 
 
 def _cv(v):
-    return L.cross_validate(L.assign_folds(_sample(v)), [*_FEATURES, L.DYNAMIC_FEATURE], trees=20, depth=8)
+    """Fold metrics and importances; three queries read the same validation run."""
+    if "cross_validation" not in v.__dict__:
+        v.__dict__["cross_validation"] = L.cross_validate(
+            L.assign_folds(_sample(v)), [*_FEATURES, L.DYNAMIC_FEATURE], trees=20, depth=8
+        )
+    return v.__dict__["cross_validation"]
 
 
 @query("l04_forest_cv")

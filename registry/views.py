@@ -400,7 +400,7 @@ def sql(names: str, body: str, extra: str = "") -> str:
 
     for name in names.split():
         visit(name)
-    if not ordered:
+    if not ordered and not extra:
         return body
     parts = [f"{n} AS ({CTES[n][1]})" for n in ordered] + ([extra] if extra else [])
     return "WITH " + ",\n".join(parts) + "\n" + body

@@ -111,7 +111,7 @@ def test_group_leaves_out_the_inconsistent(spark):
     assert nobody.isEmpty()
 
 
-FORM = "﻿# survey, with comma\n\nno,A_kod,A_aciklama,B_kod,B_aciklama,cevap\n1,p,P,q,Q,{}\n2,p,P,r,R,-3\n\n# note\n3,q,Q,r,R,\"2,5\"\n"
+FORM = "\ufeff# survey, with comma\n\nno,A_kod,A_aciklama,B_kod,B_aciklama,cevap\n1,p,P,q,Q,{}\n2,p,P,r,R,-3\n\n# note\n3,q,Q,r,R,\"2,5\"\n"
 
 
 def answers(spark, text):
