@@ -63,7 +63,7 @@ def clipped_ring_area(features: DataFrame, bounds: Sequence[float]) -> DataFrame
     The area between two boundary curves, cut to the box, is the integral of
     their clamped heights; so every edge contributes on its own the integral
     of its height clamped to the box over its x-range cut to the box. Holes
-    run the other way round and subtract.
+    run the other way round and subtract; rounding slivers are dropped.
     """
     left, bottom, right, top = bounds
     height = F.lit(float(top - bottom))
@@ -82,7 +82,7 @@ def clipped_ring_area(features: DataFrame, bounds: Sequence[float]) -> DataFrame
         sloped.withColumns({"_ya": at("_xa"), "_yb": at("_xb")})
         .groupBy("feature_id")
         .agg(F.abs(F.sum(part)).alias("area"))
-        .where(F.col("area") > 0)
+        .where(F.col("area") > 1e-6)
     )
 
 

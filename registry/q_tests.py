@@ -287,7 +287,8 @@ def _sample(v):
     return L.equal_sample(_table(v)).withColumn("block", block_id(10, -(-WIDTH // 10)))
 
 
-@query("l02_equal_sample")
+@query("l02_equal_sample", sql("joined labels", """SELECT "year", CAST(least(count(*), 3000 // any_value(k)) AS BIGINT) AS "rows" FROM rows_, (SELECT count(DISTINCT "year") AS k FROM rows_) GROUP BY 1""",
+  """rows_ AS (SELECT joined."year" FROM joined JOIN labels USING ("year") WHERE severity <= 0.5 AND risk IS NOT NULL AND anomaly IS NOT NULL)"""))
 def _(v):
     return L.equal_sample(_table(v), total=3000).groupBy("year").agg(F.count("*").alias("rows"))
 
