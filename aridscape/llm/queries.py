@@ -5,8 +5,15 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from aridscape.llm import mixing, packing, quality, simhash
+
+def tokenizer_file(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
 
-from aridscape.llm import quality
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -29,3 +36,45 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 @query("op8_quality_rules")
 def quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judged(table(spark, sf_dir, "documents")).select("doc_id", *quality.COUNTS, "base_failed", "kept")
+
+
+@query("op5_simhash")
+def simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"), width=3, radius=2)
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+MIXING_SQL = r"""
+WITH d AS (
+  SELECT doc_id, source, md5('17:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || coalesce(text, '')) AS key,
+         CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size
+  FROM documents),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS c FROM d GROUP BY source),
+w AS (SELECT *, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS weight FROM s),
+o AS (SELECT *, CAST(sum(c) OVER () AS DOUBLE) AS total,
+             coalesce(sum(3 * c) OVER (ORDER BY 3.0 * c / weight, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below,
+             sum(weight) OVER (ORDER BY 3.0 * c / weight, source ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS open_weight
+      FROM w),
+f AS (SELECT *, (total - below) / open_weight AS level, row_number() OVER (ORDER BY 3.0 * c / weight, source) AS place FROM o),
+l AS (SELECT arg_min(level, place) AS level, min(place) AS place FROM f WHERE level * weight < 3 * c),
+t AS (SELECT f.source, f.c, CASE WHEN f.place >= l.place THEN l.level * f.weight ELSE CAST(3 * f.c AS DOUBLE) END AS target FROM f, l),
+q AS (SELECT *, CAST(floor(target + 0.5) AS BIGINT) AS quota FROM t),
+g AS (SELECT *, CASE WHEN c > 0 AND quota > 0 THEN (quota - 1) // c ELSE 0 END AS full_copies FROM q),
+r AS (SELECT d.doc_id, d.size, g.c, g.target, g.quota, g.full_copies,
+             sum(d.size) OVER (PARTITION BY d.source ORDER BY d.key, d.doc_id, d.size ROWS UNBOUNDED PRECEDING) - d.size AS start
+      FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source)
+SELECT doc_id, size, c AS source_size, round(target, 6) AS target,
+       CAST(size * (full_copies + CASE WHEN 2 * start + size <= 2 * (quota - full_copies * c) THEN 1 ELSE 0 END) AS BIGINT) AS taken
+FROM r
+"""
+
+
+@query("op3_mixing", MIXING_SQL)
+def mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.taken(table(spark, sf_dir, "documents"), seed=17)
+
+
+@query("op4_packing")
+def pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packing.packed(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), end_id=1, length=2048)
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
