@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from aridscape.llm import mixing, packing, quality, simhash
+from aridscape.llm import mixing, packing, quality, simhash, substring
 
 def tokenizer_file(name: str) -> str:
     import public_tokenizers
@@ -78,3 +78,8 @@ def mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 def pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.packed(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), end_id=1, length=2048)
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+@query("op6_substring")
+def repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.repeated(table(spark, sf_dir, "documents"), similarity=0.8)

@@ -8,10 +8,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from aridscape.llm import quality
+from aridscape.llm import mixing, packing, quality, simhash, substring
 from aridscape.llm.common import written
-
-COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+from aridscape.llm.queries import tokenizer_file
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -19,9 +18,35 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.filtered(docs)
 
 
-STAGES = [("quality rules", quality_stage)]
+def near_copies_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies."""
+    return simhash.deduplicated(docs)
+
+
+def passages_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without passages that an earlier document holds."""
+    return substring.cleaned(docs)
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix of sources takes them."""
+    return mixing.mixed(docs)
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of sequences of 2048 ids."""
+    return packing.packed(docs, tokenizer_file("byte_bpe_50k.json"))
+
+
+STAGES = [
+    ("quality rules", quality_stage),
+    ("near copies", near_copies_stage),
+    ("repeated passages", passages_stage),
+    ("mixing", mixing_stage),
+    ("packing", packing_stage),
+]
 
-#: The robust estimate iterates, which SQL cannot state; tests hold the pipeline against brute force.
+#: Iterated estimates and components cannot be stated in SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
