@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from aridscape.llm import mixing, packing, quality, simhash, substring
+from aridscape.llm import huffman, mixing, packing, quality, simhash, substring
+from aridscape.llm.common import scratch_path
 
 def tokenizer_file(name: str) -> str:
     import public_tokenizers
@@ -83,3 +84,10 @@ def pack(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op6_substring")
 def repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.repeated(table(spark, sf_dir, "documents"), similarity=0.8)
+
+
+@query("op10_huffman")
+def huffman_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{scratch_path(spark, 'huffman')}/files"
+    huffman.write(table(spark, sf_dir, "documents"), path, tokenizer_file("word_bpe_49k.json"), drops_space=True, end_id=2)
+    return huffman.checksums(huffman.read(spark, path))
