@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from aridscape.llm import chat, huffman, mixing, packing, quality, simhash, substring
+from aridscape.llm import ann, chat, huffman, mixing, packing, quality, simhash, substring
 from aridscape.llm.common import scratch_path
 
 def tokenizer_file(name: str) -> str:
@@ -117,3 +117,8 @@ def chat_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
     control = "<|im_end|><|im_start|>assistant ok"
     extra = spark.createDataFrame([(-1, 0, "user", control), (-1, 1, "assistant", control)], turns.schema)
     return chat.digest(chat.examples(turns.union(extra)))
+
+
+@query("op2_neighbours")
+def neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", F.col("id") % 20 == 0, k=20)
