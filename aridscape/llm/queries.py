@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from aridscape.llm import ann, chat, huffman, mixing, packing, quality, simhash, substring
+from aridscape.llm import ann, chat, huffman, mixing, packing, pages, quality, simhash, substring
 from aridscape.llm.common import scratch_path
 
 def tokenizer_file(name: str) -> str:
@@ -122,3 +122,8 @@ def chat_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op2_neighbours")
 def neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", F.col("id") % 20 == 0, k=20)
+
+
+@query("op9_html")
+def page_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.extracted(table(spark, sf_dir, "pages"))
