@@ -106,28 +106,34 @@ class Paragraphs:
 
 
 def _signatures(docs: DataFrame, bands: int, rows: int) -> DataFrame:
-    """``key, content, n``: per batch and content one row with its own hash as key
+    """``key, content, n``: per some 50,000 paragraphs and content one row with its own hash as key
     and its number of occurrences, and one with each band's key (n = 0)."""
 
+    def rows_of(contents, keys):
+        content, at, n = np.unique(np.concatenate(contents), return_index=True, return_counts=True)
+        band = np.concatenate(keys, axis=1)[:, at]
+        return pa.RecordBatch.from_arrays(
+            [
+                pa.array(np.concatenate([content, *band]).view(np.int64)),
+                pa.array(np.tile(content, bands + 1).view(np.int64)),
+                pa.array(np.concatenate([n, np.zeros(len(content) * bands, np.int64)]).astype(np.int32)),
+            ],
+            ["key", "content", "n"],
+        )
+
     def run(batches):
         for batch in batches:
-            contents, keys = [], []
+            contents, keys, held = [], [], 0
             for s in slices(batch.column(0)):
                 p = Paragraphs(s)
                 contents.append(p.content)
                 keys.append(p.band_keys(bands, rows))
-            if not contents:
-                continue
-            content, at, n = np.unique(np.concatenate(contents), return_index=True, return_counts=True)
-            band = np.concatenate(keys, axis=1)[:, at]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(np.concatenate([content, *band]).view(np.int64)),
-                    pa.array(np.tile(content, bands + 1).view(np.int64)),
-                    pa.array(np.concatenate([n, np.zeros(len(content) * bands, np.int64)]).astype(np.int32)),
-                ],
-                ["key", "content", "n"],
-            )
+                held += len(p.content)
+                if held > 50_000:
+                    yield rows_of(contents, keys)
+                    contents, keys, held = [], [], 0
+            if contents:
+                yield rows_of(contents, keys)
 
     return docs.select("text").mapInArrow(run, "key long, content long, n int")
 

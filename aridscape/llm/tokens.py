@@ -76,7 +76,7 @@ class Encoder:
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the column and each row's first place among them (and the end)."""
         ids, counts = [np.zeros(0, self.dtype)], [np.zeros(0, np.int64)]
-        for s in slices(column):
+        for s in slices(column, 4 << 20):
             begin, end, row = self._pieces(s)
             direct = self._wide_space(s)
             if len(direct):

@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 
 _WORD = np.ones(256, bool)
 _WORD[[9, 10, 11, 12, 13, 32]] = False
@@ -105,14 +105,14 @@ def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return offsets, data
 
 
-def slices(column: pa.Array) -> Iterator[Slice]:
-    """Slices of about ``SLICE_BYTES``; a longer row is a slice of its own."""
+def slices(column: pa.Array, size: int = SLICE_BYTES) -> Iterator[Slice]:
+    """Slices of about ``size`` bytes; a longer row is a slice of its own."""
     if not len(column):
         return
     all_offsets, all_data = text_buffers(column)
     first, n = 0, len(all_offsets) - 1
     while first < n:
-        to = max(first + 1, int(np.searchsorted(all_offsets, all_offsets[first] + SLICE_BYTES, "right")) - 1)
+        to = max(first + 1, int(np.searchsorted(all_offsets, all_offsets[first] + size, "right")) - 1)
         to = min(to, n)
         offsets = all_offsets[first : to + 1] - all_offsets[first]
         data = all_data[all_offsets[first] : all_offsets[to]]
