@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from aridscape.llm import ann, chat, huffman, mixing, packing, pages, quality, simhash, substring
+from aridscape.llm import ann, chat, huffman, katz, mixing, packing, pages, quality, simhash, substring
 from aridscape.llm.common import scratch_path
 
 def tokenizer_file(name: str) -> str:
@@ -127,3 +127,8 @@ def neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_html")
 def page_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.extracted(table(spark, sf_dir, "pages"))
+
+
+@query("op1_katz")
+def katz_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return katz.score(table(spark, sf_dir, "documents"), order=2)
