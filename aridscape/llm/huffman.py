@@ -137,7 +137,7 @@ def _staged(docs: DataFrame, tokenizer: str, drops_space: bool, end_id: int) ->
 
     def run(batches):
         code = encoder(tokenizer, drops_space)
-        for batch in batches:
+        for batch in _small(batches, 2048):
             ids, bounds = code.encode(batch.column(2))
             parts = [ids[a:b].tobytes() + int(end_id).to_bytes(ids.itemsize, "little") for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(parts, pa.binary())], ["doc_id", "text_hash", "ids"])
@@ -146,6 +146,13 @@ def _staged(docs: DataFrame, tokenizer: str, drops_space: bool, end_id: int) ->
     return written(keyed.mapInArrow(run, "doc_id long, text_hash long, ids binary"), "ids")
 
 
+def _small(batches, rows: int = 512):
+    """The batches in pieces of few documents, which bounds what numpy holds at once."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def _buffers(column, dtype) -> tuple[np.ndarray, np.ndarray]:
     """All ids of a binary column and each row's bounds."""
     _, offsets, data = column.buffers()
@@ -159,9 +166,8 @@ def id_counts(staged: DataFrame, dtype, size: int) -> np.ndarray:
 
     def run(batches):
         total = np.zeros(size, np.int64)
-        for batch in batches:
-            if batch.num_rows:
-                total += np.bincount(_buffers(batch.column(0), dtype)[0], minlength=size)
+        for batch in _small(batches):
+            total += np.bincount(_buffers(batch.column(0), dtype)[0], minlength=size)
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int64)), pa.array(total[used])], ["id", "n"])
 
@@ -185,9 +191,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, drops_space: bool, end_id:
 
     def encode(batches):
         codes = canonical_codes(lengths)
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in _small(batches):
             ids, bounds = _buffers(batch.column(2), dtype)
             packed, begin, inside = encode_documents(ids, bounds, codes, lengths)
             parts = [packed[a:b].tobytes() for a, b in zip(begin[:-1].tolist(), begin[1:].tolist())]
@@ -219,9 +223,9 @@ def write(docs: DataFrame, path: str, tokenizer: str, drops_space: bool, end_id:
                 }
             )
 
-        for batch in batches:
+        for batch in _small(batches):
             columns = [batch.column(k).to_pylist() if k != "marks" else [x.values.to_numpy() for x in batch.column(k)] for k in ("doc_id", "n", "bits", "marks")]
-            part = batch.column("part")[0].as_py() if batch.num_rows else part
+            part = batch.column("part")[0].as_py()
             for row in zip(*columns):
                 held.append(row)
                 ids_held += row[1]

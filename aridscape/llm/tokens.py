@@ -17,7 +17,9 @@ import pyarrow as pa
 from aridscape.llm.words import Slice, slices
 
 #: Entries kept between batches; beyond it the store starts anew.
-KEPT = 3_000_000
+KEPT = 1_500_000
+#: Texts per call of the tokenizer, whose results are large while they live.
+CALL = 8192
 
 
 class Encoder:
@@ -37,8 +39,14 @@ class Encoder:
         self.length = np.zeros(0, np.int64)
         self.flat = np.zeros(0, self.dtype)
 
-    def _ids(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def _ids(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the texts, and how many each has."""
+        flat, counts = [np.zeros(0, self.dtype)], [np.zeros(0, np.int64)]
+        for at in range(0, len(texts), CALL):
+            found = [e.ids for e in self.tokenizer.encode_batch_fast(texts[at : at + CALL], add_special_tokens=False)]
+            counts.append(np.fromiter(map(len, found), np.int64, len(found)))
+            flat.append(np.fromiter((x for ids in found for x in ids), self.dtype, int(counts[-1].sum())))
+        return np.concatenate(flat), np.concatenate(counts)
 
     def _pieces(self, s: Slice) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Begin, end and row of the pieces of a slice."""
@@ -90,9 +98,7 @@ class Encoder:
             new[~new] = self.known[slot[~new]] != hashes[~new]
             if new.any():
                 texts = [s.data[b:e].tobytes().decode("utf-8", "replace") for b, e in zip(begin[at[new]].tolist(), end[at[new]].tolist())]
-                found = self._ids(texts)
-                length = np.fromiter(map(len, found), np.int64, len(found))
-                flat = np.fromiter((x for f in found for x in f), self.dtype, int(length.sum()))
+                flat, length = self._ids(texts)
                 place = len(self.flat) + np.cumsum(length) - length
                 known = np.concatenate([self.known, hashes[new]])
                 order = np.argsort(known, kind="stable")
@@ -109,9 +115,9 @@ class Encoder:
             count = np.bincount(row, length, s.rows).astype(np.int64)
             if len(direct):
                 parts = np.split(out, np.cumsum(count)[:-1])
-                for r, got in zip(direct.tolist(), self._ids([s.data[s.offsets[r] : s.offsets[r + 1]].tobytes().decode("utf-8", "replace") for r in direct.tolist()])):
-                    parts[r] = np.array(got, self.dtype)
-                    count[r] = len(got)
+                for r in direct.tolist():
+                    parts[r], _ = self._ids([s.data[s.offsets[r] : s.offsets[r + 1]].tobytes().decode("utf-8", "replace")])
+                    count[r] = len(parts[r])
                 out = np.concatenate(parts)
             ids.append(out)
             counts.append(count)
