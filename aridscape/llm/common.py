@@ -44,6 +44,13 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def boxed(docs: DataFrame, **keys) -> DataFrame:
+    """``docs`` as one struct ``row`` beside the given key columns, so that no
+    column of a caller's table can clash with a name used inside."""
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    return docs.select(row, *[column.alias(name) for name, column in keys.items()])
+
+
 def _contract(batches):
     """Spanning forest of the links in one task, as (member, smallest member)."""
     import numpy as np

@@ -25,7 +25,7 @@ import heapq
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from aridscape.llm.common import written
+from aridscape.llm.common import boxed, written
 
 WORD = r"[^\x20\x09-\x0D]+"
 MAX_COPIES = 3
@@ -209,12 +209,10 @@ def mixed(docs: DataFrame, seed: int = 17, **options) -> DataFrame:
     memberships = options.get("memberships")
     _, cuts, _ = decisions(docs, seed=seed, **options)
     pattern = _pattern_id(F.array(F.col("source")) if memberships is None else memberships)
-    names = docs.columns
-    out = docs.withColumns({"_pattern": pattern, "_key": key_column(F.col("doc_id"), F.col("text"), seed)})
-    out = out.join(cuts, F.col("_pattern") == F.col("cut_pattern"))
-    empty = (size_column(F.col("text")) == 0)
-    copies = F.when(empty, 0).otherwise(F.size(given(F.col("_key"), F.col("cuts"))))
-    return out.withColumn("_copy", F.explode(F.array_repeat(F.lit(0), copies))).select(*names)
+    rows = boxed(docs, pattern=pattern, key=key_column(F.col("doc_id"), F.col("text"), seed), empty=size_column(F.col("text")) == 0)
+    rows = rows.join(cuts, F.col("pattern") == F.col("cut_pattern"))
+    copies = F.when(F.col("empty"), 0).otherwise(F.size(given(F.col("key"), F.col("cuts"))))
+    return rows.select("row", F.explode(F.array_repeat(F.lit(0), copies))).select("row.*")
 
 
 def taken(docs: DataFrame, seed: int = 17, **options) -> DataFrame:

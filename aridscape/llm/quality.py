@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from aridscape.llm.common import written
+from aridscape.llm.common import boxed, written
 from aridscape.llm.words import mixed, slices, windows
 
 SYMBOLS = b"#*$%&|<>"
@@ -64,11 +64,11 @@ def text_statistics(column: pa.Array) -> dict[str, np.ndarray]:
         breaks = np.flatnonzero(s.data == 10)
         begin = np.union1d(s.offsets[:-1], breaks + 1)
         begin = begin[begin < len(s.data)]
-        stop = np.union1d(s.offsets[1:], breaks)
-        stop = stop[np.searchsorted(stop, begin)] if len(begin) else begin
-        held = np.searchsorted(s.starts, stop) > np.searchsorted(s.starts, begin)
-        begin, stop = begin[held], stop[held]
         line_row = np.searchsorted(s.offsets, begin, "right") - 1
+        stop = np.append(breaks, len(s.data))[np.searchsorted(breaks, begin)]
+        stop = np.minimum(stop, s.offsets[line_row + 1])
+        held = np.searchsorted(s.starts, stop) > np.searchsorted(s.starts, begin)
+        begin, stop, line_row = begin[held], stop[held], line_row[held]
         lines = np.bincount(line_row, minlength=rows)
         first = np.unique(s.hashes(begin, stop) ^ salt[line_row], return_index=True)[1]
         add("n_lines", lines)
@@ -96,7 +96,7 @@ def statistics_table(docs: DataFrame) -> DataFrame:
             keys = [batch.column(k) for k in KEYS]
             yield pa.RecordBatch.from_arrays(keys + [pa.array(stats[k]) for k in names], [*KEYS, *names])
 
-    kinds = {f.name: f.dataType.simpleString() for f in docs.schema}
+    kinds = {k: docs.schema[k].dataType.simpleString() for k in ("doc_id", "lang", "source")}
     schema = ", ".join(f"{k} {kinds.get(k, 'bigint')}" for k in KEYS) + "".join(f", {k} bigint" for k in names)
     keyed = docs.select("doc_id", "lang", "source", F.xxhash64("text").alias("text_hash"), "text")
     return keyed.mapInArrow(run, schema)
@@ -261,7 +261,8 @@ def filtered(docs: DataFrame, **options) -> DataFrame:
     verdict by ``doc_id`` and, for repeated or null ids, by the text's hash.
     """
     verdicts = judged(docs, **options).where("kept").select(
-        F.col("doc_id").alias("_id"), F.col("lang").alias("_lang"), F.col("source").alias("_source"), F.col("text_hash").alias("_hash")
+        F.col("doc_id").alias("v_id"), F.col("lang").alias("v_lang"), F.col("source").alias("v_source"), F.col("text_hash").alias("v_hash")
     ).distinct()
-    same = [F.col(a).eqNullSafe(F.col(b)) for a, b in (("doc_id", "_id"), ("lang", "_lang"), ("source", "_source"))]
-    return docs.join(verdicts, [*same, F.xxhash64("text") == F.col("_hash")], "left_semi")
+    rows = boxed(docs, k_id=F.col("doc_id"), k_lang=F.col("lang"), k_source=F.col("source"), k_hash=F.xxhash64("text"))
+    same = [F.col(f"k_{k}").eqNullSafe(F.col(f"v_{k}")) for k in ("id", "lang", "source")]
+    return rows.join(verdicts, [*same, F.col("k_hash") == F.col("v_hash")], "left_semi").select("row.*")

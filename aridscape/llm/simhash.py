@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from aridscape.llm.common import components, written
+from aridscape.llm.common import boxed, components, written
 from aridscape.llm.words import mixed
 
 SEED = 42
@@ -225,7 +225,8 @@ def deduplicated(docs: DataFrame, width: int = 5, radius: int = 18, limit: int =
         keep.doc_id.alias("_id"), keep.text_hash.alias("_hash"), "copies"
     )
     keep = written(keep, "keep")
-    kept = docs.join(keep.select("_id", "_hash"), docs.doc_id.eqNullSafe(F.col("_id")) & (F.xxhash64(docs.text) == F.col("_hash")), "left_semi")
+    rows = boxed(docs, k_id=F.col("doc_id").cast("long"), k_hash=F.xxhash64("text"))
+    kept = rows.join(keep.select("_id", "_hash"), F.col("k_id").eqNullSafe(F.col("_id")) & (F.col("k_hash") == F.col("_hash")), "left_semi").select("row.*")
     if keep.where("copies > 1").isEmpty():
         return kept
     return kept.dropDuplicates(["doc_id", "text"])

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from aridscape.llm.common import components, written
+from aridscape.llm.common import boxed, components, written
 from aridscape.llm.words import _powers, mixed, slices, windows
 
 REACH = 6
@@ -63,10 +63,13 @@ class Paragraphs:
             same = line[k:] == line[:-k]
             least[k:] &= ~same | (value[k:] < value[:-k])
             least[:-k] &= ~same | (value[:-k] <= value[k:])
-        cut = least
-        cut[:1] = True
-        cut[1:] |= line[1:] != line[:-1]
-        # what follows a line's first cut too soon stays with it
+        # a line begins a paragraph, and no cut leaves less than MIN_WORDS at its ends
+        fresh = np.ones(n, bool)
+        fresh[1:] = line[1:] != line[:-1]
+        begin = np.flatnonzero(fresh)
+        size = np.diff(np.append(begin, n))
+        inside = np.arange(n) - np.repeat(begin, size)
+        cut = fresh | (least & (inside >= MIN_WORDS) & (np.repeat(size, size) - inside >= MIN_WORDS))
         self.first = np.flatnonzero(cut)
         self.stop = np.append(self.first[1:], n)
         long = self.stop - self.first >= MIN_WORDS
@@ -291,17 +294,18 @@ def cleaned(docs: DataFrame, **options) -> DataFrame:
     there, set anew); documents of which no word is left go."""
     spans = repeated(docs, **options).where("removed")
     spans = spans.groupBy(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).agg(F.collect_list(F.struct("start", "stop")).alias("_spans"))
-    names = docs.columns
-    both = docs.join(spans, docs.doc_id.eqNullSafe(F.col("_id")) & (F.xxhash64(docs.text) == F.col("_hash")), "left")
+    rows = boxed(docs, k_id=F.col("doc_id").cast("long"), k_hash=F.xxhash64("text"))
+    both = rows.join(spans, F.col("k_id").eqNullSafe(F.col("_id")) & (F.col("k_hash") == F.col("_hash")), "left").select("row", "_spans")
 
     @F.pandas_udf("string")
     def cut(texts, lists):
         import pandas as pd
 
-        return pd.Series([t if s is None else without_spans(t, [(x["start"], x["stop"]) for x in s]) for t, s in zip(texts, lists)])
+        return pd.Series([None if s is None else without_spans(t, [(x["start"], x["stop"]) for x in s]) for t, s in zip(texts, lists)])
 
-    changed = both.withColumn("text", F.when(F.col("_spans").isNull(), F.col("text")).otherwise(cut("text", "_spans")))
-    changed = changed.where(F.col("_spans").isNull() | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
-    if "n_chars" in names:
-        changed = changed.withColumn("n_chars", F.when(F.col("_spans").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")))
-    return changed.select(*names)
+    marked = F.col("_spans").isNotNull()
+    both = both.withColumn("_text", cut(F.when(marked, F.col("row.text")), "_spans"))
+    both = both.where(~marked | F.col("_text").rlike(r"[^\x20\x09-\x0D]"))
+    new = {"text": F.col("_text"), "n_chars": F.length("_text").cast("long")}
+    columns = [F.when(marked, new[c]).otherwise(F.col(f"row.`{c}`")).alias(c) if c in new else F.col(f"row.`{c}`") for c in docs.columns]
+    return both.select(*columns)
