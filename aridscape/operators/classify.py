@@ -4,15 +4,19 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import math
+
 import numpy as np
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from aridscape.functions.columns import ratio
-from aridscape.operators.stats import SMALL, column_quantiles
+from aridscape.operators.stats import column_quantiles
 
 METHODS = ("jenks", "equal_interval", "quantile")
-JENKS_BINS = 2048
+BARS = 1024
+SPLIT = 64
 
 
 def histogram(df: DataFrame, value: str, bins: int, *, low: float, high: float) -> DataFrame:
@@ -32,10 +36,35 @@ def histogram(df: DataFrame, value: str, bins: int, *, low: float, high: float)
     )
 
 
+def value_edges(data: DataFrame, low: float, high: float, bars: int) -> list[float]:
+    """Edges of equal counts and of equal widths together, so that neither a crowded
+    nor a stretched part of the range falls into one bar."""
+    probs = F.array(*[F.lit(i / bars) for i in range(1, bars)])
+    marks = data.agg(F.percentile_approx("v", probs, 8 * bars)).first()[0]
+    return sorted({float(m) for m in marks} | set(np.linspace(low, high, bars + 1).tolist()))
+
+
+def value_bars(data: DataFrame, edges: Sequence[float], centre: float) -> dict[str, np.ndarray]:
+    """Rows between neighbouring edges: count, centred sum and squares, least and greatest value."""
+    splits = [-math.inf, *edges, math.inf]
+    gap = F.col("v") - F.lit(centre)
+    rows = (
+        Bucketizer(splits=splits, inputCol="v", outputCol="bar")
+        .transform(data)
+        .groupBy("bar")
+        .agg(F.count("*").alias("n"), F.sum(gap).alias("total"), F.sum(gap * gap).alias("squares"), F.min("v").alias("least"), F.max("v").alias("most"))
+        .orderBy("bar")
+        .collect()
+    )
+    return {c: np.array([r[c] for r in rows], dtype="float64") for c in ("n", "total", "squares", "least", "most")}
+
+
 def _optimal_cuts(n: np.ndarray, s: np.ndarray, q: np.ndarray, k: int) -> list[int]:
     """Last bin of each of ``k`` groups minimising within-group squares (Fisher's dynamic program)."""
     cn, cs, cq = (np.concatenate(([0.0], np.cumsum(v))) for v in (n, s, q))
     m = n.size
+    if m < k:
+        raise ValueError(f"{m} bars cannot be cut into {k} groups")
 
     def cost(starts: np.ndarray, stop: int) -> np.ndarray:
         count = cn[stop] - cn[starts]
@@ -58,45 +87,51 @@ def _optimal_cuts(n: np.ndarray, s: np.ndarray, q: np.ndarray, k: int) -> list[i
     return cuts[::-1]
 
 
-def compute_breaks(df: DataFrame, value: str, *, method: str = "jenks", n_classes: int = 5, bins: int = JENKS_BINS, small: int = SMALL) -> list[float]:
-    """Upper class bounds; the last one is the maximum.
+def natural_breaks(data: DataFrame, low: float, high: float, n_classes: int, bars: int = BARS) -> list[float]:
+    """Upper bounds of the ``n_classes`` groups of ``v`` with the least squares within.
 
-    Natural breaks are optimal on a histogram of all rows (or on the distinct
-    values themselves when they are few): the cluster reduces the data to at
-    most ``bins`` rows, the driver only partitions those.
+    The cluster reduces all rows to bars, a dynamic program on the driver cuts
+    them, and bars beside a cut are split until each holds one value. Bars
+    grow with ``bars`` and the number of classes, not with the data.
     """
+    edges = value_edges(data, low, high, bars)
+    while True:
+        found = value_bars(data, edges, (low + high) / 2)
+        several = found["least"] < found["most"]
+        if found["n"].size < n_classes:
+            if not several.any():
+                raise ValueError(f"only {found['n'].size} distinct values for {n_classes} classes")
+            beside = np.flatnonzero(several)
+        else:
+            cuts = _optimal_cuts(found["n"], found["total"], found["squares"], n_classes)
+            near = {c + k for c in cuts[:-1] for k in (0, 1)}
+            beside = np.array([i for i in sorted(near) if several[i]], dtype="int64")
+            if not beside.size:
+                return [*[float(found["most"][c]) for c in cuts[:-1]], float(high)]
+        fresh = [np.linspace(found["least"][i], found["most"][i], SPLIT + 1)[1:] for i in beside]
+        edges = sorted(set(edges) | set(np.concatenate(fresh).tolist()))
+
+
+def compute_breaks(df: DataFrame, value: str, *, method: str = "jenks", n_classes: int = 5, bars: int = BARS) -> list[float]:
+    """Upper class bounds; the last one is the maximum."""
     if method not in METHODS:
         raise ValueError(f"unknown method {method!r}, expected one of {METHODS}")
     if n_classes < 2:
         raise ValueError(f"at least two classes are needed, got {n_classes}")
     data = df.select(F.col(value).cast("double").alias("v")).where(F.col("v").isNotNull() & ~F.isnan("v"))
-    head = data.agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.approx_count_distinct("v").alias("d")).first()
+    head = data.agg(F.min("v").alias("lo"), F.max("v").alias("hi")).first()
     low, high = head["lo"], head["hi"]
     if low is None:
         raise ValueError("no defined value to classify")
-    few = data.select("v").distinct().limit(bins + 1) if head["d"] <= 2 * bins else None
-    distinct = few.count() if few is not None else head["d"]
+    if method == "jenks":
+        return natural_breaks(data, low, high, n_classes, bars)
+    distinct = data.select("v").distinct().limit(n_classes).count()
     if distinct < n_classes:
         raise ValueError(f"only {distinct} distinct values for {n_classes} classes")
     if method == "equal_interval":
         return np.linspace(low, high, n_classes + 1)[1:].tolist()
-    if method == "quantile":
-        probs = np.linspace(0, 1, n_classes + 1)[1:].tolist()
-        return column_quantiles(data, ["v"], probs, small=small)["v"]
-    if distinct <= bins:
-        grouped = data.groupBy("v").agg(F.count("*").alias("n")).orderBy("v").collect()
-        v = np.array([r["v"] for r in grouped])
-        n = np.array([r["n"] for r in grouped], dtype="float64")
-        centred = v - low
-        total, squares, most = n * centred, n * centred**2, v
-    else:
-        grouped = histogram(data, "v", bins, low=low, high=high).orderBy("bin").collect()
-        n = np.array([r["n"] for r in grouped], dtype="float64")
-        total = np.array([r["total"] for r in grouped]) - n * low
-        squares = np.array([r["squares"] for r in grouped])
-        most = np.array([r["most"] for r in grouped])
-    cuts = _optimal_cuts(n, total, squares, n_classes)
-    return [*[float(most[c]) for c in cuts[:-1]], float(high)]
+    probs = np.linspace(0, 1, n_classes + 1)[1:].tolist()
+    return column_quantiles(data, ["v"], probs)["v"]
 
 
 def apply_breaks(value: Column, breaks: Sequence[float], n_classes: int | None = None) -> Column:
@@ -161,19 +196,20 @@ def _weighted_centres(v: np.ndarray, w: np.ndarray, k: int, restarts: int, seed:
     return best.tolist()
 
 
-def kmeans_agreement(df: DataFrame, value: str, breaks: Sequence[float], *, bins: int = JENKS_BINS, seed: int = 0, restarts: int = 10) -> DataFrame:
+def kmeans_agreement(df: DataFrame, value: str, breaks: Sequence[float], *, bars: int = BARS, seed: int = 0, restarts: int = 10) -> DataFrame:
     """Share of rows that k-means puts in the same ordered class as ``breaks``.
 
-    The clusters are fitted on the histogram the cluster reduced the data to;
+    The clusters are fitted on the bars the cluster reduced the data to;
     the agreement is counted on every row. In one dimension a cluster ends
     halfway between neighbouring centres, so membership is a plain projection.
     """
-    head = df.agg(F.min(value).alias("lo"), F.max(value).alias("hi")).first()
-    bars = histogram(df, value, bins, low=head["lo"], high=head["hi"]).select(
-        (F.col("total") / F.col("n")).alias("v"), F.col("n").cast("double").alias("w")
-    ).orderBy("v").collect()
-    v, w = (np.array([r[c] for r in bars]) for c in ("v", "w"))
-    centres = _weighted_centres(v, w, len(breaks), restarts, seed)
+    data = df.select(F.col(value).cast("double").alias("v")).where(F.col(value).isNotNull())
+    head = data.agg(F.min("v").alias("lo"), F.max("v").alias("hi")).first()
+    centre = (head["lo"] + head["hi"]) / 2
+    found = value_bars(data, value_edges(data, head["lo"], head["hi"], bars), centre)
+    if found["n"].size < len(breaks):
+        raise ValueError(f"only {found['n'].size} distinct values for {len(breaks)} clusters")
+    centres = _weighted_centres(centre + found["total"] / found["n"], found["n"], len(breaks), restarts, seed)
     borders = [(a + b) / 2 for a, b in zip(centres, centres[1:])]
     same = apply_breaks(F.col(value), breaks) == apply_breaks(F.col(value), [*borders, float("inf")])
     return df.where(F.col(value).isNotNull()).agg(F.avg(same.cast("double")).alias("agreement"), F.count("*").alias("n"))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from aridscape.functions.columns import defined
 from aridscape.operators.stats import column_quantiles, hash_sample, spearman
+from aridscape.operators.validate import unique_labels
 from aridscape.session import cut_lineage
 
 PHYSICAL_FEATURES = ("precipitation", "soil_awc", "slope", "aspect", "lst")
@@ -28,22 +29,24 @@ def feature_names(criteria: Sequence[str], model: str = "physical") -> list[str]
     raise ValueError(f"unknown model {model!r}")
 
 
-def training_table(stack: DataFrame, anomalies: DataFrame, severity: DataFrame, features: Sequence[str], *, valid: Sequence[str], cell_filter=None, max_severity: float = 0.0, keep: Sequence[str] = ("row", "col")) -> DataFrame:
+def training_table(stack: DataFrame, anomalies: DataFrame, severity: DataFrame, features: Sequence[str], *, valid: Sequence[str], cell_filter=None, max_severity: float = 0.0, keep: Sequence[str] = ("row", "col"), label_keys: Sequence[str] = ()) -> DataFrame:
     """Rows of mildly to severely dry years: static features, the year's index, raw anomaly as label.
 
-    ``severity`` is one row per year; filtering the anomalies by it first
-    lets partition pruning skip the other years.
+    ``severity`` is one row per year (and per value of ``label_keys``, which the
+    anomalies then carry too); filtering the anomalies by it first lets partition
+    pruning skip the other years.
     """
-    years = severity.where(F.col("severity") <= max_severity).select("year", F.col("severity").alias(DYNAMIC_FEATURE))
+    severity = unique_labels(severity, label_keys)
+    years = severity.where(F.col("severity") <= max_severity).select(*label_keys, "year", F.col("severity").alias(DYNAMIC_FEATURE))
     static = stack.where(defined(F.col(v) for v in valid))
     if cell_filter is not None:
         static = static.where(cell_filter)
     return (
         anomalies.where(F.col("anomaly").isNotNull())
-        .select("cell_id", "year", F.col("anomaly").alias("label"))
-        .join(years, "year")
+        .select(*label_keys, "cell_id", "year", F.col("anomaly").alias("label"))
+        .join(years, [*label_keys, "year"])
         .join(static.select("cell_id", *keep, *features), "cell_id")
-        .select("cell_id", "year", *keep, *features, DYNAMIC_FEATURE, "label")
+        .select(*label_keys, "cell_id", "year", *keep, *features, DYNAMIC_FEATURE, "label")
     )
 
 

@@ -21,7 +21,7 @@ def stack_layers(layers: DataFrame, names: Sequence[str], *, cell: str = "cell_i
     Aggregating instead of joining k layers moves each value once and needs no
     sort. A layer that is absent is an error; a cell missing a value is null.
     """
-    present = {r[layer] for r in layers.select(layer).distinct().limit(1000).collect()}
+    present = {r[layer] for r in layers.where(F.col(layer).isin(*names)).select(layer).distinct().collect()}
     missing = [n for n in names if n not in present]
     if missing:
         raise FileNotFoundError(f"layers not built yet: {missing}")
@@ -109,7 +109,7 @@ def contributions(stack: DataFrame, weights: Mapping[str, float]) -> DataFrame:
     )
 
 
-def sensitivity(stack: DataFrame, baseline: Mapping[str, float], scenarios: Mapping[str, Mapping[str, float]], breaks: Sequence[float], *, digits: int = 9, **options) -> DataFrame:
+def sensitivity(stack: DataFrame, baseline: Mapping[str, float], scenarios: Mapping[str, Mapping[str, float]], breaks: Sequence[float], *, digits: int = 12, **options) -> DataFrame:
     """Per weight scenario: index shift, class agreement under baseline breaks, rank correlation.
 
     All scenario indices come from one projection over one scan and share their

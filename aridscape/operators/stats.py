@@ -1,9 +1,8 @@
 """Exact order statistics, ranks and samples that stay distributed.
 
 ``percentile`` keeps every distinct value of a group in one buffer and a rank
-window sorts a whole group in one task. Both are used here only below a row
-count that fits a task; above it the same exact answer comes from histogram
-refinement (quantiles) or value buckets with offsets (ranks).
+window sorts a whole group in one task. Neither is used: exact quantiles come from
+histogram refinement and ranks from value buckets with offsets, at every size.
 """
 
 from __future__ import annotations
@@ -18,7 +17,9 @@ from pyspark.sql import functions as F
 from aridscape.session import cut_lineage
 
 BINS = 4096
-SMALL = 1_000_000
+BUCKET_ROWS = 1_000_000
+LEAST_BUCKETS = 8
+SLICE_ROWS = 10_000
 SALTS = 64
 
 
@@ -41,13 +42,11 @@ def column_quantiles(
     columns: Mapping[str, Column] | Sequence[str],
     probs: Sequence[float],
     *,
-    small: int = SMALL,
     stats: Mapping[str, tuple] | None = None,
 ) -> dict[str, list[float]]:
     """Linear-interpolation quantiles of each column over the non-null rows.
 
-    Two small jobs up to ``small`` rows. Beyond that every pass is one scan
-    that counts values per bin (map-side combined) and narrows the bin holding
+    Every pass is one scan that counts values per bin (map-side combined) and narrows the bin holding
     each wanted order statistic to the values it really contains, so no row is
     shuffled and the result is still exact. ``stats`` passes counts and ranges
     that are already known.
@@ -57,10 +56,6 @@ def column_quantiles(
     data = df.select(*[exprs[n].cast("double").alias(n) for n in names])
     stats = stats or column_stats(data, names)
     counts = {n: stats[n][0] for n in names}
-    if max(counts.values()) <= small:
-        row = data.agg(*[F.percentile(n, F.array(*[F.lit(float(p)) for p in probs])).alias(n) for n in names]).first()
-        return {n: list(row[n]) if row[n] is not None else [math.nan] * len(probs) for n in names}
-
     wanted = {}
     for n in names:
         if counts[n]:
@@ -109,12 +104,13 @@ def _order_statistics(data: DataFrame, wanted: dict) -> dict:
             .orderBy("interval", "bin")
             .collect()
         )
+        place = {interval: i for i, interval in enumerate(intervals)}
+        of_interval: dict[int, list] = {}
+        for row in rows:
+            of_interval.setdefault(row["interval"], []).append(row)
         for (n, rank), (low, high, below) in list(wanted.items()):
-            i = intervals.index((n, low, high))
             seen = below
-            for row in rows:
-                if row["interval"] != i:
-                    continue
+            for row in of_interval[place[(n, low, high)]]:
                 if seen + row["n"] > rank:
                     wanted[(n, rank)] = (row["low"], row["high"], seen)
                     break
@@ -133,13 +129,13 @@ class _ValueSpread:
         self.frequent = frequent
 
     @classmethod
-    def measure(cls, df: DataFrame, columns: Sequence[str], small: int) -> list["_ValueSpread"]:
+    def measure(cls, df: DataFrame, columns: Sequence[str], bucket_rows: int) -> list["_ValueSpread"]:
         """Approximate marks suffice: they balance the work and never touch the result."""
         rows = df.count()
-        if rows <= small:
+        if not rows:
             return [cls([], []) for _ in columns]
-        # a bucket holds about ``small`` rows, as far as the number of marks stays reasonable
-        steps = min(max(rows // max(small, 1), 64), 8192)
+        # a bucket holds about ``bucket_rows`` rows
+        steps = max(rows // max(bucket_rows, 1), LEAST_BUCKETS)
         probs = F.array(*[F.lit(i / steps) for i in range(1, steps)])
         row = df.agg(*[F.percentile_approx(c, probs, 4 * steps).alias(f"q{i}") for i, c in enumerate(columns)]).first()
         spreads = []
@@ -202,24 +198,30 @@ def _average_rank(counts: DataFrame, groups: list[str], value: str, weight: str,
     )
 
 
-def value_pairs(df: DataFrame, x: str, y: str, *, groups: Sequence[str] = (), digits: int = 9) -> DataFrame:
+def significant(value: Column, digits: int) -> Column:
+    """Value to so many significant digits, whatever its magnitude."""
+    size = F.pow(F.lit(10.0), F.floor(F.log10(F.abs(value))))
+    return F.when(value == 0, F.lit(0.0)).otherwise(F.round(value / size, digits - 1) * size)
+
+
+def value_pairs(df: DataFrame, x: str, y: str, *, groups: Sequence[str] = (), digits: int = 12) -> DataFrame:
     """Distinct ``groups, x, y`` with their row count ``weight``, materialised once.
 
-    Values are rounded so summation-order noise cannot split ties. Repeated
-    pairs collapse before anything is shuffled on a value.
+    Values keep ``digits`` significant digits, so summation-order noise cannot
+    split ties. Repeated pairs collapse before anything is shuffled on a value.
     """
-    rounded = lambda c: F.round(F.col(c).cast("double"), digits) + 0.0
+    rounded = lambda c: significant(F.col(c).cast("double"), digits)
     rows = df.select(*groups, rounded(x).alias("x"), rounded(y).alias("y")).where(F.col("x").isNotNull() & F.col("y").isNotNull())
     return cut_lineage(rows.groupBy(*groups, "x", "y").agg(F.count("*").alias("weight")))
 
 
-def pair_correlation(pairs: DataFrame, *, groups: Sequence[str] = (), min_n: int = 100, small: int = SMALL) -> DataFrame:
+def pair_correlation(pairs: DataFrame, *, groups: Sequence[str] = (), min_n: int = 100, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """Rank correlation of weighted pairs: ``groups..., n, rho``.
 
     Rows of very frequent values are salted when their rank is looked up.
     """
     groups = list(groups)
-    spread_x, spread_y = _ValueSpread.measure(pairs, ["x", "y"], small)
+    spread_x, spread_y = _ValueSpread.measure(pairs, ["x", "y"], bucket_rows)
 
     def with_rank(data: DataFrame, value: str, other: str, spread: _ValueSpread, rank: str) -> DataFrame:
         counts = pairs.groupBy(*groups, value).agg(F.sum("weight").alias("_n"))
@@ -246,14 +248,14 @@ def pair_correlation(pairs: DataFrame, *, groups: Sequence[str] = (), min_n: int
     return sums.select(*groups, "n", F.when((F.col("n") >= min_n) & (vx > 0) & (vy > 0), rho).alias("rho"))
 
 
-def spearman(df: DataFrame, x: str, y: str, *, groups: Sequence[str] = (), min_n: int = 100, small: int = SMALL, digits: int = 9) -> DataFrame:
+def spearman(df: DataFrame, x: str, y: str, *, groups: Sequence[str] = (), min_n: int = 100, bucket_rows: int = BUCKET_ROWS, digits: int = 12) -> DataFrame:
     """Rank correlation with average ranks over all jointly defined rows.
 
     Returns ``groups..., n, rho``; ``rho`` is null below ``min_n`` rows or
     where a side is constant.
     """
     pairs = value_pairs(df, x, y, groups=groups, digits=digits)
-    return pair_correlation(pairs, groups=groups, min_n=min_n, small=small)
+    return pair_correlation(pairs, groups=groups, min_n=min_n, bucket_rows=bucket_rows)
 
 
 # --- samples and lookups -------------------------------------------------------
@@ -264,16 +266,15 @@ def hash_sample(
 ) -> DataFrame:
     """``size`` rows per group in the order of a seeded key hash (all rows if fewer).
 
-    Reproducible under re-execution. Rows are split by the hash's leading bits;
-    whole slices below the cut are kept from their counts alone, so no group
-    is ever ranked in a single task.
+    Reproducible under re-execution. Rows are split by the hash's leading bits,
+    as many as leave some ``SLICE_ROWS`` rows in a slice; whole slices below the
+    cut are kept from their counts alone, so no group is ever ranked in a single
+    task, and the order is that of the hash, however many bits are taken.
     """
     groups = list(groups)
-    slices = 4096
+    bits = max(1, math.ceil(math.log2(max(df.count() / SLICE_ROWS, 2))))
     limit = size if isinstance(size, Column) else F.lit(size)
-    hashed = df.withColumn("_h", F.xxhash64(*keys, F.lit(seed))).withColumn(
-        "_slice", F.pmod(F.col("_h"), F.lit(slices))
-    )
+    hashed = df.withColumn("_h", F.xxhash64(*keys, F.lit(seed))).withColumn("_slice", F.shiftrightunsigned("_h", 64 - bits))
     before = (
         Window.partitionBy(*groups).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     )

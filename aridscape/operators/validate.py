@@ -98,14 +98,16 @@ def cell_subset(landcover: int | None = None, min_irrigation_m: float | None = N
     return keep
 
 
-def yearly_test(joined: DataFrame, labels: DataFrame, *, risk: str = "risk", classes: str = "class", anomaly: str = "anomaly", keys: Sequence[str] = (), min_pairs: int = 100, **options) -> DataFrame:
+def yearly_test(joined: DataFrame, labels: DataFrame, *, risk: str = "risk", classes: str = "class", anomaly: str = "anomaly", keys: Sequence[str] = (), label_keys: Sequence[str] = (), min_pairs: int = 100, **options) -> DataFrame:
     """Per year: label, mean anomaly, rank correlation and class monotonicity.
 
     ``joined`` is the risk table already joined with the anomalies of all
     years; every measure is one grouped pass over it. Land cover or map
-    variants go into ``keys``.
+    variants go into ``keys``; ``label_keys`` (such as a region) name the rows of
+    ``labels`` beside the year and are grouped by as well.
     """
-    keys = list(keys)
+    keys = [*label_keys, *[k for k in keys if k not in label_keys]]
+    labels = unique_labels(labels, label_keys)
     by = [*keys, "year"]
     # the join behind the rows is evaluated once; both measures scan its result
     rows = cut_lineage(joined.where(F.col(anomaly).isNotNull()).select(*by, F.col(risk).alias("risk"), F.col(classes).alias("class"), F.col(anomaly).alias("anomaly")))
@@ -117,15 +119,27 @@ def yearly_test(joined: DataFrame, labels: DataFrame, *, risk: str = "risk", cla
     return (
         means.join(rho, by, "left")
         .join(shape, by, "left")
-        .join(labels.select("year", "severity", "is_dry"), "year", "left")
+        .join(labels.select(*label_keys, "year", "severity", "is_dry"), [*label_keys, "year"], "left")
         .withColumn("is_dry", F.coalesce("is_dry", F.lit(False)))
         .select(*by, "severity", "is_dry", "mean_anomaly", "cells", "rho", "monotone")
     )
 
 
-def pooled_class_means(class_means: DataFrame, labels: DataFrame, *, dry_only: bool = True, keys: Sequence[str] = ()) -> DataFrame:
-    """Cell-weighted class means over the dry (or all) years."""
-    rows = class_means.join(labels.where(F.col("is_dry")).select("year") if dry_only else labels.select("year"), "year", "left_semi")
+def unique_labels(labels: DataFrame, label_keys: Sequence[str] = ()) -> DataFrame:
+    """``labels``; an error at run time where a year has several rows that
+    ``label_keys`` do not tell apart, instead of every region's label on all."""
+    by = Window.partitionBy(*label_keys, "year")
+    message = f"several labels for one year: name what tells them apart in label_keys (now {list(label_keys)})"
+    counted = labels.withColumn("_same", F.count("*").over(by))
+    return counted.where(F.when(F.col("_same") > 1, F.raise_error(F.lit(message)).cast("boolean")).otherwise(F.lit(True))).drop("_same")
+
+
+def pooled_class_means(class_means: DataFrame, labels: DataFrame, *, dry_only: bool = True, keys: Sequence[str] = (), label_keys: Sequence[str] = ()) -> DataFrame:
+    """Cell-weighted class means over the dry (or all) years of each of ``label_keys``."""
+    keys = [*label_keys, *[k for k in keys if k not in label_keys]]
+    labels = unique_labels(labels, label_keys)
+    wanted = labels.where(F.col("is_dry")) if dry_only else labels
+    rows = class_means.join(wanted.select(*label_keys, "year"), [*label_keys, "year"], "left_semi")
     return rows.groupBy(*keys, "class").agg(
         (F.sum(F.col("mean") * F.col("n")) / F.sum("n")).alias("mean"), F.sum("n").alias("n")
     )

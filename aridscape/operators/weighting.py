@@ -1,8 +1,8 @@
 """Pairwise-comparison weighting as a batch over many respondents.
 
-Judgements are tall: ``respondent, i, j, a``. A matrix is at most ten by ten
-(the random index ends there), so collecting one matrix into an array is a
-bounded step after duplicates were merged.
+Judgements are tall: ``respondent, i, j, a``; one matrix is one array. The random
+index ends at ten criteria: larger matrices are solved too, but have no
+consistency ratio and are rejected.
 """
 
 from __future__ import annotations
@@ -111,8 +111,7 @@ def consistency(lambda_max: Column, n: Column, random_index: Sequence[float] = R
 
 def solve(matrix: DataFrame, *, keys: Sequence[str] = ("respondent",), max_cr: float = MAX_CR, random_index: Sequence[float] = RANDOM_INDEX) -> DataFrame:
     """Eigenvector weights, consistency and the accept flag per matrix."""
-    limit = len(random_index)
-    merged = matrix.where((F.col("i") < limit) & (F.col("j") < limit)).groupBy(*keys, "i", "j").agg(F.max("a").alias("a"))
+    merged = matrix.groupBy(*keys, "i", "j").agg(F.max("a").alias("a"))
     flat = merged.groupBy(*keys).agg(
         F.transform(F.array_sort(F.collect_list(F.struct("i", "j", "a"))), lambda s: s["a"]).alias("flat")
     )
@@ -126,7 +125,7 @@ def solve(matrix: DataFrame, *, keys: Sequence[str] = ("respondent",), max_cr: f
         ci.alias("ci"),
         ri.alias("ri"),
         cr.alias("cr"),
-    ).withColumn("accepted", F.col("cr") <= max_cr)
+    ).withColumn("accepted", F.coalesce(F.col("cr") <= max_cr, F.lit(False)))
 
 
 def require_consistent(solved: DataFrame) -> DataFrame:

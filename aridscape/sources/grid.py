@@ -194,7 +194,8 @@ def alignment_report(layer: DataFrame, grid: GridSpec, *, keys: Sequence[str] =
 def aligned_scan(spark: SparkSession, path: str, grid: GridSpec) -> DataFrame:
     """Read a stored layer; reject another grid, foreign cells or duplicates."""
     layer = spark.read.schema(LAYER_SCHEMA).parquet(path)
-    for stored in layer.select("grid").distinct().limit(2).collect():
+    # one row per differing grid; a file written by ``write_layer`` holds one
+    for stored in layer.select("grid").distinct().toLocalIterator():
         other = GridSpec.from_json(stored["grid"])
         same_shape = (other.width, other.height, other.crs) == (grid.width, grid.height, grid.crs)
         close = max(abs(other.left - grid.left), abs(other.top - grid.top), abs(other.resolution - grid.resolution))

@@ -278,14 +278,20 @@ def _(v):
     return out.select(*[r6(c).alias(c) for c in keep], "better")
 
 
-@query("o16_swap_maps", sql("scores", """SELECT round(avg(abs(a - b)), 6) AS mean_abs_diff, round(max(abs(a - b)), 6) AS max_abs_diff, count(*) AS n FROM (
-  SELECT 0.6 * precip + 0.4 * ndvi_dry AS a, 0.6 * precip + 0.4 * soil AS b FROM scores)"""))
+@query("o16_swap_maps", sql("scores", """SELECT round(avg(abs(a - b)), 6) AS mean_abs_diff, round(max(abs(a - b)), 6) AS max_abs_diff, count(*) AS n,
+  round(avg(CASE WHEN ca = cb THEN 1.0 ELSE 0.0 END), 6) AS same_class FROM (
+  SELECT *, CASE WHEN a <= 0.2 THEN 1 WHEN a <= 0.4 THEN 2 WHEN a <= 0.6 THEN 3 WHEN a <= 0.8 THEN 4 ELSE 5 END AS ca,
+            CASE WHEN b <= 0.2 THEN 1 WHEN b <= 0.4 THEN 2 WHEN b <= 0.6 THEN 3 WHEN b <= 0.8 THEN 4 ELSE 5 END AS cb
+  FROM (SELECT round(0.6 * precip + 0.4 * ndvi_dry, 9) AS a, round(0.6 * precip + 0.4 * soil, 9) AS b FROM scores) WHERE a IS NOT NULL AND b IS NOT NULL)"""))
 def _(v):
     base = {"precip": 0.6, "vegetation": 0.4}
     both = O.weighted_overlay(v.scores.withColumn("vegetation", F.col("ndvi_dry")), base, output="a")
     both = O.weighted_overlay(both.withColumn("vegetation", F.col("soil")), base, output="b")
-    out = O.agreement(both.withColumns({"ca": F.lit(1), "cb": F.lit(1)}), "a", "b", "ca", "cb")
-    return out.select("n", r6("mean_abs_diff").alias("mean_abs_diff"), r6("max_abs_diff").alias("max_abs_diff"))
+    both = both.withColumns({"a": r9(F.col("a")), "b": r9(F.col("b"))}).where("a IS NOT NULL AND b IS NOT NULL")
+    breaks = [0.2, 0.4, 0.6, 0.8, 1.0]
+    classed = both.withColumns({"ca": K.apply_breaks(F.col("a"), breaks), "cb": K.apply_breaks(F.col("b"), breaks)})
+    out = O.agreement(classed, "a", "b", "ca", "cb")
+    return out.select("n", r6("mean_abs_diff").alias("mean_abs_diff"), r6("max_abs_diff").alias("max_abs_diff"), r6("class_agreement").alias("same_class"))
 
 
 @query("o17_criterion_drop", sql("scores", f"""SELECT cell_id, round(({_W['precip']} * precip + {_W['ndvi_dry']} * ndvi_dry) / ({_W['precip']} + {_W['ndvi_dry']}) + 0 * soil + 0 * lst, 6) AS risk FROM scores"""))

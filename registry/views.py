@@ -290,14 +290,9 @@ class Views:
         return label_dry_years(self.basin, "soil", threshold=0.0).withColumn("severity", r9(F.col("severity")))
 
 
-_CACHE: dict[tuple[int, str], Views] = {}
-
-
 def views(spark: SparkSession, sf_dir: str) -> Views:
-    key = (id(spark._jsparkSession), sf_dir)
-    if key not in _CACHE or _CACHE[key].spark is not spark:
-        _CACHE[key] = Views(spark, sf_dir)
-    return _CACHE[key]
+    """Views of one query: nothing is kept between queries."""
+    return Views(spark, sf_dir)
 
 
 # --- the same views in SQL --------------------------------------------------------

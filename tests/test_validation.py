@@ -37,8 +37,8 @@ def test_leave_one_out_equals_numpy(spark):
 
 
 def test_leaving_the_year_out_shows_the_full_drop(spark):
-    row = M.leave_one_out(impact(spark, [[0.50, 0.52, 0.48, 0.51, 0.49, 0.30]]), standardize=False).where("year = 2005").first()
-    assert row["anomaly"] == pytest.approx(-0.2)
+    row = M.leave_one_out(impact(spark, [[0.61, 0.64, 0.58, 0.63, 0.59, 0.36]]), standardize=False).where("year = 2005").first()
+    assert row["anomaly"] == pytest.approx(0.36 - 3.05 / 5)
 
 
 def test_report_shares_and_classes(spark):
@@ -107,10 +107,24 @@ def test_verdicts(spark, n_dry, n_other, dry, other, need, expected):
 
 
 def test_pooling_weights_by_cells(spark):
-    means = spark.createDataFrame([(2001, 1, -1.0, 10), (2002, 1, 0.0, 990), (2003, 1, 5.0, 7)], "year int, class int, mean double, n long")
-    labels = spark.createDataFrame([(2001, True), (2002, True), (2003, False)], "year int, is_dry boolean")
-    assert V.pooled_class_means(means, labels).first()["mean"] == pytest.approx(-0.01)
-    assert V.pooled_class_means(means, labels, dry_only=False).first()["n"] == 1007
+    means = spark.createDataFrame([(2011, 2, 3.0, 25), (2012, 2, -0.5, 175), (2013, 2, 9.0, 40)], "year int, class int, mean double, n long")
+    labels = spark.createDataFrame([(2011, True), (2012, True), (2013, False)], "year int, is_dry boolean")
+    assert V.pooled_class_means(means, labels).first()["mean"] == pytest.approx((75 - 87.5) / 200)
+    assert V.pooled_class_means(means, labels, dry_only=False).first()["n"] == 240
+
+
+def test_labels_of_two_regions_stay_apart(spark):
+    rows = [(g, y, c, c / 10, 1 + c // 50, (0.1 if g == "n" else -0.1) * c) for g in "ns" for y in (2011, 2012, 2013) for c in range(100)]
+    joined = spark.createDataFrame(rows, "region_id string, year int, cell int, risk double, class int, anomaly double")
+    labels = spark.createDataFrame([(g, y, 0.0, (g == "n") == (y == 2012)) for g in "ns" for y in (2011, 2012, 2013)], "region_id string, year int, severity double, is_dry boolean")
+    got = V.yearly_test(joined, labels, label_keys=["region_id"]).collect()
+    assert len(got) == 6 and all(r["is_dry"] == ((r["region_id"] == "n") == (r["year"] == 2012)) for r in got)
+    assert all(r["rho"] == pytest.approx(1 if r["region_id"] == "n" else -1) for r in got)
+    means = joined.groupBy("region_id", "year", "class").agg(F.avg("anomaly").alias("mean"), F.count("*").alias("n"))
+    pooled = V.pooled_class_means(means, labels, label_keys=["region_id"]).collect()
+    assert {(r["region_id"], r["class"]): r["n"] for r in pooled} == {("n", 1): 50, ("n", 2): 50, ("s", 1): 100, ("s", 2): 100}
+    with pytest.raises(Exception, match="several labels"):
+        V.yearly_test(joined, labels).collect()
 
 
 @pytest.fixture(scope="module")

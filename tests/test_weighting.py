@@ -100,13 +100,13 @@ def test_aggregation_is_geometric(spark):
 
 
 def test_group_leaves_out_the_inconsistent(spark):
-    good = consistent([0.6, 0.3, 0.1])
+    good = consistent([0.55, 0.28, 0.17])
     cyclic = [[1, 5, 1 / 5], [1 / 5, 1, 5], [5, 1 / 5, 1]]
     group, report = A.group_solution(matrix(spark, g=good, bad=cyclic))
-    np.testing.assert_allclose(group.first()["weights"], [0.6, 0.3, 0.1], atol=1e-9)
+    np.testing.assert_allclose(group.first()["weights"], [0.55, 0.28, 0.17], atol=1e-9)
     assert {r["respondent"]: r["accepted"] for r in report.collect()} == {"g": True, "bad": False}
     everyone, _ = A.group_solution(matrix(spark, g=good, bad=cyclic), exclude_inconsistent=False)
-    assert abs(everyone.first()["weights"][0] - 0.6) > 0.01
+    assert abs(everyone.first()["weights"][0] - 0.55) > 0.01
     nobody, _ = A.group_solution(matrix(spark, bad=cyclic))
     assert nobody.isEmpty()
 
@@ -128,7 +128,7 @@ def test_survey_roundtrip(spark, tmp_path):
     survey.require_complete(parsed, ["p", "q", "r"])
 
 
-@pytest.mark.parametrize("cell,problem", [("0", "outside the scale"), ("12", "outside the scale"), ("-15", "outside the scale"), ("abc", "not a number"), ("0.5", "outside the scale"), ("", "not answered")])
+@pytest.mark.parametrize("cell,problem", [("10", "outside the scale"), ("-37", "outside the scale"), ("seven", "not a number"), ("-0.25", "outside the scale"), ("  ", "not answered")])
 def test_survey_errors_are_named(spark, cell, problem):
     parsed = answers(spark, FORM.format(cell))
     assert [r["problem"] for r in survey.survey_errors(parsed, ["p", "q", "r"]).collect()] == [problem]
@@ -146,3 +146,12 @@ def test_questionnaire_numbers_every_pair(spark):
     people = spark.createDataFrame([("u1",), ("u2",)], "respondent string")
     rows = survey.questionnaire(people, list("abcd"), {c: c.upper() for c in "abcd"}).where("respondent = 'u2'").orderBy("no").collect()
     assert [(r["no"], r["A_kod"], r["B_kod"]) for r in rows] == [(1, "a", "b"), (2, "a", "c"), (3, "a", "d"), (4, "b", "c"), (5, "b", "d"), (6, "c", "d")]
+
+
+def test_matrices_beyond_the_index_table_are_rejected(spark):
+    from aridscape.operators.weighting import solve
+
+    rows = [(r, i, j, 1.0) for r, n in (("small", 4), ("large", 12)) for i in range(n) for j in range(n)]
+    got = {r["respondent"]: r for r in solve(spark.createDataFrame(rows, "respondent string, i int, j int, a double")).collect()}
+    assert got["small"]["accepted"] and got["small"]["n"] == 4
+    assert got["large"]["n"] == 12 and got["large"]["cr"] is None and got["large"]["accepted"] is False
