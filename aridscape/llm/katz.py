@@ -25,6 +25,7 @@ from __future__ import annotations
 
 import gc
 import math
+import time
 import zlib
 
 import numpy as np
@@ -34,15 +35,18 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from aridscape.llm.common import scratch_path
+from aridscape.llm.common import remove, scratch_path
 from aridscape.llm.words import mixed, slices
 
 TOP = 5
-CHUNK = 1_500_000
+CHUNK = 2_000_000
 HOT = 2_000_000
 END = np.uint64(1)
 BEFORE = np.uint64(0xFFFFFFFF)
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
+CHUNKS = (
+    "kind string, chunk long, vocabulary binary, counts binary, doc_ids array<long>, train binary, lengths binary, ranks binary, tokens binary, n_train long, n_tokens long"
+)
 RESULT = "kind string, bucket long, chunk long, numbers array<long>, parts array<binary>"
 
 
@@ -77,7 +81,7 @@ def in_training(doc_id: int | None) -> bool:
 
 
 def _chunks(docs: DataFrame, size: int) -> DataFrame:
-    """``chunk, doc_ids, train, lengths, vocabulary, counts, ranks, tokens``."""
+    """Two rows per chunk: ``words`` (vocabulary and its counts) and ``body`` (the documents)."""
 
     def run(batches):
         task, number = TaskContext.get().partitionId(), 0
@@ -91,20 +95,20 @@ def _chunks(docs: DataFrame, size: int) -> DataFrame:
             by_use = np.argsort(-np.bincount(place), kind="stable")
             ranks = np.empty(len(vocabulary), np.int64)
             ranks[by_use] = np.arange(len(vocabulary))
-            return pa.RecordBatch.from_pydict(
-                {
-                    "chunk": pa.array([(task << 32) + number]),
-                    "doc_ids": pa.array([ids], pa.list_(pa.int64())),
-                    "train": pa.array([packed(train.astype(np.uint8))], pa.binary()),
-                    "lengths": pa.array([packed(length)], pa.binary()),
-                    "vocabulary": pa.array([vocabulary.tobytes()], pa.binary()),
-                    "counts": pa.array([packed(counts)], pa.binary()),
-                    "ranks": pa.array([packed(ranks)], pa.binary()),
-                    "tokens": pa.array([packed(ranks[place])], pa.binary()),
-                    "n_train": pa.array([int(train.sum())]),
-                    "n_tokens": pa.array([len(hashes)]),
-                }
-            )
+            values = {
+                "kind": (pa.string(), "words", "body"),
+                "chunk": (pa.int64(), (task << 32) + number, (task << 32) + number),
+                "vocabulary": (pa.binary(), vocabulary.tobytes(), None),
+                "counts": (pa.binary(), packed(counts), None),
+                "doc_ids": (pa.list_(pa.int64()), None, ids),
+                "train": (pa.binary(), None, packed(train.astype(np.uint8))),
+                "lengths": (pa.binary(), None, packed(length)),
+                "ranks": (pa.binary(), None, packed(ranks)),
+                "tokens": (pa.binary(), None, packed(ranks[place])),
+                "n_train": (pa.int64(), None, int(train.sum())),
+                "n_tokens": (pa.int64(), None, len(hashes)),
+            }
+            return pa.RecordBatch.from_arrays([pa.array(list(v[1:]), v[0]) for v in values.values()], list(values))
 
         for batch in batches:
             names = batch.column(0).to_pylist()
@@ -121,10 +125,7 @@ def _chunks(docs: DataFrame, size: int) -> DataFrame:
         if ids:
             yield chunk()
 
-    schema = (
-        "chunk long, doc_ids array<long>, train binary, lengths binary, vocabulary binary, counts binary, ranks binary, tokens binary, n_train long, n_tokens long"
-    )
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, CHUNKS)
 
 
 def _cuts(keys: np.ndarray, bits: int) -> list[tuple[int, int, int]]:
@@ -372,9 +373,12 @@ def _merge_grams(group: pa.Table) -> pa.Table:
 
 
 def _release(spark: SparkSession) -> None:
-    """Lets Spark drop the shuffle files of finished steps."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    """Lets Spark drop the shuffle files of finished steps: once Python has let go
+    of its handles, the driver's next collection finds them."""
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.5)
 
 
 def score(docs: DataFrame, order: int = 2, path: str | None = None, chunk: int = CHUNK, hot: int = HOT) -> DataFrame:
@@ -386,13 +390,14 @@ def score(docs: DataFrame, order: int = 2, path: str | None = None, chunk: int =
     spark = docs.sparkSession
     path = path or f"{scratch_path(spark, 'katz')}/model"
 
-    def write(df: DataFrame, name: str, *by: str) -> DataFrame:
-        df.write.option("compression", "zstd").partitionBy(*by).parquet(f"{path}/{name}")
+    def write(df: DataFrame, name: str, schema: str) -> DataFrame:
+        df.write.option("compression", "zstd").partitionBy("kind").parquet(f"{path}/{name}")
         _release(spark)
-        return spark.read.parquet(f"{path}/{name}") if not by else spark.read.schema(RESULT).parquet(f"{path}/{name}")
+        return spark.read.schema(schema).parquet(f"{path}/{name}")
 
-    chunks = write(_chunks(docs, chunk), "chunks")
-    documents, tokens = chunks.agg(F.sum("n_train"), F.sum("n_tokens")).first()
+    chunks = write(_chunks(docs, chunk), "chunks", CHUNKS)
+    body = chunks.where("kind = 'body'").select("chunk", "doc_ids", "train", "lengths", "ranks", "tokens")
+    documents, tokens = chunks.where("kind = 'body'").agg(F.sum("n_train"), F.sum("n_tokens")).first()
     if tokens is None:
         return spark.createDataFrame([], "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
     # partitions of about a million entries
@@ -401,15 +406,16 @@ def score(docs: DataFrame, order: int = 2, path: str | None = None, chunk: int =
     levels: dict[int, tuple] = {}
 
     def learnt(level: int, merged: DataFrame) -> DataFrame:
-        table = write(merged, f"level={level}", "kind")
+        table = write(merged, f"level={level}", RESULT)
         rows = table.where("kind = 'stats'").agg(*[F.sum(F.col("numbers")[i]) for i in range(TOP + 3)]).first()
         total, distinct, *n = [x or 0 for x in rows]
         discounts = good_turing(n)
         levels[level] = (total, distinct, discounts, *(word_model(total, n, discounts) if level == 1 else ()))
         return table.where("kind = 'answer'").select("chunk", "bucket", F.lit(level).alias("level"), "parts")
 
-    answers = learnt(1, _word_requests(chunks, bits).groupBy("bucket").applyInArrow(_merge_words(bits), RESULT))
-    body = chunks.select("chunk", "doc_ids", "train", "lengths", "ranks", "tokens")
+    answers = learnt(1, _word_requests(chunks.where("kind = 'words'"), bits).groupBy("bucket").applyInArrow(_merge_words(bits), RESULT))
+    # the words now stand in the model
+    remove(spark, f"{path}/chunks/kind=words")
     def asking(known: dict[int, tuple]):
         def ask(table: pa.Table, given: pa.Table) -> pa.Table:
             view, row = _chunk_of(table, given, known, documents, hot)

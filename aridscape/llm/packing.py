@@ -97,7 +97,7 @@ def pack_lengths(lengths: np.ndarray, capacity: int = LENGTH) -> list[tuple[int,
     return out
 
 
-def packed(docs: DataFrame, tokenizer: str, drops_space: bool = False, end_id: int = 1, length: int = LENGTH, group_rows: int = 4096, seed: int = 11) -> DataFrame:
+def packed(docs: DataFrame, tokenizer: str, drops_space: bool = False, end_id: int = 1, length: int = LENGTH, group_rows: int = 2048, seed: int = 11) -> DataFrame:
     """One row per piece: ``doc_id, start, length, ids, doc_tokens, sequence_id, offset``.
 
     ``ids`` holds the piece's ids as little-endian unsigned 32-bit integers; a

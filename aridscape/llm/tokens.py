@@ -17,9 +17,9 @@ import pyarrow as pa
 from aridscape.llm.words import Slice, slices
 
 #: Entries kept between batches; beyond it the store starts anew.
-KEPT = 1_500_000
+KEPT = 800_000
 #: Texts per call of the tokenizer, whose results are large while they live.
-CALL = 8192
+CALL = 2048
 
 
 class Encoder:
@@ -84,7 +84,7 @@ class Encoder:
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the column and each row's first place among them (and the end)."""
         ids, counts = [np.zeros(0, self.dtype)], [np.zeros(0, np.int64)]
-        for s in slices(column, 4 << 20):
+        for s in slices(column, 2 << 20):
             begin, end, row = self._pieces(s)
             direct = self._wide_space(s)
             if len(direct):

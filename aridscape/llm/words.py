@@ -7,6 +7,7 @@ byte values, taken from prefix sums, so that any range costs two look-ups.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -16,6 +17,19 @@ import pyarrow.compute as pc
 
 SLICE_BYTES = 1 << 20
 
+
+def _return_memory() -> None:
+    """Python workers live on between tasks: large arrays go back to the system
+    when they are freed, instead of staying with an idle worker."""
+    pa.set_memory_pool(pa.system_memory_pool())
+    try:
+        ctypes.CDLL("libc.so.6").mallopt(-3, 1 << 20)  # M_MMAP_THRESHOLD
+    except (OSError, AttributeError):
+        pass  # another C library
+
+
+_return_memory()
+
 _WORD = np.ones(256, bool)
 _WORD[[9, 10, 11, 12, 13, 32]] = False
 LOWER = np.arange(256, dtype=np.uint8)
