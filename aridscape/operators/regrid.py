@@ -38,20 +38,36 @@ def _in_source(cells: DataFrame, grid: GridSpec, source: SourceRaster) -> DataFr
     )
 
 
-def _in_target(data: DataFrame, source: SourceRaster, grid: GridSpec, value: str) -> DataFrame:
-    """Source values under the ``cell_id`` that holds their centre."""
-    centred = data.select(
-        (F.lit(source.left) + (F.col("col") + 0.5) * source.step_x).alias("_cx"),
-        (F.lit(source.top) - (F.col("row") + 0.5) * source.step_y).alias("_cy"),
-        value,
-    )
-    moved = with_transformed(centred, "_cx", "_cy", source.crs, grid.crs, "_x", "_y").select(
-        F.floor((F.lit(grid.top) - F.col("_y")) / grid.resolution).alias("_r"),
-        F.floor((F.col("_x") - F.lit(grid.left)) / grid.resolution).alias("_c"),
-        value,
+#: Share of a source cell below which an overlap is rounding of an edge.
+SLIVER = 1e-6
+
+
+def _overlaps(cells: DataFrame, grid: GridSpec, source: SourceRaster) -> DataFrame:
+    """``cell_id, _r, _c, _w``: source cells under each target cell and the share of them it covers.
+
+    The footprint is the box between two opposite corners, taken into the
+    source's reference system; every target inside the source meets a source cell,
+    whichever of the two is finer.
+    """
+    half = grid.resolution / 2
+    first = with_transformed(
+        cells.select("cell_id", (F.col("x") - half).alias("x"), (F.col("y") + half).alias("y"), (F.col("x") + half).alias("x2"), (F.col("y") - half).alias("y2")),
+        "x", "y", grid.crs, source.crs, "_x0", "_y0",
     )
-    inside = F.col("_r").between(0, grid.height - 1) & F.col("_c").between(0, grid.width - 1)
-    return moved.where(inside).select((F.col("_r") * grid.width + F.col("_c")).cast("long").alias("cell_id"), value)
+    both = with_transformed(first, "x2", "y2", grid.crs, source.crs, "_x1", "_y1")
+    row = lambda y: (F.lit(source.top) - F.col(y)) / source.step_y
+    col = lambda x: (F.col(x) - F.lit(source.left)) / source.step_x
+    boxes = both.select(
+        "cell_id",
+        F.greatest(F.least(row("_y0"), row("_y1")), F.lit(0.0)).alias("r0"),
+        F.least(F.greatest(row("_y0"), row("_y1")), F.lit(float(source.height))).alias("r1"),
+        F.greatest(F.least(col("_x0"), col("_x1")), F.lit(0.0)).alias("c0"),
+        F.least(F.greatest(col("_x0"), col("_x1")), F.lit(float(source.width))).alias("c1"),
+    ).where((F.col("r1") - F.col("r0") > SLIVER) & (F.col("c1") - F.col("c0") > SLIVER))
+    span = lambda lo, hi: F.explode(F.sequence(F.floor(F.col(lo) + SLIVER), F.ceil(F.col(hi) - SLIVER) - 1))
+    part = lambda at, lo, hi: F.least(F.col(at) + 1.0, F.col(hi)) - F.greatest(F.col(at).cast("double"), F.col(lo))
+    taps = boxes.withColumn("_r", span("r0", "r1")).withColumn("_c", span("c0", "c1"))
+    return taps.select("cell_id", "_r", "_c", (part("_r", "r0", "r1") * part("_c", "c0", "c1")).alias("_w"))
 
 
 def _linear(d: Column) -> Column:
@@ -70,22 +86,27 @@ def regrid(source: DataFrame, cells: DataFrame, grid: GridSpec, raster: SourceRa
 
     ``source`` holds ``row, col, value`` without rows for nodata. Interpolating
     methods look up 1, 4 or 16 source cells by key and renormalise over the
-    defined ones; aggregating methods send each source cell to its target.
+    defined ones; aggregating methods weigh all source cells under a target cell
+    by the area they share with it (``mode`` takes the largest area, of equal ones
+    the smallest code).
     """
     if method not in METHODS:
         raise ValueError(f"unknown resampling {method!r}, expected one of {METHODS}")
     if categorical and method not in CATEGORICAL_METHODS:
         raise ValueError(f"{method} would invent class codes; use one of {CATEGORICAL_METHODS}")
     data = source.where(F.col(value).isNotNull())
+    lookup = data.select(F.col("row").cast("long").alias("_r"), F.col("col").cast("long").alias("_c"), F.col(value).alias("_v"))
     if method in ("average", "mode", "max", "min"):
-        aggregate = {
-            "average": F.avg(value), "max": F.max(value), "min": F.min(value), "mode": F.mode(value, deterministic=True),
-        }[method]
-        return _in_target(data, raster, grid, value).groupBy("cell_id").agg(aggregate.alias(value))
+        under = _overlaps(cells, grid, raster).join(lookup, ["_r", "_c"])
+        if method == "mode":
+            areas = under.groupBy("cell_id", "_v").agg(F.sum("_w").alias("_w"))
+            best = areas.groupBy("cell_id").agg(F.max(F.struct(F.round("_w", 6).alias("w"), (-F.col("_v")).alias("v"))).alias("top"))
+            return best.select("cell_id", (-F.col("top.v")).alias(value))
+        aggregate = {"average": ratio(F.sum(F.col("_w") * F.col("_v")), F.sum("_w")), "max": F.max("_v"), "min": F.min("_v")}[method]
+        return under.groupBy("cell_id").agg(aggregate.alias(value))
     placed = _in_source(cells, grid, raster).where(
         (F.col("fr") >= 0) & (F.col("fr") < raster.height) & (F.col("fc") >= 0) & (F.col("fc") < raster.width)
     )
-    lookup = data.select(F.col("row").cast("long").alias("_r"), F.col("col").cast("long").alias("_c"), F.col(value).alias("_v"))
     if method == "nearest":
         wanted = placed.select("cell_id", F.floor("fr").alias("_r"), F.floor("fc").alias("_c"))
         return wanted.join(lookup, ["_r", "_c"]).select("cell_id", F.col("_v").alias(value))

@@ -55,7 +55,26 @@ def _(v):
 
 
 _FINE = f"""dims2 AS (SELECT CAST(floor(CAST(ceil(count(*) / 50.0) AS BIGINT) * 30.0 / 45.0) AS BIGINT) AS th, CAST(ceil(count(*) / 50.0) AS BIGINT) AS sh FROM part),
-fine AS (SELECT r.i * 33 + c.j AS cell_id, (7.0 + (r.i + 0.5) * 45.0) / 30.0 AS fr, (7.0 + (c.j + 0.5) * 45.0) / 30.0 AS fc, sh FROM range(100000) r(i), range(33) c(j), dims2 WHERE r.i < th)"""
+fine AS (SELECT r.i * 33 + c.j AS cell_id, (7.0 + (r.i + 0.5) * 45.0) / 30.0 AS fr, (7.0 + (c.j + 0.5) * 45.0) / 30.0 AS fc, sh FROM (SELECT unnest(range(th)) AS i, sh FROM dims2) r, range(33) c(j))"""
+
+
+_FOOTPRINT = f"""{_FINE}, boxes AS (SELECT cell_id, fr - 0.75 AS r0, fr + 0.75 AS r1, fc - 0.75 AS c0, fc + 0.75 AS c1 FROM fine),
+under AS (SELECT b.cell_id, elev, (least(c."row" + 1, r1) - greatest(c."row", r0)) * (least(c.col + 1, c1) - greatest(c.col, c0)) AS w
+  FROM boxes b JOIN cells c ON c."row" + 1 > r0 + 1e-6 AND c."row" < r1 - 1e-6 AND c.col + 1 > c0 + 1e-6 AND c.col < c1 - 1e-6)"""
+
+
+@query("g01_regrid_area_average", sql("cells", "SELECT cell_id, round(sum(w * elev) / sum(w), 6) AS value FROM under GROUP BY 1", _FOOTPRINT))
+def _(v):
+    grid, cells = _target(v, 45.0, 7.0)
+    source = v.cells.select("row", "col", F.col("elev").alias("value"))
+    return regrid(source, cells, grid, _raster(v), "average").select("cell_id", r6(F.col("value")).alias("value"))
+
+
+@query("g01_regrid_area_max", sql("cells", "SELECT cell_id, max(elev) AS value FROM under GROUP BY 1", _FOOTPRINT))
+def _(v):
+    grid, cells = _target(v, 45.0, 7.0)
+    source = v.cells.select("row", "col", F.col("elev").alias("value"))
+    return regrid(source, cells, grid, _raster(v), "max").select("cell_id", "value")
 
 
 @query("g01_regrid_nearest", sql("cells", 'SELECT f.cell_id, c.elev AS value FROM fine f JOIN cells c ON c."row" = floor(fr) AND c.col = floor(fc)', _FINE))
@@ -217,7 +236,7 @@ _STEP = 0.00027
 
 
 _OVERLAY = f"""t AS (SELECT r.i * 60 + c.j AS cell_id, r.i AS "row", c.j AS col, 27.5985 + (c.j + 0.5) * {_STEP} AS lon, 38.7105 - (r.i + 0.5) * {_STEP} AS lat
-  FROM range(100000) r(i), range(60) c(j), dims WHERE r.i < h), p AS (""" + project("t", 'cell_id, "row", col') + ")"
+  FROM (SELECT unnest(range(h)) AS i FROM dims) r, range(60) c(j)), p AS (""" + project("t", 'cell_id, "row", col') + ")"
 
 
 @query("g15_class_overlay", sql("classes cells dims", f"""SELECT p.cell_id, p."row", p.col, coalesce(k.class, 0) AS class, CASE WHEN k.class > 0 THEN ['#e89286','#dd6a5c','#cc4234','#a12c24','#6b1c15'][k.class] END AS color,

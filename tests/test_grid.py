@@ -1,3 +1,4 @@
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -98,3 +99,24 @@ def test_mode_breaks_ties_to_the_lowest_code(spark):
     source = spark.createDataFrame([(0, 0, 7), (0, 1, 3), (1, 0, 3), (1, 1, 7), (0, 2, 5)], "row long, col long, value int")
     got = {r["cell_id"]: r["value"] for r in regrid(source, G.cells(spark, SPEC), SPEC, raster, "mode", categorical=True).collect()}
     assert got == {0: 3, 1: 5}
+
+
+def test_aggregates_weigh_by_area_and_fill_a_finer_target(spark):
+    n = 12
+    raster = SourceRaster(SPEC.left - 10.0, SPEC.top + 20.0, 45.0, 45.0, n, n, SPEC.crs)
+    values = np.random.default_rng(6).random((n, n))
+    source = spark.createDataFrame([(r, c, float(values[r, c])) for r in range(n) for c in range(n)], "row long, col long, value double")
+    cells = G.cells(spark, SPEC)
+    inside = {(i, j) for i in range(SPEC.height) for j in range(SPEC.width) if 30 * (i + 1) + 20 <= 45 * n and 30 * (j + 1) + 10 <= 45 * n}
+    for method in ("average", "max", "min"):
+        got = {divmod(r["cell_id"], SPEC.width): r["value"] for r in regrid(source, cells, SPEC, raster, method).collect()}
+        assert inside <= set(got)
+        for i, j in inside:
+            r0, c0 = (30 * i + 20) / 45, (30 * j + 10) / 45
+            parts = [
+                ((min(r + 1, r0 + 2 / 3) - max(r, r0)) * (min(c + 1, c0 + 2 / 3) - max(c, c0)), values[r, c])
+                for r in range(int(r0), min(n, int(r0 + 2 / 3 - 1e-9) + 1))
+                for c in range(int(c0), min(n, int(c0 + 2 / 3 - 1e-9) + 1))
+            ]
+            want = {"average": sum(w * v for w, v in parts) / sum(w for w, _ in parts), "max": max(v for _, v in parts), "min": min(v for _, v in parts)}
+            assert got[i, j] == pytest.approx(want[method])
