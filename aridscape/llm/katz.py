@@ -10,7 +10,7 @@ Documents are turned into chunks of some million tokens with a vocabulary of the
 own. Per level, every chunk sends each distinct n-gram once, with its count and the
 next lower probability, to the partition of its context; the partition adds counts
 over all chunks, keeps the table of that level and answers with counts and, per
-context, the sums from which its backoff weight follows. A context that is very
+context that several chunks ask for, the sums from which its backoff weight follows. A context that is very
 frequent is spread over several partitions by its next word, and the chunks add up
 the sums. Only counts of counts reach the driver. The tables stay under the path
 given: ``level=n/kind=model`` holds contexts, words and counts by partition.
@@ -279,8 +279,15 @@ class Chunk:
         """Probabilities of this level from its answers."""
         mine = [p for _, p in sorted(answers)]
         counts = np.concatenate([unpacked(p[0]) for p in mine])
-        seen = np.concatenate([unpacked(p[1]).reshape(TOP, -1) for p in mine], axis=1)
-        total, low = (np.concatenate([unpacked(p[k]) for p in mine]) for k in (2, 3))
+        # what no other chunk asked for follows from the chunk's own n-grams
+        shared = np.concatenate([unpacked(p[1]) for p in mine]).astype(bool)
+        held = self.counts > 0
+        owner, own = np.repeat(np.arange(len(shared)), self.run_length)[held], self.counts[held]
+        n = len(shared)
+        seen = np.stack([np.bincount(owner[own == r], minlength=n) for r in range(1, TOP + 1)])
+        total, low = np.bincount(owner, own, n), np.bincount(owner, self.low[held], n)
+        seen[:, shared] = np.concatenate([unpacked(p[2]).reshape(TOP, -1) for p in mine], axis=1)
+        total[shared], low[shared] = (np.concatenate([unpacked(p[k]) for p in mine]) for k in (3, 4))
         contexts, of_run = np.unique(self.run_context, return_inverse=True)
 
         def add(x):
@@ -352,7 +359,7 @@ def _merge_grams(group: pa.Table) -> pa.Table:
     total = np.add.reduceat(count[order], first) if len(first) else count
     entry = np.empty(len(order), np.int64)
     entry[order] = np.repeat(total, np.diff(np.append(first, len(order))))
-    all_runs, one = np.unique(np.concatenate(run_keys), return_index=True)
+    all_runs, one, askers = np.unique(np.concatenate(run_keys), return_index=True, return_counts=True)
     seen = total > 0
     of_run = np.searchsorted(all_runs, skey[first])[seen]
     got, low_of = total[seen], low[order][first][seen]
@@ -362,8 +369,11 @@ def _merge_grams(group: pa.Table) -> pa.Table:
     rows, at = [], 0
     for (chunk, _), keys, ask in zip(by_chunk, run_keys, asks):
         mine = np.searchsorted(all_runs, keys)
+        shared = askers[mine] > 1
+        mine = mine[shared]
         n = len(ask[3])
-        rows.append(_row("answer", bucket, chunk, [], [packed(entry[at : at + n]), packed(by_count[:, mine].ravel()), packed(sums[mine]), packed(lows[mine])]))
+        parts = [entry[at : at + n], shared.astype(np.uint8), by_count[:, mine].ravel(), sums[mine], lows[mine]]
+        rows.append(_row("answer", bucket, chunk, [], [packed(x) for x in parts]))
         at += n
     rows.append(_row("stats", bucket, -1, [int(got.sum()), len(got), *_counts_of_counts(got)], []))
     context = np.concatenate([a[0] for a in asks])[one]
@@ -381,7 +391,7 @@ def _release(spark: SparkSession) -> None:
         time.sleep(0.5)
 
 
-def score(docs: DataFrame, order: int = 2, path: str | None = None, chunk: int = CHUNK, hot: int = HOT) -> DataFrame:
+def score(docs: DataFrame, order: int = 3, path: str | None = None, chunk: int = CHUNK, hot: int = HOT) -> DataFrame:
     """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score`` of every document.
 
     The model learns from the documents for which ``in_training`` holds; its

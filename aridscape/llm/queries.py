@@ -131,4 +131,4 @@ def page_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op1_katz")
 def katz_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return katz.score(table(spark, sf_dir, "documents"), order=2)
+    return katz.score(table(spark, sf_dir, "documents"), order=3)

@@ -92,6 +92,13 @@ def test_better_than_the_base_on_held_out_text(spark):
     assert held and sum(r.score for r in held) > sum(r.base_score for r in held)
 
 
+def test_registered_model_holds_trigrams(spark, tmp_path):
+    from aridscape.llm.queries import QUERIES
+
+    spark.createDataFrame(ROWS, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    same(QUERIES["op1_katz"](spark, str(tmp_path)).collect(), brute(ROWS, 3))
+
+
 def test_no_training_and_no_rows(spark):
     schema = "doc_id long, text string"
     held = [i for i in range(60) if not katz.in_training(i)][:2]
