@@ -29,6 +29,7 @@ from aridscape.llm.words import mixed
 
 SEED = 42
 TILE = 4096
+SET_TILE = 256
 
 
 def _shingle_hashes(data: bytes, width: int) -> np.ndarray:
@@ -61,7 +62,10 @@ def fingerprint(data: bytes, width: int = 3) -> int:
 
 def wide_fingerprint(data: bytes, width: int = 5, parts: int = 4) -> np.ndarray:
     """``parts`` fingerprints of the text's distinct shingles under independent hashes."""
-    hashes = np.unique(_shingle_hashes(data, width))
+    return _wide(np.unique(_shingle_hashes(data, width)), parts)
+
+
+def _wide(hashes: np.ndarray, parts: int = 4) -> np.ndarray:
     return np.array([_majority(hashes if k == 0 else mixed(hashes + np.uint64(k * 0x9E3779B97F4A7C15 % 2**64))) for k in range(parts)], np.uint64)
 
 
@@ -195,29 +199,98 @@ def near_duplicates(docs: DataFrame, width: int = 3, radius: int = 2) -> DataFra
     return prints.join(by_print, "fp").select("doc_id", "fp", "component_id")
 
 
-def deduplicated(docs: DataFrame, width: int = 5, radius: int = 18, limit: int = 60) -> DataFrame:
+def similar_sets(a: list[np.ndarray], b: list[np.ndarray], same: bool, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Spanning links, numbered as in ``tile_forest``, of the sets (distinct
+    hashes) whose Jaccard similarity is at least ``similarity``."""
+    shift = 0 if same else len(a)
+    sizes = np.array([len(x) for x in b], np.int64)
+    hashes = np.concatenate(b)
+    order = np.argsort(hashes, kind="stable")
+    hashes, owner = hashes[order], np.repeat(np.arange(len(b)), sizes)[order]
+    us, vs = [], []
+    for i, x in enumerate(a):
+        lo, n = np.searchsorted(hashes, x), np.searchsorted(hashes, x, "right")
+        n -= lo
+        at = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())
+        shared = np.bincount(owner[at], minlength=len(b))
+        near = np.flatnonzero((shared > 0) & (shared >= similarity * (len(x) + sizes - shared) - 1e-9))
+        us.append(np.full(len(near), i))
+        vs.append(near + shift)
+    return _forest(np.concatenate(us), np.concatenate(vs), len(a) + (0 if same else len(b)))
+
+
+def exact_links(members: DataFrame, sets: DataFrame, similarity: float, tile: int = SET_TILE) -> DataFrame:
+    """``u, v``: spanning links of the nodes of one ``key`` whose sets reach the similarity.
+
+    ``members`` holds ``key, node`` and ``sets`` holds ``node, shingles``. All pairs
+    of a key are compared; a key with many nodes is split into tiles, of which
+    all pairs are compared.
+    """
+    sizes = members.groupBy("key").agg(F.ceil(F.count("*") / tile).alias("tiles"))
+    tiled = members.join(sizes, "key").join(sets, "node").withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")))
+    tiles = written(tiled.groupBy("key", "tile", "tiles").agg(F.collect_list(F.struct("node", "shingles")).alias("rows")), "set-tiles")
+    own = tiles.select(F.lit(True).alias("same"), F.col("rows").alias("a"), F.slice("rows", 1, 0).alias("b"))
+    split = tiles.where("tiles > 1")
+    other = split.select("key", F.col("tile").alias("other"), F.col("rows").alias("b"))
+    more = split.join(other, "key").where("tile < other").select(F.lit(False).alias("same"), F.col("rows").alias("a"), "b")
+
+    def run(batches):
+        for batch in batches:
+            us, vs = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            for same, *sides in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
+                nodes, shingles = zip(*[(x.values.field("node").to_numpy(zero_copy_only=False), list(x.values.field("shingles").to_numpy(zero_copy_only=False))) for x in sides])
+                member, root = similar_sets(shingles[0], shingles[0] if same else shingles[1], same, similarity)
+                node = np.concatenate(nodes)
+                us.append(node[member])
+                vs.append(node[root])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(us)), pa.array(np.concatenate(vs))], ["u", "v"])
+
+    return own.union(more).mapInArrow(run, "u long, v long")
+
+
+def _shingle_sets(docs: DataFrame, texts: DataFrame, width: int) -> DataFrame:
+    """``node, shingles`` of the ``texts`` (``node, doc_id, text_hash``), one text per node."""
+
+    def run(batches):
+        for batch in batches:
+            found = [np.unique(_shingle_hashes((x.as_py() or "").encode(), width)).view(np.int64) for x in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64()))], ["node", "shingles"])
+
+    keyed = docs.select(F.col("doc_id").cast("long").alias("_id"), F.xxhash64("text").alias("_hash"), "text")
+    both = keyed.join(texts, F.col("_id").eqNullSafe(F.col("doc_id")) & (F.col("_hash") == F.col("text_hash"))).select("node", "text")
+    return both.mapInArrow(run, "node long, shingles array<long>").dropDuplicates(["node"])
+
+
+def deduplicated(docs: DataFrame, width: int = 5, radius: int = 18, limit: int = 60, similarity: float = 0.8) -> DataFrame:
     """The rows of ``docs`` without near copies: the first of each group stays.
 
-    For a similarity of 0.8 between sets of five-word shingles, sixteen bits of
+    Texts whose sets of shingles have a Jaccard similarity of at least
+    ``similarity`` are linked. Fingerprints find the candidates: within each
+    component of close fingerprints all pairs of sets are compared exactly. For a similarity of 0.8 between sets of five-word shingles, sixteen bits of
     a hundred differ on average. So 256 bits are taken: the first 64 are compared
-    exactly in tiles within ``radius``, the pairs found must agree within
+    exactly in tiles within ``radius``, candidates must agree within
     ``limit`` of all bits. First is the smallest ``doc_id`` (null last), then the
     smallest text hash; of equal rows one stays.
     """
 
     def run(batches):
         for batch in batches:
-            prints = [wide_fingerprint((x.as_py() or "").encode(), width) for x in batch.column(2)]
-            prints = np.stack(prints).view(np.int64) if prints else np.zeros((0, 4), np.int64)
+            sets = [np.unique(_shingle_hashes((x.as_py() or "").encode(), width)) for x in batch.column(2)]
+            prints = np.stack([_wide(x) for x in sets]).view(np.int64) if sets else np.zeros((0, 4), np.int64)
+            # texts with the same set of shingles are one node
+            node = np.fromiter((xxhash.xxh64_intdigest(x.tobytes(), SEED) for x in sets), np.uint64, len(sets)).view(np.int64)
             more = pa.array(list(prints[:, 1:]), pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.ascontiguousarray(prints[:, 0])), more], ["doc_id", "text_hash", "fp", "more"])
+            columns = [batch.column(0), batch.column(1), pa.array(np.ascontiguousarray(prints[:, 0])), more, pa.array(node)]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text_hash", "fp", "more", "node"])
 
     keyed = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_hash"), "text")
-    prints = keyed.mapInArrow(run, "doc_id long, text_hash long, fp long, more array<long>").withColumn("node", F.xxhash64("fp", "more"))
+    prints = keyed.mapInArrow(run, "doc_id long, text_hash long, fp long, more array<long>, node long")
     prints = written(prints, "fingerprints")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("first")
     nodes = written(prints.groupBy("node").agg(F.first("fp").alias("fp"), F.first("more").alias("more"), first), "nodes")
-    joined = components(links(nodes.select("node", "fp", "more"), radius, limit))
+    near = written(components(links(nodes.select("node", "fp", "more"), radius, limit)), "candidates")
+    sets = _shingle_sets(docs, nodes.join(near, "node", "left_semi").select("node", "first.doc_id", "first.text_hash"), width)
+    joined = components(exact_links(near.select(F.col("root").alias("key"), "node"), sets, similarity))
     rooted = nodes.select("node", "first").join(joined, "node", "left").select(F.coalesce("root", "node").alias("root"), "first")
     keep = rooted.groupBy("root").agg(F.min("first").alias("first")).select("first.doc_id", "first.text_hash")
     copies = prints.groupBy("doc_id", "text_hash").agg(F.count("*").alias("copies"))

@@ -77,3 +77,35 @@ def test_one_of_each_group_stays(documents):
     assert sorted(r.doc_id for r in kept.collect()) == [5, 8, 9, 11]
     assert kept.columns == documents([]).columns
     assert simhash.deduplicated(documents([])).count() == 0
+
+
+def test_less_similar_texts_stay(documents):
+    def similarity(a, b):
+        a, b = ({tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (a.lower().split(), b.lower().split()))
+        return len(a & b) / len(a | b)
+
+    rows, gone = [], set()
+    for seed in range(12):
+        base = prose(seed, 300).split()
+        for k, (changes, low, high) in enumerate([(0, 1, 1), (5, 0.83, 0.86), (8, 0.74, 0.78), (14, 0.59, 0.63)]):
+            words = list(base)
+            for c in range(changes):
+                words[20 * c + 5 + k] = f"new{k}x{c}"
+            rows.append((10 * seed + k, " ".join(words), "en", "a"))
+            assert low <= similarity(rows[-1][1], " ".join(base)) <= high
+        gone.add(10 * seed + 1)
+    kept = {r.doc_id for r in simhash.deduplicated(documents(rows)).collect()}
+    assert kept == {r[0] for r in rows} - gone
+
+
+def test_tiles_of_sets_find_every_link(spark):
+    r = np.random.default_rng(5)
+    sets = [np.unique(r.integers(0, 14, 9)) for _ in range(60)]
+    want = {(i, j) for i in range(60) for j in range(60) if len(np.intersect1d(sets[i], sets[j])) >= 0.8 * len(np.union1d(sets[i], sets[j])) - 1e-9}
+    table = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(sets)], "node long, shingles array<long>")
+    members = spark.createDataFrame([(1, i) for i in range(60)], "key long, node long")
+    wanted = dict(components(spark.createDataFrame([p for p in want if p[0] < p[1]], "u long, v long")).collect())
+    for tile in (7, 256):
+        found = simhash.exact_links(members, table, 0.8, tile)
+        assert {(x.u, x.v) for x in found.collect()} <= {(i, j) for i in wanted for j in wanted if wanted[i] == wanted[j]}
+        assert dict(components(found).collect()) == wanted
