@@ -1,9 +1,9 @@
 """Repeated passages by paragraph MinHash banding.
 
-A paragraph is a run of words of one line between content-defined cuts: a word
+A paragraph is a run of words of one document between content-defined cuts: a word
 whose hash (with the word before it) is the least of the ``REACH`` words on either
-side starts a new one. So a passage that was pasted into the middle of a line
-falls into the same paragraphs wherever it stands. Paragraphs that share a band
+side starts a new one. Newlines are white space like any other. So a passage falls
+into the same paragraphs wherever it stands and however it is wrapped. Paragraphs that share a band
 of their MinHash signature meet in tiles, their five-word shingle sets are
 compared exactly, and connected paragraphs form a class. The first occurrence of
 a class stays, the others are marked for removal.
@@ -13,7 +13,7 @@ band with many different contents is split into tiles, of which all pairs are
 compared inside tasks. Nothing is capped.
 
 Defined results: null text counts as empty; words are lower-cased in A-Z;
-paragraphs under ``MIN_WORDS`` words are left alone, and so are marked runs under
+documents under ``MIN_WORDS`` words are left alone, and so are marked runs under
 ``MIN_RUN`` words of one document; repeats within one document alone are no class;
 rows equal in ``doc_id`` and text are one document; a null ``doc_id`` sorts last
 and is carried along; an empty table gives no rows; other columns are ignored by
@@ -55,17 +55,15 @@ class Paragraphs:
         self.slice = s
         n = len(s.starts)
         self.words = s.hashes(lower=True)
-        breaks = np.flatnonzero(s.data == 10)
-        line = np.searchsorted(breaks, s.starts) + s.row
         value = mixed(self.words + np.concatenate([[0], self.words[:-1]]).astype(np.uint64) * np.uint64(3)) if n else self.words
         least = np.ones(n, bool)
         for k in range(1, REACH + 1):
-            same = line[k:] == line[:-k]
+            same = s.row[k:] == s.row[:-k]
             least[k:] &= ~same | (value[k:] < value[:-k])
             least[:-k] &= ~same | (value[:-k] <= value[k:])
-        # a line begins a paragraph, and no cut leaves less than MIN_WORDS at its ends
+        # a document begins a paragraph, and no cut leaves less than MIN_WORDS at its ends
         fresh = np.ones(n, bool)
-        fresh[1:] = line[1:] != line[:-1]
+        fresh[1:] = s.row[1:] != s.row[:-1]
         begin = np.flatnonzero(fresh)
         size = np.diff(np.append(begin, n))
         inside = np.arange(n) - np.repeat(begin, size)

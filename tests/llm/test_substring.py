@@ -45,6 +45,26 @@ def test_whole_copies_leave_one(documents):
     assert all(len(clean[i]) < 40 for i in (2, None) if i in clean)
 
 
+def wrapped(text, width):
+    words = text.split()
+    return "\n".join(" ".join(words[i : i + width]) for i in range(0, len(words), width))
+
+
+def test_layout_of_lines_does_not_matter(documents):
+    rows = [(i, prose(i, 90), "en", "a") for i in range(8)]
+    for k, seed in enumerate((91, 92, 93)):
+        passage = prose(seed, 60)
+        layouts = [(wrapped(passage, 4), wrapped(passage, 4)), (wrapped(passage, 4), wrapped(passage, 9)), (wrapped(passage, 1), passage)][k]
+        for n, text in enumerate(layouts):
+            rows.append((10 + 10 * k + n, prose(200 + 10 * k + n, 40) + "\n" + text + "\n" + prose(300 + 10 * k + n, 40), "en", "a"))
+    text = {r[0]: r[1] for r in rows}
+    clean = {r.doc_id: r.text for r in substring.cleaned(documents(rows)).collect()}
+    for i, t in text.items():
+        lost = len(t.split()) - len(clean[i].split())
+        assert (30 <= lost <= 60) if i in (11, 21, 31) else lost == 0
+        assert clean[i].split()[:40] == t.split()[:40]
+
+
 def test_pairs_equal_brute_force():
     r = np.random.default_rng(0)
     sets = [np.unique(r.integers(0, 12, 8)) for _ in range(40)]
