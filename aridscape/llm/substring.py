@@ -55,7 +55,9 @@ class Paragraphs:
         self.slice = s
         n = len(s.starts)
         self.words = s.hashes(lower=True)
-        value = mixed(self.words + np.concatenate([[0], self.words[:-1]]).astype(np.uint64) * np.uint64(3)) if n else self.words
+        before = np.zeros(n, np.uint64)
+        before[1:] = np.where(s.row[1:] == s.row[:-1], self.words[:-1], np.uint64(0))
+        value = mixed(self.words + before * np.uint64(3))
         least = np.ones(n, bool)
         for k in range(1, REACH + 1):
             same = s.row[k:] == s.row[:-k]

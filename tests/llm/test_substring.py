@@ -1,6 +1,8 @@
 import numpy as np
+import pyarrow as pa
 
 from aridscape.llm import substring
+from aridscape.llm.words import slices
 
 from .conftest import prose
 
@@ -65,6 +67,28 @@ def test_layout_of_lines_does_not_matter(documents):
         assert clean[i].split()[:40] == t.split()[:40]
 
 
+def test_cuts_do_not_depend_on_the_row_before():
+    def contents(*texts):
+        (s,) = slices(pa.array(texts))
+        p = substring.Paragraphs(s)
+        return p.content[p.row == len(texts) - 1].tolist()
+
+    for seed in range(600):
+        text = prose(seed, 40)
+        assert contents(text) == contents("before " + prose(1000 + seed, 3), text)
+
+
+def test_exact_copies_vanish_in_any_order(spark, documents):
+    rows = [(i + 200 * c, prose(i, 80), "en", "a") for i in range(60) for c in (0, 1)]
+    for order, batch in ((1, "10000"), (-1, "7"), (7, "1")):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+        try:
+            mixed = documents(sorted(rows, key=lambda r: r[0] * order % 389)).coalesce(2)
+            assert {r.doc_id: r.text for r in substring.cleaned(mixed).collect()} == {r[0]: r[1] for r in rows if r[0] < 200}
+        finally:
+            spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
 def test_pairs_equal_brute_force():
     r = np.random.default_rng(0)
     sets = [np.unique(r.integers(0, 12, 8)) for _ in range(40)]
