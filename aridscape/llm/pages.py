@@ -3,9 +3,10 @@
 Text is added up by tag path (block tags with their first class, and links). A path
 whose text comes in long, punctuated pieces gets a high ratio; ratios of text length
 and of punctuation are each smoothed over the paths in page order, fused by their
-product and compared with their spread. The element that holds most of the text on
-paths above the threshold is the article. All of its text is taken, save parts that
-are boilerplate by their tag, role or class and paths that are mere link lists.
+product and compared with their spread. The lowest element that holds all of the text on
+paths above the threshold is the article. All of its text is taken, also on other paths,
+and so is what leads up to it from a heading on, save parts that are boilerplate by
+their tag, role or class and paths that are mere link lists.
 
 Defined results: null or empty html gives an empty text; unclosed and crossed tags
 are repaired as browsers do for paragraphs and list items; a page without a path
@@ -189,7 +190,7 @@ def main_text(page: str | None) -> str:
     score = dict(zip(order, (a * (b + 0.1) for a, b in zip(length, stops))))
     threshold = _spread(list(score.values()))
     rich = {p for p in order if score[p] >= threshold}
-    # the innermost element with most of the text on rich paths
+    # the innermost element with all of the text on rich paths
     for element, _, text in kept:
         size = len(text.strip())
         mass = size if element.path in rich else 0
@@ -200,14 +201,15 @@ def main_text(page: str | None) -> str:
     total, top = root.mass, root
     while True:
         best = max((c for c in _children(kept, top)), key=lambda e: e.mass, default=None)
-        if best is None or best.tag in _LEAVES or best.mass < 0.75 * total or best.mass == 0:
+        if best is None or best.tag in _LEAVES or best.mass < total or best.mass == 0:
             break
         top = best
     lists = _link_lists(kept, paths, score, threshold)
+    start, begin = _lead(pieces, top, lists)
     lines: list[str] = []
     last = None
-    for element, block, text in kept:
-        if element.path in lists or not _inside(element, top):
+    for at, (element, block, text) in enumerate(pieces):
+        if element.out or element.path in lists or not (start <= at < begin or _inside(element, top)):
             continue
         if block != last:
             lines.append("")
@@ -220,6 +222,24 @@ def main_text(page: str | None) -> str:
 _LEAVES = _INLINE | _HEADINGS | frozenset("p li td th tr dt dd pre blockquote ul ol dl table tbody thead tfoot figure figcaption".split())
 
 
+def _lead(pieces, top: _Element, lists: set[str]) -> tuple[int, int]:
+    """First piece of the earliest heading before ``top`` with neither boilerplate nor
+    link lists between, and first piece of ``top``."""
+    begin = next((at for at, p in enumerate(pieces) if not p[0].out and _inside(p[0], top)), 0)
+    start = begin
+    for at in range(begin - 1, -1, -1):
+        element, _, text = pieces[at]
+        if text.isspace():
+            continue
+        if element.out or element.path in lists:
+            break
+        while element.parent is not None and element.tag not in _HEADINGS:
+            element = element.parent
+        if element.tag in _HEADINGS:
+            start = at
+    return start, begin
+
+
 def _inside(element: _Element | None, top: _Element) -> bool:
     while element is not None:
         if element is top:

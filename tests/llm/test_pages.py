@@ -30,6 +30,25 @@ def test_rich_block_wins_over_link_lists():
     assert got == "\n".join(f"Sentence {i}, which goes on, and on. It ends here." for i in range(5))
 
 
+def sentences(name, n):
+    return [f"{name} {i}, which goes on, and on, for a while. It ends here, at last." for i in range(n)]
+
+
+def test_lead_and_title_beside_the_content():
+    text = sentences("Sentence", 9)
+    lead = "The lead, long as it is, sums up all of it. It says, briefly, what follows, and why."
+    page = f"<body><h1>Title</h1><p>{lead}</p><div class=content>{''.join(f'<p>{x}</p>' for x in text)}</div></body>"
+    assert pages.main_text(page) == "\n".join(["Title", lead, *text])
+    assert pages.main_text(page.replace(lead, "By A B")) == "\n".join(["Title", "By A B", *text])
+
+
+def test_sections_side_by_side():
+    one, two = sentences("First", 8), sentences("Second", 2)
+    page = "<body><nav>Menu</nav><div>" + "".join(f"<section><h2>{h}</h2>{''.join(f'<p>{x}</p>' for x in t)}</section>" for h, t in (("A", one), ("B", two))) + "</div></body>"
+    assert pages.main_text(page) == "\n".join(["A", *one, "B", *two])
+    assert pages.main_text(page.replace("<section><h2>B", "<section class=more><h2>B")) == "\n".join(["A", *one, "B", *two])
+
+
 @pytest.mark.parametrize(
     "page, want",
     [
