@@ -59,8 +59,7 @@ def equal_sample(table: DataFrame, total: int = SAMPLE_SIZE, *, seed: int = 42)
 def assign_folds(table: DataFrame, block: str = "block", *, folds: int = 5) -> DataFrame:
     """Whole blocks to folds, largest first into the lightest fold.
 
-    Only block counts reach the driver. The table is a training sample of fixed
-    size, so there are never more blocks than sampled rows.
+    Only block counts reach the driver, one row per block of cells.
     """
     counts = table.groupBy(block).agg(F.count("*").alias("n")).orderBy(F.desc("n"), block)
     load = [0] * folds
@@ -87,13 +86,17 @@ def assemble(table: DataFrame, features: Sequence[str]) -> DataFrame:
     return VectorAssembler(inputCols=list(features), outputCol="features").transform(table)
 
 
-def cross_validate(folded: DataFrame, features: Sequence[str], *, folds: int = 5, **forest_options) -> tuple[DataFrame, DataFrame]:
-    """(fold metrics, mean importances) of blocked cross-validation."""
-    points = assemble(folded, features).select("features", "label", "fold").persist()
+def cross_validate(folded: DataFrame, features: Sequence[str], *, folds: int = 5, sample: int = SAMPLE_SIZE, **forest_options) -> tuple[DataFrame, DataFrame]:
+    """(fold metrics, mean importances) of blocked cross-validation.
+
+    Each fold's forest is fitted on at most ``sample`` rows of the other folds
+    (``equal_sample``) and scored on all rows of its own.
+    """
+    points = assemble(folded, features).select("cell_id", "year", "features", "label", "fold").persist()
     spark = folded.sparkSession
     metrics, importances = [], []
     for fold in range(folds):
-        model = forest(features, **forest_options).fit(points.where(F.col("fold") != fold))
+        model = forest(features, **forest_options).fit(equal_sample(points.where(F.col("fold") != fold), sample))
         error = F.col("prediction") - F.col("label")
         row = model.transform(points.where(F.col("fold") == fold)).agg(
             F.count("*").alias("n"), F.avg(error * error).alias("mse"), F.avg(F.abs(error)).alias("mae"), F.var_pop("label").alias("var")

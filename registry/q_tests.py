@@ -283,8 +283,9 @@ def _(v):
     return _table(v).select("cell_id", "year", *_FEATURES, L.DYNAMIC_FEATURE, "label")
 
 
-def _sample(v):
-    return L.equal_sample(_table(v)).withColumn("block", block_id(10, -(-WIDTH // 10)))
+def _folded(v):
+    """Every training row with the fold of its block."""
+    return L.assign_folds(_table(v).withColumn("block", block_id(10, -(-WIDTH // 10))))
 
 
 @query("l02_equal_sample", sql("joined labels", """SELECT "year", CAST(least(count(*), 3000 // any_value(k)) AS BIGINT) AS "rows" FROM rows_, (SELECT count(DISTINCT "year") AS k FROM rows_) GROUP BY 1""",
@@ -295,15 +296,13 @@ def _(v):
 
 @query("l03_spatial_folds")
 def _(v):
-    return L.assign_folds(_sample(v)).groupBy("fold").agg(F.count("*").alias("rows"), F.countDistinct("block").alias("blocks"))
+    return _folded(v).groupBy("fold").agg(F.count("*").alias("rows"), F.countDistinct("block").alias("blocks"))
 
 
 def _cv(v):
     """Fold metrics and importances; three queries read the same validation run."""
     if "cross_validation" not in v.__dict__:
-        v.__dict__["cross_validation"] = L.cross_validate(
-            L.assign_folds(_sample(v)), [*_FEATURES, L.DYNAMIC_FEATURE], trees=20, depth=8
-        )
+        v.__dict__["cross_validation"] = L.cross_validate(_folded(v), [*_FEATURES, L.DYNAMIC_FEATURE])
     return v.__dict__["cross_validation"]
 
 
@@ -325,8 +324,8 @@ def _(v):
 @query("l06_final_fit")
 def _(v):
     features = [*_FEATURES, L.DYNAMIC_FEATURE]
-    table = _sample(v)
-    model = L.fit_final(table, features, trees=20, depth=8)
+    table = _table(v)
+    model = L.fit_final(L.equal_sample(table), features)
     error = F.col("prediction") - F.col("label")
     return model.transform(L.assemble(table, features)).agg(F.count("*").alias("rows"), F.sqrt(F.avg(error * error)).alias("rmse"))
 
@@ -334,7 +333,7 @@ def _(v):
 def _gap(v):
     features = [*_FEATURES, L.DYNAMIC_FEATURE]
     table = _table(v)
-    return L.resilience_gap(L.fit_final(L.equal_sample(table), features, trees=20, depth=8), table, features, max_severity=0.0)
+    return L.resilience_gap(L.fit_final(L.equal_sample(table), features), table, features, max_severity=0.0)
 
 
 @query("l07_resilience_gap")

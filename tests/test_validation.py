@@ -251,6 +251,34 @@ def test_forest_learns_the_planted_feature(training, tmp_path):
     assert gap.count() == 500 and abs(gap.agg(F.avg("resilience_gap")).first()[0]) < 0.01
 
 
+def test_sample_bounds_the_fit_alone(training, monkeypatch):
+    fitted, fit = [], L.RandomForestRegressor.fit
+    monkeypatch.setattr(L.RandomForestRegressor, "fit", lambda self, df: (fitted.append(df.count()), fit(self, df))[1])
+    folded = L.assign_folds(training.withColumn("block", F.expr("(row div 5) * 5 + (col div 5)"))).cache()
+    scores, _ = L.cross_validate(folded, ["a", "b", L.DYNAMIC_FEATURE], sample=200, trees=2, depth=3)
+    assert fitted == [200] * 5
+    held_out = {r["fold"] + 1: r["count"] for r in folded.groupBy("fold").count().collect()}
+    assert {r["fold"]: r["n"] for r in scores.collect()} == held_out and sum(held_out.values()) == training.count()
+
+
+def test_registered_forests_score_all_rows(spark, monkeypatch):
+    import os
+
+    from registry import QUERIES
+
+    data = "/root/testdata/sf0.001"
+    if not os.path.isdir(data):
+        pytest.skip("test tables are not here")
+    sizes, forest, sample = [], L.forest, L.equal_sample
+    monkeypatch.setattr(L, "forest", lambda f, *, trees=100, depth=15, **o: (sizes.append((trees, depth)), forest(f, trees=2, depth=2))[1])
+    monkeypatch.setattr(L, "equal_sample", lambda table, *a, **o: sample(table, 100))
+    rows = QUERIES["l01_training_table"](spark, data).count()
+    assert rows > 200
+    assert QUERIES["l03_spatial_folds"](spark, data).agg(F.sum("rows")).first()[0] == rows
+    assert QUERIES["l06_final_fit"](spark, data).first()["rows"] == rows
+    assert sizes == [(100, 15)]
+
+
 def test_residual_attribution(spark):
     rng = np.random.default_rng(3)
     n = 2000
