@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from aridscape.llm import ann, chat, huffman, katz, mixing, packing, pages, quality, simhash, substring
+from aridscape.llm import ann, chat, huffman, katz, mixing, packing, pages, quality, simhash, substring, trie
 from aridscape.llm.common import scratch_path
 
 def tokenizer_file(name: str) -> str:
@@ -132,3 +132,43 @@ def page_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op1_katz")
 def katz_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return katz.score(table(spark, sf_dir, "documents"), order=3)
+
+
+TRIE_SQL = r"""
+WITH bits AS (
+  SELECT n, list_reduce([n, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS v
+  FROM range(256) r(n)),
+crc AS (SELECT list(v ORDER BY n) AS step FROM bits),
+t AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, turn,
+             sha256(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS h
+      FROM conversations WHERE conv_id IS NOT NULL),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, h) AS pos FROM t),
+c AS (SELECT conv_id, conv_id - conv_id % 5 AS base,
+             xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))),
+                             lambda c, b: xor(c >> 8, step[(xor(c, b) & 255) + 1])), 4294967295) % 9 AS first
+      FROM (SELECT DISTINCT conv_id FROM t), crc),
+u AS (SELECT c.conv_id, 0 AS own, o.pos, o.h, o.text FROM c JOIN o ON o.conv_id = c.base AND o.pos <= c.first
+      UNION ALL SELECT c.conv_id, 1, o.pos, o.h, o.text FROM c JOIN o ON o.conv_id = c.conv_id AND o.pos > c.first),
+p AS (SELECT conv_id, row_number() OVER w AS depth, sha256(string_agg(h, '') OVER w) AS node, strlen(text) AS bytes FROM u
+      WINDOW w AS (PARTITION BY conv_id ORDER BY own, pos ROWS UNBOUNDED PRECEDING)
+      UNION ALL SELECT conv_id, 0, 'root', 0 FROM c),
+n AS (SELECT node, min(conv_id) AS conv_id, min(depth) AS depth, count(*) AS n_convs, min(bytes) AS bytes FROM p GROUP BY node),
+e AS (SELECT node, sha256(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id)) AS ends
+      FROM (SELECT conv_id, arg_max(node, depth) AS node FROM p GROUP BY conv_id) GROUP BY node),
+g AS (SELECT n.node, p.node AS up FROM n JOIN p ON p.conv_id = n.conv_id AND p.depth = n.depth - 1),
+k AS (SELECT up AS node, count(*) AS n_children FROM g GROUP BY up),
+s AS (SELECT a.node, sum(CASE WHEN k.node IS NULL THEN 1 ELSE 0 END) AS n_leaves, sum((n.n_convs - 1) * n.bytes) AS saved
+      FROM n JOIN p a ON a.conv_id = n.conv_id AND a.depth <= n.depth LEFT JOIN k ON k.node = n.node GROUP BY a.node)
+SELECT n.conv_id, CAST(n.depth AS BIGINT) AS depth, m.conv_id AS parent_conv_id, n.n_convs, coalesce(k.n_children, 0) AS n_children,
+       CAST(s.n_leaves AS BIGINT) AS n_leaves, CAST(s.saved AS BIGINT) AS saved_tokens, coalesce(e.ends, sha256('')) AS ends_sha256
+FROM n LEFT JOIN g ON g.node = n.node LEFT JOIN n m ON m.node = g.up LEFT JOIN k ON k.node = n.node
+JOIN s ON s.node = n.node LEFT JOIN e ON e.node = n.node
+"""
+
+
+@query("op11_prefix_trie", TRIE_SQL)
+def prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    convs = trie.paths(table(spark, sf_dir, "conversations"))
+    base = F.col("conv_id") - F.pmod("conv_id", F.lit(5))
+    turns = (F.crc32(F.col("conv_id").cast("string")) % 9).cast("int")
+    return trie.nodes(trie.with_heads(convs, base, turns, most=8))
