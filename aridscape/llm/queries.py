@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from aridscape.llm import ann, chat, huffman, katz, mixing, packing, pages, quality, simhash, substring, trie
+from aridscape.llm import ann, bpe, chat, huffman, katz, mixing, packing, pages, quality, simhash, substring, trie
 from aridscape.llm.common import scratch_path
 
 def tokenizer_file(name: str) -> str:
@@ -172,3 +172,10 @@ def prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = F.col("conv_id") - F.pmod("conv_id", F.lit(5))
     turns = (F.crc32(F.col("conv_id").cast("string")) % 9).cast("int")
     return trie.nodes(trie.with_heads(convs, base, turns, most=8))
+
+
+@query("op13_byte_bpe")
+def byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return bpe.digests(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
