@@ -16,12 +16,46 @@ import pyarrow as pa
 
 from aridscape.llm.words import Slice, slices
 
-#: Entries kept between batches; beyond it the store starts anew.
-KEPT = 800_000
+#: Entries of a generation. When the young one is full it becomes the old one; what
+#: is used again moves back into the young one, so that frequent pieces stay known.
+KEPT = 1_000_000
 #: Texts per call of the tokenizer, whose results are large while they live.
 CALL = 2048
 
 
+class Store:
+    """Ids of pieces by hash: sorted hashes, place and number of each piece's ids."""
+
+    def __init__(self, dtype):
+        self.known = np.zeros(0, np.uint64)
+        self.place = np.zeros(0, np.int64)
+        self.length = np.zeros(0, np.int64)
+        self.flat = np.zeros(0, dtype)
+
+    def find(self, hashes: np.ndarray) -> np.ndarray:
+        """Slot of each hash, -1 if it isn't here."""
+        slot = np.searchsorted(self.known, hashes)
+        missing = slot == len(self.known)
+        missing[~missing] = self.known[slot[~missing]] != hashes[~missing]
+        slot[missing] = -1
+        return slot
+
+    def take(self, slot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the slots one behind the other, and how many each has."""
+        length, place = self.length[slot], self.place[slot]
+        upto = np.cumsum(length)
+        total = int(upto[-1]) if len(upto) else 0
+        return self.flat[np.arange(total) + np.repeat(place - upto + length, length)], length
+
+    def add(self, hashes: np.ndarray, flat: np.ndarray, length: np.ndarray) -> None:
+        known = np.concatenate([self.known, hashes])
+        order = np.argsort(known, kind="stable")
+        self.known = known[order]
+        self.place = np.concatenate([self.place, len(self.flat) + np.cumsum(length) - length])[order]
+        self.length = np.concatenate([self.length, length])[order]
+        self.flat = np.concatenate([self.flat, flat])
+
+
 class Encoder:
     def __init__(self, path: str, drops_space: bool):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -34,10 +68,7 @@ class Encoder:
         self._forget()
 
     def _forget(self) -> None:
-        self.known = np.zeros(0, np.uint64)
-        self.place = np.zeros(0, np.int64)
-        self.length = np.zeros(0, np.int64)
-        self.flat = np.zeros(0, self.dtype)
+        self.young, self.old = Store(self.dtype), Store(self.dtype)
 
     def _ids(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts, and how many each has."""
@@ -91,27 +122,19 @@ class Encoder:
                 plain = ~np.isin(row, direct)
                 begin, end, row = begin[plain], end[plain], row[plain]
             hashes, at, inverse = np.unique(s.hashes(begin, end), return_index=True, return_inverse=True)
-            if len(self.known) > KEPT:
-                self._forget()
-            slot = np.searchsorted(self.known, hashes)
-            new = slot == len(self.known)
-            new[~new] = self.known[slot[~new]] != hashes[~new]
-            if new.any():
+            if len(self.young.known) > KEPT:
+                self.old, self.young = self.young, Store(self.dtype)
+            slot = self.young.find(hashes)
+            missing = np.flatnonzero(slot < 0)
+            if len(missing):
+                in_old = self.old.find(hashes[missing])
+                used, new = missing[in_old >= 0], missing[in_old < 0]
+                old_flat, old_length = self.old.take(in_old[in_old >= 0])
                 texts = [s.data[b:e].tobytes().decode("utf-8", "replace") for b, e in zip(begin[at[new]].tolist(), end[at[new]].tolist())]
                 flat, length = self._ids(texts)
-                place = len(self.flat) + np.cumsum(length) - length
-                known = np.concatenate([self.known, hashes[new]])
-                order = np.argsort(known, kind="stable")
-                self.known = known[order]
-                self.place = np.concatenate([self.place, place])[order]
-                self.length = np.concatenate([self.length, length])[order]
-                self.flat = np.concatenate([self.flat, flat])
-                slot = np.searchsorted(self.known, hashes)
-            slot = slot[inverse]
-            length, place = self.length[slot], self.place[slot]
-            upto = np.cumsum(length)
-            total = int(upto[-1]) if len(upto) else 0
-            out = self.flat[np.arange(total) + np.repeat(place - upto + length, length)]
+                self.young.add(np.concatenate([hashes[used], hashes[new]]), np.concatenate([old_flat, flat]), np.concatenate([old_length, length]))
+                slot = self.young.find(hashes)
+            out, length = self.young.take(slot[inverse])
             count = np.bincount(row, length, s.rows).astype(np.int64)
             if len(direct):
                 parts = np.split(out, np.cumsum(count)[:-1])
