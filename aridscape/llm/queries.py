@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from aridscape.llm import ann, bpe, chat, huffman, katz, mixing, packing, pages, quality, simhash, substring, trie
+from aridscape.llm import ann, bpe, chat, crosstok, huffman, katz, mixing, packing, pages, quality, simhash, substring, trie
 from aridscape.llm.common import scratch_path
 
 def tokenizer_file(name: str) -> str:
@@ -179,3 +179,8 @@ def byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     return bpe.digests(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+@query("op12_cross_tokenizer")
+def cross_tokenizer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return crosstok.statistics(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), tokenizer_file("piece_bpe_32k.model"))
