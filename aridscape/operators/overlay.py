@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from aridscape.functions.columns import clip, defined, ratio
 from aridscape.operators.classify import apply_breaks, compute_breaks
-from aridscape.operators.stats import column_quantiles, pair_correlation, value_pairs
+from aridscape.operators.stats import Marks, bucket_count, column_quantiles, ranked_correlation, significant, with_rank
+from aridscape.session import cut_lineage
 
 MITIGATION = 0.30
 MITIGATING_CRITERION = "distance_to_water"
@@ -109,29 +110,38 @@ def contributions(stack: DataFrame, weights: Mapping[str, float]) -> DataFrame:
     )
 
 
-def sensitivity(stack: DataFrame, baseline: Mapping[str, float], scenarios: Mapping[str, Mapping[str, float]], breaks: Sequence[float], *, digits: int = 12, **options) -> DataFrame:
+def sensitivity(stack: DataFrame, baseline: Mapping[str, float], scenarios: Mapping[str, Mapping[str, float]], breaks: Sequence[float], *, digits: int = 12, buckets: int | None = None) -> DataFrame:
     """Per weight scenario: index shift, class agreement under baseline breaks, rank correlation.
 
-    All scenario indices come from one projection over one scan and share their
-    score expressions. The resulting weighted pairs serve every metric.
+    All indices of a cell come from one projection and stay on its row: shifts
+    and agreement are aggregated before any shuffle, and the baseline is ranked
+    once for all scenarios. Only the ranks of the scenarios need (scenario,
+    index, baseline rank) to meet by value.
     """
-    rounded = lambda weights: F.round(risk_column(weights), digits)
-    entries = F.array(*[F.struct(F.lit(s).alias("scenario"), rounded(w).alias("risk")) for s, w in scenarios.items()])
-    tall = (
-        stack.where(defined(F.col(n) for n in baseline))
-        .select(rounded(baseline).alias("base"), F.explode(entries).alias("e"))
-        .select("base", "e.scenario", "e.risk")
-    )
-    pairs = value_pairs(tall, "base", "risk", groups=["scenario"], digits=digits)
-    shift = F.abs(F.col("y") - F.col("x"))
-    same = apply_breaks(F.col("y"), breaks) == apply_breaks(F.col("x"), breaks)
-    metrics = pairs.groupBy("scenario").agg(
-        (F.sum(shift * F.col("weight")) / F.sum("weight")).alias("mean_abs_diff"),
-        F.max(shift).alias("max_abs_diff"),
-        (F.sum(F.when(same, F.col("weight")).otherwise(0)) / F.sum("weight")).alias("class_agreement"),
-    )
-    rho = pair_correlation(pairs, groups=["scenario"], min_n=1, **options)
-    return metrics.join(rho.select("scenario", F.coalesce("rho", F.lit(1.0)).alias("spearman_rho")), "scenario")
+    rounded = lambda weights: significant(F.round(risk_column(weights), digits), digits)
+    cells = stack.where(defined(F.col(n) for n in baseline))
+    rows = cut_lineage(cells.select(rounded(baseline).alias("x"), F.array(*[rounded(w) for w in scenarios.values()]).alias("ys")))
+    names = F.array(*[F.lit(s) for s in scenarios])
+
+    def measures(i: int, name: str) -> Column:
+        y = F.col("ys")[i]
+        same = apply_breaks(y, breaks) == apply_breaks(F.col("x"), breaks)
+        shift = F.abs(y - F.col("x"))
+        return F.struct(
+            F.lit(name).alias("scenario"), F.avg(shift).alias("mean_abs_diff"), F.max(shift).alias("max_abs_diff"),
+            F.avg(same.cast("double")).alias("class_agreement"),
+        )
+
+    metrics = rows.agg(F.array(*[measures(i, s) for i, s in enumerate(scenarios)]).alias("m")).select(F.inline("m"))
+    tall = lambda df, *keep: df.select(*keep, F.posexplode("ys").alias("_scenario", "y"))
+    count = bucket_count(stack, buckets)
+    (marks_x,) = Marks.measure(rows, ["x"], count)
+    (marks_y,) = Marks.measure(tall(rows), ["y"], count)
+    base = with_rank(rows, "x", [], marks_x, rows, "ys", "_rx")
+    both = with_rank(tall(base, "_rx"), "y", ["_scenario"], marks_y, tall(rows), "_rx", "_ry")
+    rho = ranked_correlation(both, "_rx", "_ry", groups=["_scenario"], min_n=1)
+    rho = rho.select(F.element_at(names, F.col("_scenario") + 1).alias("scenario"), F.coalesce("rho", F.lit(1.0)).alias("spearman_rho"))
+    return metrics.join(rho, "scenario")
 
 
 def agreement(pair: DataFrame, risk_a: str, risk_b: str, class_a: str, class_b: str) -> DataFrame:

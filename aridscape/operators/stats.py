@@ -7,6 +7,7 @@ histogram refinement and ranks from value buckets with offsets, at every size.
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Mapping, Sequence
 
@@ -17,8 +18,10 @@ from pyspark.sql import functions as F
 from aridscape.session import cut_lineage
 
 BINS = 4096
-BUCKET_ROWS = 1_000_000
+#: Rows that the driver may read to end a refinement.
+FEW = 4096
 LEAST_BUCKETS = 8
+MOST_BUCKETS = 4096
 SLICE_ROWS = 10_000
 SALTS = 64
 
@@ -80,14 +83,18 @@ def column_quantiles(
 
 
 def _order_statistics(data: DataFrame, wanted: dict) -> dict:
-    """Narrow (column, rank) -> (low, high, rows below low) until low equals high."""
-    found = {}
+    """Narrow (column, rank) -> (low, high, rows below low) until low equals high,
+    or until so few rows are left that they can be read."""
+    found, inside = {}, {}
     while wanted:
         for key in [k for k, (low, high, _) in wanted.items() if low == high]:
             found[key] = wanted.pop(key)[0]
         if not wanted:
             break
         intervals = sorted({(n, low, high) for (n, _), (low, high, _) in wanted.items()})
+        if all(inside.get(i, FEW + 1) <= FEW // len(intervals) for i in intervals):
+            found |= _read_off(data, wanted, intervals)
+            break
         binned = []
         for i, (n, low, high) in enumerate(intervals):
             scaled = F.least(F.floor((F.col(n) - low) / (high - low) * BINS), F.lit(BINS - 1)).cast("int")
@@ -113,89 +120,80 @@ def _order_statistics(data: DataFrame, wanted: dict) -> dict:
             for row in of_interval[place[(n, low, high)]]:
                 if seen + row["n"] > rank:
                     wanted[(n, rank)] = (row["low"], row["high"], seen)
+                    inside[(n, row["low"], row["high"])] = row["n"]
                     break
                 seen += row["n"]
     return found
 
 
+def _read_off(data: DataFrame, wanted: dict, intervals: list[tuple]) -> dict:
+    """The wanted ranks from the values of the last intervals, ``FEW`` at most."""
+    kept = [F.when(F.col(n).between(low, high), F.struct(F.lit(i).alias("interval"), F.col(n).alias("value"))) for i, (n, low, high) in enumerate(intervals)]
+    values: dict[int, list[float]] = {i: [] for i in range(len(intervals))}
+    for row in data.select(F.explode(F.filter(F.array(*kept), lambda s: s.isNotNull())).alias("s")).select("s.*").collect():
+        values[row["interval"]].append(row["value"])
+    place = {interval: sorted(values[i]) for i, interval in enumerate(intervals)}
+    return {(n, rank): place[(n, low, high)][rank - below] for (n, rank), (low, high, below) in wanted.items()}
+
+
 # --- ranks ---------------------------------------------------------------------
 
 
-class _ValueSpread:
-    """How a column's values are spread: bucket edges and values too frequent to leave unsalted."""
+class Marks:
+    """Buckets of a column's values: about as many as partitions, so their number
+    follows the cluster and not the rows. A value that fills several buckets on
+    its own is singled out: its rank needs no order, so its rows may lie anywhere."""
 
-    def __init__(self, edges: list[float], frequent: list[float]):
-        self.edges = edges
-        self.frequent = frequent
+    def __init__(self, marks: Sequence[float]):
+        repeated = sorted({a for a, b in zip(marks, marks[1:]) if a == b})
+        # [v, next number) holds nothing but v
+        self.splits = sorted({*marks, *(math.nextafter(v, math.inf) for v in repeated)})
+        self.single = [float(i + 1) for i, v in enumerate(self.splits) if v in set(repeated)]
 
     @classmethod
-    def measure(cls, df: DataFrame, columns: Sequence[str], bucket_rows: int) -> list["_ValueSpread"]:
+    def measure(cls, rows: DataFrame, columns: Sequence[str], buckets: int) -> list["Marks"]:
         """Approximate marks suffice: they balance the work and never touch the result."""
-        rows = df.count()
-        if not rows:
-            return [cls([], []) for _ in columns]
-        # a bucket holds about ``bucket_rows`` rows
-        steps = max(rows // max(bucket_rows, 1), LEAST_BUCKETS)
-        probs = F.array(*[F.lit(i / steps) for i in range(1, steps)])
-        row = df.agg(*[F.percentile_approx(c, probs, 4 * steps).alias(f"q{i}") for i, c in enumerate(columns)]).first()
-        spreads = []
-        for i, _ in enumerate(columns):
-            marks = row[f"q{i}"]
-            repeated = {a for a, b in zip(marks, marks[1:]) if a == b}
-            spreads.append(cls(sorted(set(marks)), sorted(repeated)))
-        return spreads
-
-    def salt(self, value: Column, spread_by: Column) -> Column:
-        if not self.frequent:
-            return F.lit(0)
-        return F.when(value.isin(self.frequent), F.pmod(F.xxhash64(spread_by), F.lit(SALTS)).cast("int")).otherwise(0)
-
-    def salts(self, value: Column) -> Column:
-        if not self.frequent:
-            return F.array(F.lit(0))
-        return F.when(value.isin(self.frequent), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
-
-    def bucket(self, df: DataFrame, column: str, output: str) -> DataFrame:
-        if len(self.edges) < 2:
-            return df.withColumn(output, F.lit(0.0))
-        splits = [-math.inf, *self.edges, math.inf]
-        return Bucketizer(splits=splits, inputCol=column, outputCol=output).transform(df)
-
-
-def _average_rank(counts: DataFrame, groups: list[str], value: str, weight: str, spread: _ValueSpread) -> DataFrame:
-    """(groups, value, weight) with distinct values -> average rank of each value.
-
-    Inside a bucket a running sum gives the rows below; earlier buckets add
-    one offset. Only bucket totals meet in a per-group window.
+        probs = F.array(*[F.lit(i / buckets) for i in range(1, buckets)])
+        found = rows.agg(*[F.percentile_approx(c, probs, 4 * buckets).alias(c) for c in columns]).first()
+        return [cls(found[c] or []) for c in columns]
+
+    def bucket(self, rows: DataFrame, column: str) -> DataFrame:
+        if not self.splits:
+            return rows.withColumn("_bucket", F.lit(0.0))
+        splits = [-math.inf, *self.splits, math.inf]
+        return Bucketizer(splits=splits, inputCol=column, outputCol="_bucket").transform(rows)
+
+
+def with_rank(rows: DataFrame, value: str, groups: list[str], marks: Marks, source: DataFrame, spread_by: str, output: str) -> DataFrame:
+    """``rows`` with the average rank of ``value`` in its group, in one shuffle.
+
+    Rows meet by bucket of values: equal values share one, so no tie crosses a
+    border. Inside it a running sum orders them, and the rows of the
+    buckets below (of ``source``, the same values) are one offset each. In a
+    bucket of one value the mean rank follows from its count alone, so its rows
+    are dealt out by ``spread_by``.
     """
-    below = (
-        Window.partitionBy(*groups, "_bucket").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    )
-    bucketed = spread.bucket(counts, value, "_bucket").withColumn(
-        "_below", F.coalesce(F.sum(weight).over(below), F.lit(0))
-    )
-    if len(spread.edges) < 2:
-        return bucketed.withColumn("_rank", F.col("_below") + (F.col(weight) + 1) / 2).drop("_bucket", "_below")
+    single = F.col("_bucket").isin(marks.single) if marks.single else F.lit(False)
+    below = Window.partitionBy(*groups).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
-        spread.bucket(counts, value, "_bucket")
+        marks.bucket(source.select(*groups, value), value)
         .groupBy(*groups, "_bucket")
-        .agg(F.sum(weight).alias("_total"))
-        .withColumn(
-            "_offset",
-            F.coalesce(
-                F.sum("_total").over(
-                    Window.partitionBy(*groups).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-                ),
-                F.lit(0),
-            ),
-        )
-        .drop("_total")
-    )
-    return (
-        bucketed.join(offsets, [*groups, "_bucket"])
-        .withColumn("_rank", F.col("_offset") + F.col("_below") + (F.col(weight) + 1) / 2)
-        .drop("_bucket", "_below", "_offset")
+        .agg(F.count("*").alias("_rows"))
+        .withColumn("_offset", F.coalesce(F.sum("_rows").over(below), F.lit(0)))
+        .withColumn("_deal", F.explode(F.when(single, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))))
     )
+    deal = F.when(single, F.pmod(F.xxhash64(spread_by), F.lit(SALTS)).cast("int")).otherwise(0)
+    by = [*groups, "_bucket", "_deal"]
+    order = Window.partitionBy(*by).orderBy(value)
+    upto = F.count("*").over(order.rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    ties = F.count("*").over(order.rangeBetween(Window.currentRow, Window.currentRow))
+    inside = F.when(single, (F.col("_rows") + 1) / 2).otherwise(F.col("_upto") - (F.col("_ties") - 1) / 2)
+    ranked = marks.bucket(rows, value).withColumn("_deal", deal).withColumns({"_upto": upto, "_ties": ties})
+    other = offsets.select(*[F.col(c).alias(f"_o{i}") for i, c in enumerate(by)], "_rows", "_offset")
+    equal = [F.col(c).eqNullSafe(F.col(f"_o{i}")) if c in groups else F.col(c) == F.col(f"_o{i}") for i, c in enumerate(by)]
+    same = functools.reduce(lambda p, q: p & q, equal)
+    ranked = ranked.join(other, same).drop(*[f"_o{i}" for i in range(len(by))])
+    return ranked.withColumn(output, F.col("_offset") + inside).drop("_bucket", "_deal", "_rows", "_offset", "_upto", "_ties")
 
 
 def significant(value: Column, digits: int) -> Column:
@@ -204,42 +202,19 @@ def significant(value: Column, digits: int) -> Column:
     return F.when(value == 0, F.lit(0.0)).otherwise(F.round(value / size, digits - 1) * size)
 
 
-def value_pairs(df: DataFrame, x: str, y: str, *, groups: Sequence[str] = (), digits: int = 12) -> DataFrame:
-    """Distinct ``groups, x, y`` with their row count ``weight``, materialised once.
-
-    Values keep ``digits`` significant digits, so summation-order noise cannot
-    split ties. Repeated pairs collapse before anything is shuffled on a value.
-    """
+def rank_pairs(df: DataFrame, x: str, y: str, *, groups: Sequence[str] = (), digits: int = 12) -> DataFrame:
+    """``groups, x, y`` of the rows with both values, to ``digits`` significant
+    digits, so that summation-order noise cannot split ties."""
     rounded = lambda c: significant(F.col(c).cast("double"), digits)
-    rows = df.select(*groups, rounded(x).alias("x"), rounded(y).alias("y")).where(F.col("x").isNotNull() & F.col("y").isNotNull())
-    return cut_lineage(rows.groupBy(*groups, "x", "y").agg(F.count("*").alias("weight")))
-
+    return df.select(*groups, rounded(x).alias("x"), rounded(y).alias("y")).where(F.col("x").isNotNull() & F.col("y").isNotNull())
 
-def pair_correlation(pairs: DataFrame, *, groups: Sequence[str] = (), min_n: int = 100, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
-    """Rank correlation of weighted pairs: ``groups..., n, rho``.
 
-    Rows of very frequent values are salted when their rank is looked up.
-    """
-    groups = list(groups)
-    spread_x, spread_y = _ValueSpread.measure(pairs, ["x", "y"], bucket_rows)
-
-    def with_rank(data: DataFrame, value: str, other: str, spread: _ValueSpread, rank: str) -> DataFrame:
-        counts = pairs.groupBy(*groups, value).agg(F.sum("weight").alias("_n"))
-        table = _average_rank(counts, groups, value, "_n", spread).select(
-            *groups, value, F.col("_rank").alias(rank), F.explode(spread.salts(F.col(value))).alias("_salt")
-        )
-        salted = data.withColumn("_salt", spread.salt(F.col(value), F.col(other)))
-        return salted.join(table, [*groups, value, "_salt"]).drop("_salt")
-
-    ranked = with_rank(with_rank(pairs, "x", "y", spread_x, "_rx"), "y", "x", spread_y, "_ry")
-    w, rx, ry = F.col("weight").cast("double"), F.col("_rx"), F.col("_ry")
-    sums = ranked.groupBy(*groups).agg(
-        F.sum("weight").alias("n"),
-        F.sum(w * rx).alias("sx"),
-        F.sum(w * ry).alias("sy"),
-        F.sum(w * rx * rx).alias("sxx"),
-        F.sum(w * ry * ry).alias("syy"),
-        F.sum(w * rx * ry).alias("sxy"),
+def ranked_correlation(rows: DataFrame, rx: str, ry: str, *, groups: Sequence[str] = (), min_n: int = 100) -> DataFrame:
+    """``groups..., n, rho`` from the ranks on the rows."""
+    a, b = F.col(rx), F.col(ry)
+    sums = rows.groupBy(*groups).agg(
+        F.count("*").alias("n"), F.sum(a).alias("sx"), F.sum(b).alias("sy"),
+        F.sum(a * a).alias("sxx"), F.sum(b * b).alias("syy"), F.sum(a * b).alias("sxy"),
     )
     n = F.col("n").cast("double")
     vx = F.col("sxx") - F.col("sx") * F.col("sx") / n
@@ -248,14 +223,31 @@ def pair_correlation(pairs: DataFrame, *, groups: Sequence[str] = (), min_n: int
     return sums.select(*groups, "n", F.when((F.col("n") >= min_n) & (vx > 0) & (vy > 0), rho).alias("rho"))
 
 
-def spearman(df: DataFrame, x: str, y: str, *, groups: Sequence[str] = (), min_n: int = 100, bucket_rows: int = BUCKET_ROWS, digits: int = 12) -> DataFrame:
+def bucket_count(df: DataFrame, buckets: int | None = None) -> int:
+    return buckets or min(max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), LEAST_BUCKETS), MOST_BUCKETS)
+
+
+def stored_spearman(rows: DataFrame, *, groups: Sequence[str] = (), min_n: int = 100, buckets: int | None = None) -> DataFrame:
+    """Rank correlation of stored rows of ``rank_pairs``, which are read four times.
+
+    The rank of ``x`` travels on the row to the buckets of ``y``, where the sums
+    are taken: two shuffles of the rows, and none joins a table of values.
+    """
+    groups = list(groups)
+    marks_x, marks_y = Marks.measure(rows, ["x", "y"], bucket_count(rows, buckets))
+    with_x = with_rank(rows, "x", groups, marks_x, rows, "y", "_rx").drop("x")
+    both = with_rank(with_x, "y", groups, marks_y, rows, "_rx", "_ry")
+    return ranked_correlation(both, "_rx", "_ry", groups=groups, min_n=min_n)
+
+
+def spearman(df: DataFrame, x: str, y: str, *, groups: Sequence[str] = (), min_n: int = 100, buckets: int | None = None, digits: int = 12) -> DataFrame:
     """Rank correlation with average ranks over all jointly defined rows.
 
     Returns ``groups..., n, rho``; ``rho`` is null below ``min_n`` rows or
     where a side is constant.
     """
-    pairs = value_pairs(df, x, y, groups=groups, digits=digits)
-    return pair_correlation(pairs, groups=groups, min_n=min_n, bucket_rows=bucket_rows)
+    rows = cut_lineage(rank_pairs(df, x, y, groups=groups, digits=digits))
+    return stored_spearman(rows, groups=groups, min_n=min_n, buckets=buckets)
 
 
 # --- samples and lookups -------------------------------------------------------

@@ -13,7 +13,7 @@ from aridscape.functions.columns import correlation, defined, ratio
 from aridscape.functions.special import student_t_two_sided
 from aridscape.operators.anomaly import monotone_check
 from aridscape.operators.forecast import seasonal_summary, water_year_total
-from aridscape.operators.stats import column_quantiles, spearman
+from aridscape.operators.stats import column_quantiles, rank_pairs, stored_spearman
 from aridscape.session import cut_lineage
 
 MIN_DRY_YEARS = 3
@@ -109,12 +109,12 @@ def yearly_test(joined: DataFrame, labels: DataFrame, *, risk: str = "risk", cla
     keys = [*label_keys, *[k for k in keys if k not in label_keys]]
     labels = unique_labels(labels, label_keys)
     by = [*keys, "year"]
-    # the join behind the rows is evaluated once; both measures scan its result
+    # the join behind the rows is evaluated once; means and ranks scan its result
     rows = cut_lineage(joined.where(F.col(anomaly).isNotNull()).select(*by, F.col(risk).alias("risk"), F.col(classes).alias("class"), F.col(anomaly).alias("anomaly")))
     sums = rows.groupBy(*by, "class").agg(F.sum("anomaly").alias("s"), F.count("*").alias("n"))
     means = sums.groupBy(*by).agg((F.sum("s") / F.sum("n")).alias("mean_anomaly"), F.sum("n").alias("cells"))
     class_means = sums.where(F.col("class") > 0).select(*by, "class", (F.col("s") / F.col("n")).alias("mean"))
-    rho = spearman(rows, "risk", "anomaly", groups=by, min_n=min_pairs, **options).select(*by, "rho")
+    rho = stored_spearman(rank_pairs(rows, "risk", "anomaly", groups=by), groups=by, min_n=min_pairs, **options).select(*by, "rho")
     shape = monotone_check(class_means, keys=by).select(*by, "monotone")
     return (
         means.join(rho, by, "left")

@@ -3,7 +3,8 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from aridscape.operators.stats import column_quantiles, hash_sample, spearman
+from aridscape.operators import stats
+from aridscape.operators.stats import Marks, column_quantiles, hash_sample, spearman, with_rank
 
 
 @pytest.fixture(scope="module")
@@ -33,16 +34,40 @@ def test_quantiles_of_an_empty_column(spark):
     assert np.isnan(column_quantiles(df, ["v", "id"], [0.5])["v"][0])
 
 
-@pytest.mark.parametrize("bucket_rows", [50, 10**6])
-def test_spearman_equals_pandas_at_any_bucket_size(skewed, bucket_rows):
+@pytest.mark.parametrize("buckets", [2, 40, 3000])
+def test_spearman_equals_pandas_at_any_bucket_count(skewed, buckets):
     pdf, df = skewed
-    got = {r["g"]: r for r in spearman(df, "x", "y", groups=["g"], bucket_rows=bucket_rows).collect()}
+    got = {r["g"]: r for r in spearman(df, "x", "y", groups=["g"], buckets=buckets).collect()}
     for g, part in pdf.dropna().groupby("g"):
         expected = part["x"].rank().corr(part["y"].rank())
         assert abs(got[g]["rho"] - expected) < 1e-10
         assert got[g]["n"] == len(part)
 
 
+def test_frequent_values_need_no_order(skewed):
+    """A value that fills a bucket alone is dealt out over tasks."""
+    pdf, df = skewed
+    marks, _ = Marks.measure(df.where("x IS NOT NULL"), ["x", "y"], 20)
+    assert len(marks.single) == 1
+    rows = df.where("x IS NOT NULL")
+    ranked = with_rank(rows, "x", ["g"], marks, rows, "y", "rank").toPandas()
+    expected = ranked.groupby("g")["x"].rank()
+    np.testing.assert_allclose(ranked["rank"], expected)
+
+
+def test_null_groups_are_a_group(spark):
+    df = spark.createDataFrame([(None if i % 2 else 1, float(i), float(i * i)) for i in range(40)], "g int, x double, y double")
+    assert {r["g"]: r["n"] for r in spearman(df, "x", "y", groups=["g"], min_n=2).collect()} == {None: 20, 1: 20}
+
+
+def test_quantiles_beyond_what_is_read(skewed, monkeypatch):
+    monkeypatch.setattr(stats, "FEW", 0)
+    pdf, df = skewed
+    got = column_quantiles(df, ["x", "y"], [0.1, 0.9])
+    for c in ("x", "y"):
+        np.testing.assert_allclose(got[c], np.percentile(pdf[c].dropna(), [10, 90]), rtol=1e-12)
+
+
 def test_spearman_gates(spark):
     few = spark.createDataFrame([(float(i), float(-i)) for i in range(50)], "x double, y double")
     assert spearman(few, "x", "y").first()["rho"] is None
