@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from aridscape.operators import composites as C
+from aridscape.operators import keyed as G
 from aridscape.operators import normalize as N
 from aridscape.sources.scenes import band_scaling
 
@@ -213,3 +214,14 @@ def _(v):
     criteria = [*CRITERIA, N.Criterion("landcover", "lookup", True)]
     built = N.build_criteria(aligned, criteria, builders=builders)
     return built.select("cell_id", *[r9(F.col(n)).alias(n) for n in (*NAMES, "landcover")])
+
+
+@query("n01_percentile_minmax_by_grid", sql("grisk", "SELECT grid, cell_id, precip, ndvi_dry, soil, lst FROM grisk"))
+def _(v):
+    return v.grid_risk.drop("risk")
+
+
+@query("n07_layer_profile_by_grid", sql("glayers", _profile_sql().replace("SELECT '", "SELECT grid, '").replace("FROM layers", "FROM glayers GROUP BY grid")))
+def _(v):
+    out = G.profile_by(v.grid_layers, NAMES, ["grid"])
+    return out.select("grid", "layer", *[r6(c).alias(c) for c in out.columns if c not in ("grid", "layer")])

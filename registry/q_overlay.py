@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from aridscape.operators import classify as K
+from aridscape.operators import keyed as G
 from aridscape.operators import overlay as O
 from aridscape.operators import weighting as A
 from aridscape.operators.normalize import Criterion, score_layers
@@ -196,14 +197,79 @@ def _(v):
     return out.select("scenario", *[r6(c).alias(c) for c in out.columns if c != "scenario"])
 
 
-@query("o08_natural_breaks")
+def _natural_sql(source: str) -> str:
+    """Exact least squares within five classes: a dynamic program over all distinct values of each grid."""
+    layer = """d{k} AS (SELECT grid, e, min(total) AS total, arg_min(cut, total) AS cut FROM (SELECT b.grid, b.i AS e, a.i AS cut, d.total + (b.cq - a.cq) - (b.cs - a.cs) ** 2 / (b.cn - a.cn) AS total
+      FROM d{j} d JOIN cum a ON a.grid = d.grid AND a.i = d.e JOIN cum b ON b.grid = a.grid AND b.i > a.i {last}) GROUP BY 1, 2)"""
+    return (
+        f"""src AS ({source}), val AS (SELECT grid, risk AS v, count(*) AS n, avg(avg(risk)) OVER (PARTITION BY grid) AS m FROM src WHERE risk IS NOT NULL GROUP BY 1, 2),
+    cum AS (SELECT grid, v, row_number() OVER w AS i, sum(n) OVER w AS cn, sum(n * (v - m)) OVER w AS cs, sum(n * (v - m) ** 2) OVER w AS cq, count(*) OVER (PARTITION BY grid) AS last
+      FROM val WINDOW w AS (PARTITION BY grid ORDER BY v ROWS UNBOUNDED PRECEDING)),
+    d1 AS (SELECT grid, i AS e, cq - cs * cs / cn AS total FROM cum), """
+        + ", ".join(layer.format(k=k, j=k - 1, last="AND b.i = b.last" if k == 5 else "") for k in range(2, 6))
+        + """, ends AS (SELECT d5.grid, d2.cut AS e1, d3.cut AS e2, d4.cut AS e3, d5.cut AS e4, d5.e AS e5 FROM d5 JOIN d4 ON d4.grid = d5.grid AND d4.e = d5.cut
+      JOIN d3 ON d3.grid = d5.grid AND d3.e = d4.cut JOIN d2 ON d2.grid = d5.grid AND d2.e = d3.cut),
+    bounds5 AS (SELECT grid, k AS class, v AS upper FROM (SELECT grid, unnest([e1, e2, e3, e4, e5]) AS e, unnest([1, 2, 3, 4, 5]) AS k FROM ends) JOIN cum USING (grid) WHERE i = e),
+    placed AS (SELECT grid, risk, coalesce((SELECT min(class) FROM bounds5 n WHERE n.grid = src.grid AND src.risk <= n.upper), 0) AS class FROM src)"""
+    )
+
+
+_NATURAL = "SELECT {grid} CAST(class AS INT) AS class, count(*) AS cells, max(risk) AS upper, round(var_pop(risk), 9) AS variance FROM placed GROUP BY {grid} class"
+
+
+@query("o08_natural_breaks", sql("risk", _NATURAL.format(grid=""), _natural_sql("SELECT 0 AS grid, risk FROM risk")))
 def _(v):
     breaks = K.compute_breaks(v.risk, "risk", method="jenks")
     return v.risk.groupBy(K.apply_breaks(F.col("risk"), breaks).alias("class")).agg(
-        F.count("*").alias("cells"), F.max("risk").alias("upper"), F.var_pop("risk").alias("variance")
+        F.count("*").alias("cells"), F.max("risk").alias("upper"), r9(F.var_pop("risk")).alias("variance")
     )
 
 
+@query("o08_natural_breaks_by_grid", sql("grisk", _NATURAL.format(grid="grid,"), _natural_sql("SELECT grid, risk FROM grisk")))
+def _(v):
+    classes, _rejected = G.classified_by(v.grid_risk, "risk", ["grid"], method="jenks")
+    return classes.groupBy("grid", "class").agg(F.count("*").alias("cells"), F.max("risk").alias("upper"), r9(F.var_pop("risk")).alias("variance"))
+
+
+@query("o05_risk_summary_by_grid", sql("grisk", """SELECT grid, count(risk) AS n, round(min(risk), 6) AS "min", round(max(risk), 6) AS "max", round(avg(risk), 6) AS mean, round(median(risk), 6) AS median FROM grisk GROUP BY 1"""))
+def _(v):
+    out = G.risk_summary_by(v.grid_risk, ["grid"])
+    return out.select("grid", "n", *[r6(c).alias(c) for c in ("min", "max", "mean", "median")])
+
+
+@query("o06_contributions_by_grid", sql("grisk", "SELECT grid, criterion, weight::DOUBLE AS weight, round(lo, 6) AS low, round(hi, 6) AS high, round(sp, 6) AS spread, round(sp / sum(sp) OVER (PARTITION BY grid), 6) AS share FROM ("
+  + " UNION ALL ".join(f"SELECT grid, '{n}' AS criterion, {w} AS weight, min({n}) AS lo, max({n}) AS hi, stddev_pop({w} * {n}) AS sp FROM grisk WHERE risk IS NOT NULL GROUP BY grid" for n, w in WEIGHTS.items()) + ")"))
+def _(v):
+    out = G.contributions_by(v.grid_risk, WEIGHTS, ["grid"])
+    return out.select("grid", "criterion", "weight", *[r6(c).alias(c) for c in ("low", "high", "spread", "share")])
+
+
+@query("o09_equal_interval_by_grid", sql("grisk", """SELECT grid, CASE WHEN risk IS NULL THEN 0 WHEN risk <= lo + w THEN 1 WHEN risk <= lo + 2 * w THEN 2 WHEN risk <= lo + 3 * w THEN 3 WHEN risk <= lo + 4 * w THEN 4 ELSE 5 END AS class,
+  count(*) AS cells FROM grisk JOIN (SELECT grid, min(risk) AS lo, (max(risk) - min(risk)) / 5 AS w FROM grisk GROUP BY 1) USING (grid) GROUP BY 1, 2"""))
+def _(v):
+    classes, _rejected = G.classified_by(v.grid_risk, "risk", ["grid"], method="equal_interval")
+    return classes.groupBy("grid", "class").agg(F.count("*").alias("cells"))
+
+
+_GBREAKS = "gbreaks AS (SELECT grid, " + ", ".join(f"quantile_cont(risk, {q}) AS b{i}" for i, q in enumerate((0.2, 0.4, 0.6, 0.8, 1.0), 1)) + " FROM grisk GROUP BY grid)"
+
+
+@query("o10_quantile_breaks_by_grid", sql("grisk", "SELECT grid, CAST(k AS INT) AS class, round([b1, b2, b3, b4, b5][k], 6) AS upper FROM gbreaks, range(1, 6) r(k)", _GBREAKS))
+def _(v):
+    breaks = G.breaks_by(v.grid_risk, "risk", ["grid"], method="quantile")
+    return breaks.select("grid", F.posexplode("breaks").alias("class", "upper")).select("grid", (F.col("class") + 1).alias("class"), r6("upper").alias("upper"))
+
+
+@query("o12_class_summary_by_grid", sql("grisk", """SELECT grid, class, cells, round(CASE WHEN class IS NULL OR class > 0 THEN 100.0 * cells / valid END, 6) AS share_pct, round(cells * 0.0009::DOUBLE, 6) AS area_km2 FROM (
+  SELECT grid, class, count(*) AS cells FROM gclasses GROUP BY 1, 2 UNION ALL SELECT grid, NULL, count(*) FILTER (class > 0) FROM gclasses GROUP BY 1)
+  JOIN (SELECT grid, count(*) FILTER (class > 0) AS valid FROM gclasses GROUP BY 1) USING (grid)""",
+  _GBREAKS + """, gclasses AS (SELECT grid, CASE WHEN risk IS NULL THEN 0 WHEN risk <= b1 THEN 1 WHEN risk <= b2 THEN 2 WHEN risk <= b3 THEN 3 WHEN risk <= b4 THEN 4 ELSE 5 END AS class FROM grisk JOIN gbreaks USING (grid))"""))
+def _(v):
+    classes, _rejected = G.classified_by(v.grid_risk, "risk", ["grid"], method="quantile")
+    out = K.class_summary(classes, v.grid.cell_km2, keys=["grid"])
+    return out.select("grid", "class", "cells", r6("share_pct").alias("share_pct"), r6("area_km2").alias("area_km2"))
+
+
 @query("o09_equal_interval", sql("risk", """SELECT CASE WHEN risk IS NULL THEN 0 WHEN risk <= lo + w THEN 1 WHEN risk <= lo + 2 * w THEN 2 WHEN risk <= lo + 3 * w THEN 3 WHEN risk <= lo + 4 * w THEN 4 ELSE 5 END AS class,
   count(*) AS cells FROM risk, (SELECT min(risk) AS lo, (max(risk) - min(risk)) / 5 AS w FROM risk) GROUP BY 1"""))
 def _(v):

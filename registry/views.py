@@ -108,6 +108,27 @@ class Views:
     def tall_layers(self) -> DataFrame:
         return self.layers.unpivot("cell_id", NAMES, "layer", "value")
 
+    @cached_property
+    def grid_layers(self) -> DataFrame:
+        """The same layers on several grids, one per return flag."""
+        lines = self.table("lineitem").select("l_returnflag", "l_partkey", "l_quantity", "l_discount", "l_tax", "l_extendedprice")
+        sums = lines.groupBy(F.col("l_returnflag").alias("grid"), F.col("l_partkey").alias("cell_id")).agg(
+            F.sum("l_quantity").alias("precip"),
+            r9(F.avg("l_discount")).alias("ndvi_dry"),
+            r9(F.avg("l_tax")).alias("soil"),
+            r6(F.avg(F.col("l_extendedprice") / F.col("l_quantity"))).alias("lst"),
+        )
+        return sums.withColumn("lst", F.when(F.col("cell_id") % 25 != 0, F.col("lst")))
+
+    @cached_property
+    def grid_risk(self) -> DataFrame:
+        """Scores by each grid's own bounds, and their weighted sum."""
+        from aridscape.operators.keyed import score_layers_by
+
+        scores, _ = score_layers_by(self.grid_layers, CRITERIA, ["grid"])
+        scores = scores.select("grid", "cell_id", *[r9(F.col(n)).alias(n) for n in NAMES])
+        return scores.withColumn("risk", r9(risk_column(WEIGHTS)))
+
     @cached_property
     def impact(self) -> DataFrame:
         return (
@@ -312,6 +333,12 @@ CTES: dict[str, tuple[str, str]] = {
     "layers": ("cells", """SELECT cell_id, sum(l_quantity) AS precip, round(avg(l_discount), 9) + 0.0 AS ndvi_dry,
         round(avg(l_tax), 9) + 0.0 AS soil, CASE WHEN p_size % 25 <> 0 THEN round(avg(l_extendedprice / l_quantity), 6) + 0.0 END AS lst
         FROM cells JOIN lineitem ON l_partkey = cell_id GROUP BY cell_id, p_size"""),
+    "glayers": ("", """SELECT l_returnflag AS grid, l_partkey AS cell_id, sum(l_quantity) AS precip, round(avg(l_discount), 9) + 0.0 AS ndvi_dry,
+        round(avg(l_tax), 9) + 0.0 AS soil, CASE WHEN l_partkey % 25 <> 0 THEN round(avg(l_extendedprice / l_quantity), 6) + 0.0 END AS lst
+        FROM lineitem GROUP BY 1, 2"""),
+    "gbounds": ("glayers", ("SELECT grid, " + ", ".join(f"quantile_cont({c}, 0.02) AS {c}_lo, quantile_cont({c}, 0.98) AS {c}_hi" for c in NAMES) + " FROM glayers GROUP BY grid")),
+    "grisk": ("glayers gbounds", "SELECT *, round(" + " + ".join(f"{w} * {n}" for n, w in WEIGHTS.items()) + ", 9) + 0.0 AS risk FROM (SELECT grid, cell_id, "
+        + ", ".join(_score(c.name, f"{c.name}_lo", f"{c.name}_hi", c.higher_is_riskier) for c in CRITERIA) + " FROM glayers JOIN gbounds USING (grid))"),
     "impact": ("", """SELECT l_partkey AS cell_id, CAST(year(l_shipdate) AS INT) AS "year", avg(l_discount) AS v
         FROM lineitem GROUP BY 1, 2"""),
     "obs": ("", """SELECT l_partkey AS cell_id, CAST(l_shipdate AS DATE) AS day, 0.02 + l_tax AS red, 0.10 + 5.0 * l_discount AS nir,
