@@ -25,7 +25,7 @@ import hashlib
 import json
 from array import array
 from collections.abc import Iterator
-from itertools import accumulate
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -35,12 +35,13 @@ from pyspark.sql import functions as F
 
 from aridscape.llm import tokens
 from aridscape.llm.common import written
-from aridscape.llm.words import text_buffers
+from aridscape.llm.words import mixed, text_buffers
 
 #: Windows of a generation of the memo (see ``tokens.KEPT``).
 KEPT = 250_000
-#: Rows worked off at once.
+#: Rows and bytes worked off at once.
 ROWS = 256
+BLOCK_BYTES = 2 << 20
 _SHIFT = 20
 COLUMNS = ("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
 
@@ -106,23 +107,33 @@ class Aligner:
         self.b_model = sentencepiece.SentencePieceProcessor(model_file=b_path)
         self.a, self.b = byte_level_vocabulary(a_path), piece_vocabulary(self.b_model)
         self.size_a, self.size_b = self.a.length.tolist(), self.b.length.tolist()
+        self.name_a, self.name_b = ([f",{i}" for i in range(len(v.texts))] for v in (self.a, self.b))
         self.young: dict[tuple[bytes, bytes], tuple[bytes, bytes]] = {}
         self.old: dict[tuple[bytes, bytes], tuple[bytes, bytes]] = {}
 
     def window(self, a: list[int], b: list[int]) -> tuple[bytes, bytes]:
         """Groups of a window as text, and its links as 64-bit codes."""
-        ends_a = list(accumulate(map(self.size_a.__getitem__, a)))
-        ends_b = list(accumulate(map(self.size_b.__getitem__, b)))
-        text_a, text_b = list(map(str, a)), list(map(str, b))
-        groups, links, i, j = [], array("q"), 0, 0
-        for end in sorted(set(ends_a) & set(ends_b)):
-            to_i, to_j = ends_a.index(end, i) + 1, ends_b.index(end, j) + 1
-            groups.append(",".join(text_a[i:to_i]) + "|" + ",".join(text_b[j:to_j]))
-            links.append((a[to_i - 1] << _SHIFT) + b[to_j - 1])
-            i, j = to_i, to_j
+        size_a, size_b, name_a, name_b = self.size_a, self.size_b, self.name_a, self.name_b
+        groups, links, others = [], array("q"), iter(b)
+        end_a = end_b = 0
+        of_a = of_b = ""
+        for t in a:
+            of_a += name_a[t]
+            end_a += size_a[t]
+            while end_b < end_a:
+                u = next(others)
+                of_b += name_b[u]
+                end_b += size_b[u]
+            if end_a == end_b:
+                groups.append(f"{of_a[1:]}|{of_b[1:]}")
+                links.append((t << _SHIFT) + u)
+                of_a = of_b = ""
         return ";".join(groups).encode(), links.tobytes()
 
     def _known(self, key: tuple[bytes, bytes], type_a: str, type_b: str) -> tuple[bytes, bytes]:
+        found = self.young.get(key)
+        if found is not None:
+            return found
         found = self.old.get(key)
         if found is None:
             found = self.window(memoryview(key[0]).cast(type_a).tolist(), memoryview(key[1]).cast(type_b).tolist())
@@ -131,31 +142,82 @@ class Aligner:
         self.young[key] = found
         return found
 
-    def rows(self, texts: pa.Array) -> Iterator[tuple[int, int, bytes, np.ndarray]]:
-        """Tokens of either side, groups and links (sorted codes) of each text."""
+    def _tokens(self, texts: pa.Array) -> tuple[np.ndarray, ...]:
+        """Token ids of the rows that both sides return byte for byte, each row's number
+        of either, and which rows these are."""
         texts = pc.fill_null(texts.cast(pa.string()), "")
         spaced = pc.binary_join_element_wise(pa.scalar(" "), texts, "")
         offsets, data = text_buffers(spaced)
-        a_ids, a_bounds = self.a_ids.encode(spaced)
+        a, a_bounds = self.a_ids.encode(spaced)
         plain = [data[s + 1 : e].tobytes().decode("utf-8", "replace") for s, e in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
-        for row, b_list in enumerate(self.b_model.encode(plain, num_threads=1)):
-            a, b = a_ids[a_bounds[row] : a_bounds[row + 1]], np.array(b_list, np.int32)
-            text = data[offsets[row] : offsets[row + 1]]
-            if len(text) < 2 or not (np.array_equal(self.a.of(a), text) and np.array_equal(self.b.of(b), text)):
-                yield 0, 0, b"", np.zeros(0, np.int64)
-                continue
-            start_a, start_b = (np.cumsum(v.length[ids]) - v.length[ids] for v, ids in ((self.a, a), (self.b, b)))
-            mark_a, mark_b = np.flatnonzero(self.a.spaced[a]), np.flatnonzero(self.b.spaced[b])
-            _, at_a, at_b = np.intersect1d(start_a[mark_a], start_b[mark_b], True, True)
-            cut_a, cut_b = mark_a[at_a], mark_b[at_b]
-            raw_a, raw_b, size_a, size_b = a.tobytes(), b.tobytes(), a.itemsize, b.itemsize
-            cut_a, cut_b = [*(cut_a * size_a).tolist(), len(raw_a)], [*(cut_b * size_b).tolist(), len(raw_b)]
-            parts = []
-            for k in range(len(cut_a) - 1):
-                key = (raw_a[cut_a[k] : cut_a[k + 1]], raw_b[cut_b[k] : cut_b[k + 1]])
-                found = self.young.get(key)
-                parts.append(found if found is not None else self._known(key, a.dtype.char, b.dtype.char))
-            yield len(a), len(b), b";".join([p[0] for p in parts]), np.sort(np.frombuffer(b"".join([p[1] for p in parts]), np.int64))
+        lists = self.b_model.encode(plain, num_threads=1)
+        n_a, n_b = np.diff(a_bounds), np.fromiter(map(len, lists), np.int64, len(lists))
+        b = np.fromiter(chain.from_iterable(lists), np.int32, int(n_b.sum()))
+        length = np.diff(offsets)
+        row_a, row_b = np.repeat(np.arange(len(length)), n_a), np.repeat(np.arange(len(length)), n_b)
+        good = length > 1
+        for v, ids, row in ((self.a, a, row_a), (self.b, b, row_b)):
+            good &= np.bincount(row, v.length[ids], len(length)).astype(np.int64) == length
+        for v, ids, row in ((self.a, a, row_a), (self.b, b, row_b)):
+            at = np.repeat(np.arange(len(length)), length)[np.repeat(good, length)]
+            unlike = v.of(ids[good[row]]) != data[offsets[0] : offsets[-1]][np.repeat(good, length)]
+            good[at[unlike]] = False
+        return a[good[row_a]], b[good[row_b]], n_a * good, n_b * good, good
+
+    def rows(self, texts: pa.Array) -> Iterator[tuple[int, int, bytes, np.ndarray]]:
+        """Tokens of either side, groups and links (codes) of each text."""
+        a, b, n_a, n_b, good = self._tokens(texts)
+        # rows have the same bytes on both sides, so offsets run on over them
+        start_a, start_b = (np.cumsum(v.length[ids]) - v.length[ids] for v, ids in ((self.a, a), (self.b, b)))
+        mark_a, mark_b = np.flatnonzero(self.a.spaced[a]), np.flatnonzero(self.b.spaced[b])
+        _, at_a, at_b = np.intersect1d(start_a[mark_a], start_b[mark_b], True, True)
+        cut_a, cut_b = mark_a[at_a], mark_b[at_b]  # a row's first tokens begin with its space
+        end_a, end_b = np.append(cut_a[1:], len(a)), np.append(cut_b[1:], len(b))
+        # equal windows of the block are looked up once
+        same = mixed(_ranges(a, cut_a, end_a) * _ODD + _ranges(b, cut_b, end_b))
+        _, first, which = np.unique(same, return_index=True, return_inverse=True)
+        raw_a, raw_b, w_a, w_b = a.tobytes(), b.tobytes(), a.itemsize, b.itemsize
+        bounds = zip(*[(x[first] * w).tolist() for x, w in ((cut_a, w_a), (end_a, w_a), (cut_b, w_b), (end_b, w_b))])
+        found = [self._known((raw_a[p:q], raw_b[r:s]), a.dtype.char, b.dtype.char) for p, q, r, s in bounds]
+        groups, codes, which_list = [f[0] for f in found], [f[1] for f in found], which.tolist()
+        window = np.searchsorted(cut_a, np.concatenate([[0], np.cumsum(n_a)])).tolist()
+        for row, (size_a, size_b, ok) in enumerate(zip(n_a.tolist(), n_b.tolist(), good.tolist())):
+            mine = which_list[window[row] : window[row + 1]] if ok else []
+            links = np.frombuffer(b"".join([codes[k] for k in mine]), np.int64)
+            yield size_a, size_b, b";".join([groups[k] for k in mine]), links
+
+
+_random = np.random.Generator(np.random.PCG64(11))
+_ODD = np.uint64(0x9E3779B97F4A7C15)
+_VALUE = _random.integers(1, 1 << 63, 1 << 16, dtype=np.uint64)
+
+
+def _ranges(ids: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hash of each run of ids (order counts)."""
+    value = _VALUE[ids & 0xFFFF] + ids.astype(np.uint64)
+    out = np.zeros(len(starts), np.uint64)
+    length = ends - starts
+    for k in range(int(length.max(initial=0))):
+        at = np.flatnonzero(length > k)
+        if len(at) < 64:  # few long runs are left
+            for i in at.tolist():
+                h = int(out[i])
+                for x in value[starts[i] + k : ends[i]].tolist():
+                    h = (h * 0x9E3779B97F4A7C15 + x) & 0xFFFFFFFFFFFFFFFF
+                out[i] = h
+            break
+        out[at] = out[at] * _ODD + value[starts[at] + k]
+    return out * _ODD + length.astype(np.uint64)
+
+
+def _blocks(texts: pa.Array, most: int = BLOCK_BYTES) -> Iterator[tuple[int, int]]:
+    """First row and number of rows of blocks of some ``most`` bytes (one row at least)."""
+    size = np.concatenate([[0], np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False))])
+    at = 0
+    while at < len(texts):
+        to = max(at + 1, int(np.searchsorted(size, size[at] + most, "right")) - 1)
+        yield at, to - at
+        at = to
 
 
 @functools.lru_cache(2)
@@ -182,11 +244,11 @@ def aligned(docs: DataFrame, a_path: str, b_path: str, key: str = "doc_id", text
 
     def run(batches):
         for batch in batches:
-            for at in range(0, batch.num_rows, ROWS):
-                keys = batch.column(0).slice(at, ROWS)
+            for at, n in _blocks(batch.column(1)):
+                keys = batch.column(0).slice(at, n)
                 out = [[] for _ in range(8)]
-                for n_a, n_b, text_of, codes in aligner(a_path, b_path).rows(batch.column(1).slice(at, ROWS)):
-                    links, times = _counted(codes)
+                for n_a, n_b, text_of, codes in aligner(a_path, b_path).rows(batch.column(1).slice(at, n)):
+                    links, times = _counted(np.sort(codes))
                     digest = hashlib.sha256(text_of).hexdigest() if n_a else ""
                     n = len(codes)
                     row = (n_a, n_b, n, n, digest, links.astype("<i8").tobytes(), times.astype("<i4").tobytes(), text_of)
