@@ -121,13 +121,28 @@ def gamma_fit(
 
 
 def calibration_years(series: DataFrame, value: str, *, keys: Sequence[str] = REGION, order: str = "month") -> DataFrame:
-    return (
-        series.where(F.col(value).isNotNull())
-        .select(*keys, F.year(order).alias("year"))
-        .distinct()
-        .groupBy(*keys)
-        .agg(F.count("*").alias("years"))
-    )
+    """Calendar years with a defined value per region; every region of ``series`` has a row."""
+    year = F.when(F.col(value).isNotNull(), F.year(order))
+    return series.groupBy(*keys).agg(F.size(F.collect_set(year)).cast("long").alias("years"))
+
+
+def _calibration(series: DataFrame, value: str, scale: int, keys: Sequence[str], order: str, calibration: tuple[str, str] | None) -> tuple[DataFrame, DataFrame]:
+    """The accumulated series, and the same with values inside the calibration span only."""
+    acc = accumulate(series.where(F.col(value).isNotNull()), value, scale, "_acc", keys=keys, order=order)
+    if calibration is None:
+        return acc, acc
+    inside = F.col(order).between(F.lit(calibration[0]).cast("date"), F.lit(calibration[1]).cast("date"))
+    return acc, acc.withColumn("_acc", F.when(inside, F.col("_acc")))
+
+
+def spi_rejections(
+    series: DataFrame, value: str, scale: int, *, keys: Sequence[str] = REGION, order: str = "month",
+    calibration: tuple[str, str] | None = None, min_years: int = MIN_CALIBRATION_YEARS,
+) -> DataFrame:
+    """``keys, years, reason`` of the regions that ``spi`` leaves out."""
+    _, base = _calibration(series, value, scale, keys, order, calibration)
+    years = calibration_years(base, "_acc", keys=keys, order=order).where(F.col("years") < min_years)
+    return years.withColumn("reason", F.concat(F.lit("calibration spans "), F.col("years").cast("string"), F.lit(f" years, at least {min_years} are needed")))
 
 
 def spi(
@@ -146,15 +161,12 @@ def spi(
     """Add ``output``: the index at one accumulation scale.
 
     The distribution is fitted inside the calibration span and applied to the
-    whole series. A region with too short a calibration is rejected.
+    whole series. A region with too short a calibration has no rows here and one
+    in ``spi_rejections``; the other regions are not touched by it.
     """
-    acc = accumulate(series.where(F.col(value).isNotNull()), value, scale, "_acc", keys=keys, order=order)
-    base = acc
-    if calibration is not None:
-        base = acc.where(F.col(order).between(F.lit(calibration[0]).cast("date"), F.lit(calibration[1]).cast("date")))
-    short = calibration_years(base, "_acc", keys=keys, order=order).where(F.col("years") < min_years).limit(1).collect()
-    if short:
-        raise ValueError(f"calibration spans {short[0]['years']} years, at least {min_years} are needed")
+    acc, base = _calibration(series, value, scale, keys, order, calibration)
+    enough = calibration_years(base, "_acc", keys=keys, order=order).where(F.col("years") >= min_years).select(*keys)
+    acc = acc.join(enough, list(keys), "left_semi")
     fit = gamma_fit(base, "_acc", keys=keys, order=order, min_values=min_values, min_positive=min_positive)
     joined = acc.withColumn("calendar_month", F.month(order)).join(
         fit.select(*keys, "calendar_month", "zero_fraction", "shape", "scale"), [*keys, "calendar_month"], "left"

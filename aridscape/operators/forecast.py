@@ -2,41 +2,58 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Sequence
 
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import LinearRegression
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from aridscape.functions.columns import correlation, ratio
+from aridscape.operators.keyed import by_keys
 from aridscape.operators.stats import spearman
+from aridscape.session import cut_lineage
 
 REGION = ("region_id",)
 WET_MONTHS = (11, 12, 1, 2, 3, 4)
 METHODS = ("climatology", "persistence", "damped_persistence")
 
 
-def chronological_split(
-    series: DataFrame, value: str, *, keys: Sequence[str] = REGION, order: str = "month", train_fraction: float = 0.7, min_rows: int = 24
-) -> DataFrame:
-    """Defined rows with their position ``t``, the cut and ``is_train``; never random.
-
-    Regions whose halves fall below ``min_rows`` are an error.
-    """
+def _numbered(series: DataFrame, value: str, keys: Sequence[str], order: str, train_fraction: float) -> DataFrame:
     if not 0.3 <= train_fraction <= 0.9:
         raise ValueError(f"train_fraction must lie in 0.3..0.9, got {train_fraction}")
     whole = Window.partitionBy(*keys)
-    numbered = (
+    return (
         series.where(F.col(value).isNotNull())
         .withColumn("t", F.row_number().over(whole.orderBy(order)))
-        .withColumn("cut", F.floor(F.count("*").over(whole) * F.lit(train_fraction)).cast("int"))
         .withColumn("n_total", F.count("*").over(whole))
+        .withColumn("cut", F.floor(F.col("n_total") * F.lit(train_fraction)).cast("int"))
     )
-    short = numbered.where((F.col("cut") < min_rows) | (F.col("n_total") - F.col("cut") < min_rows)).limit(1).collect()
-    if short:
-        raise ValueError(f"too few rows after the split: train {short[0]['cut']}, total {short[0]['n_total']}, need {min_rows} each")
-    return numbered.withColumn("is_train", F.col("t") <= F.col("cut")).drop("n_total")
+
+
+def chronological_split(
+    series: DataFrame, value: str, *, keys: Sequence[str] = REGION, order: str = "month", train_fraction: float = 0.7, min_rows: int = 24
+) -> DataFrame:
+    """Defined rows with their position ``t``, the cut and ``is_train``; never random.
+
+    Regions of which either part falls below ``min_rows`` have no rows here, but
+    one in ``split_rejections``.
+    """
+    numbered = _numbered(series, value, keys, order, train_fraction)
+    enough = (F.col("cut") >= min_rows) & (F.col("n_total") - F.col("cut") >= min_rows)
+    return numbered.where(enough).withColumn("is_train", F.col("t") <= F.col("cut")).drop("n_total")
+
+
+def split_rejections(series: DataFrame, value: str, *, keys: Sequence[str] = REGION, train_fraction: float = 0.7, min_train: int = 24, min_test: int = 24) -> DataFrame:
+    """``keys, n_train, n_test, reason`` of the regions too short to be split, from one aggregation."""
+    n = F.count(value)
+    cut = F.floor(n * F.lit(train_fraction)).cast("long")
+    counts = series.groupBy(*keys).agg(cut.alias("n_train"), (n - cut).alias("n_test"))
+    short = counts.where((F.col("n_train") < min_train) | (F.col("n_test") < min_test))
+    parts = (F.lit("too few rows after the split: train "), F.col("n_train").cast("string"), F.lit(", test "), F.col("n_test").cast("string"), F.lit(f", needed {min_train} and {min_test}"))
+    return short.withColumn("reason", F.concat(*parts))
 
 
 def lagged(df: DataFrame, value: str, lead: int, *, keys: Sequence[str] = REGION, order: str = "month") -> Column:
@@ -211,7 +228,8 @@ def describe_predictors(dataset: DataFrame, predictors: Sequence[str] = PREDICTO
 
 
 def _seasonal_split(dataset: DataFrame, keys: Sequence[str], train_fraction: float, min_train: int, min_test: int) -> DataFrame:
-    """Years with a target, their position, the previous target and the training mean."""
+    """Years with a target, their position, the previous target and the training mean,
+    of the regions long enough (see ``split_rejections`` for the others)."""
     whole = Window.partitionBy(*keys)
     years = whole.orderBy("year")
     split = (
@@ -227,10 +245,8 @@ def _seasonal_split(dataset: DataFrame, keys: Sequence[str], train_fraction: flo
         .withColumn("is_train", F.col("t") <= F.col("cut"))
         .withColumn("train_mean", F.avg(F.when(F.col("is_train"), F.col("target"))).over(whole))
     )
-    short = split.where((F.col("cut") < min_train) | (F.col("n_total") - F.col("cut") < min_test)).limit(1).collect()
-    if short:
-        raise ValueError(f"too few years after the split: train {short[0]['cut']}, total {short[0]['n_total']}")
-    return split.drop("n_total")
+    enough = (F.col("cut") >= min_train) & (F.col("n_total") - F.col("cut") >= min_test)
+    return split.where(enough).drop("n_total")
 
 
 def seasonal_baselines(dataset: DataFrame, *, keys: Sequence[str] = REGION, train_fraction: float = 0.7, min_train: int = 15, min_test: int = 10) -> DataFrame:
@@ -301,40 +317,72 @@ def univariate_skill(
     )
 
 
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
+def _solved(products: pd.Series, right: pd.Series) -> pd.Series:
+    """Solutions of a batch of symmetric systems, given as rows of the upper triangle."""
+    if not len(right):
+        return pd.Series([], dtype=object)
+    rhs = np.stack(right.to_numpy())
+    size = rhs.shape[1]
+    matrix = np.zeros((len(rhs), size, size))
+    i, j = np.triu_indices(size)
+    matrix[:, i, j] = matrix[:, j, i] = np.stack(products.to_numpy())
+    return pd.Series(list(np.linalg.solve(matrix, rhs[:, :, None])[:, :, 0]))
+
+
+def ridge_fit(train: DataFrame, predictors: Sequence[str], *, keys: Sequence[str] = REGION, alpha: float = 1.0) -> DataFrame:
+    """``keys, n_train, intercept, centre, spread, coefficients`` (arrays over the predictors).
+
+    Inputs are standardised by the population deviation (a constant one counts
+    as zero), the target is centred, and squared coefficients cost ``alpha``. Each
+    region is reduced to its sums of products, and small systems are solved batchwise.
+    """
+    keys, k = list(keys), len(predictors)
+    stats = train.groupBy(*keys).agg(
+        F.count("*").alias("n_train"), F.avg("target").alias("intercept"),
+        F.array(*[F.avg(p).cast("double") for p in predictors]).alias("centre"), F.array(*[F.stddev_pop(p).cast("double") for p in predictors]).alias("spread"),
+    )
+    met = by_keys(train.select(*keys, "target", *predictors), stats, keys)
+    z = [_standardised(p, i) for i, p in enumerate(predictors)]
+    y = F.col("target") - F.col("intercept")
+    pairs = [F.sum(z[i] * z[j]) + F.lit(float(alpha) if i == j else 0.0) for i in range(k) for j in range(i, k)]
+    sums = met.groupBy(*keys).agg(F.array(*pairs).alias("_a"), F.array(*[F.sum(c * y) for c in z]).alias("_b"))
+    solved = sums.select(*keys, _solved("_a", "_b").alias("coefficients"))
+    return by_keys(stats, solved, keys)
+
+
+def _standardised(predictor: str, i: int) -> Column:
+    return F.coalesce(ratio(F.col(predictor) - F.col("centre")[i], F.col("spread")[i]), F.lit(0.0))
+
+
 def ridge_skill(
-    dataset: DataFrame, predictors: Sequence[str] = PREDICTORS, *, alpha: float = 1.0, train_fraction: float = 0.7,
+    dataset: DataFrame, predictors: Sequence[str] = PREDICTORS, *, keys: Sequence[str] = REGION, alpha: float = 1.0, train_fraction: float = 0.7,
     min_train: int = 15, min_test: int = 10,
-) -> tuple[DataFrame, dict[str, float]]:
-    """Standardised ridge on all predictors for one series of years.
+) -> tuple[DataFrame, DataFrame]:
+    """Standardised ridge on all predictors, for every region at once.
 
-    Returns the skill row and the coefficients on standardised inputs. The
-    penalty is scaled so Spark's objective matches the plain ridge one.
+    Returns one skill row per region, beside those of the other seasonal
+    methods, and ``keys, predictor, coefficient`` on standardised inputs. Years
+    without one of the predictors take no part.
     """
-    whole = Window.partitionBy("_one")
-    split = _seasonal_split(dataset.withColumn("_one", F.lit(1)), ["_one"], train_fraction, min_train, min_test)
-    complete = split.where(sum((F.col(p).isNull().cast("int") for p in predictors), F.lit(0)) == 0)
-    for p in predictors:
-        on_train = F.when(F.col("is_train"), F.col(p))
-        complete = complete.withColumn(f"z_{p}", ratio(F.col(p) - F.avg(on_train).over(whole), F.stddev_pop(on_train).over(whole)))
-    points = VectorAssembler(inputCols=[f"z_{p}" for p in predictors], outputCol="features").transform(complete)
-    train = points.where("is_train")
-    head = train.agg(F.count("*").alias("n"), F.stddev_pop("target").alias("sy")).first()
-    # the solver divides the penalty by the deviation of the label
-    model = LinearRegression(
-        featuresCol="features", labelCol="target", solver="normal", elasticNetParam=0.0, standardization=False,
-        regParam=alpha / head["n"] * head["sy"],
-    ).fit(train)
-    scored = model.transform(points.where(~F.col("is_train")))
-    y, p, prev, mean = F.col("target"), F.col("prediction"), F.col("previous"), F.col("train_mean")
-    row = scored.agg(
-        F.count("*").alias("n_test"), correlation(F.col("target"), F.col("prediction")).alias("correlation"),
+    keys = list(keys)
+    split = _seasonal_split(dataset, keys, train_fraction, min_train, min_test)
+    complete = split.where(functools.reduce(lambda a, b: a & b, [F.col(p).isNotNull() for p in predictors]))
+    fit = cut_lineage(ridge_fit(complete.where("is_train"), predictors, keys=keys, alpha=alpha))
+    prediction = sum((F.col("coefficients")[i] * _standardised(p, i) for i, p in enumerate(predictors)), F.col("intercept"))
+    scored = by_keys(complete.where(~F.col("is_train")), fit, keys).withColumn("p", prediction)
+    y, p, prev, mean = F.col("target"), F.col("p"), F.col("previous"), F.col("train_mean")
+    skills = scored.groupBy(*keys, "n_train").agg(
+        F.count("*").alias("n_test"), correlation(F.col("target"), F.col("p")).alias("correlation"),
         F.avg((y - p) * (y - p)).alias("mse"), F.avg((y - mean) * (y - mean)).alias("mc"), F.avg((y - prev) * (y - prev)).alias("mp"),
     ).select(
-        "n_test", "correlation", F.sqrt("mse").alias("rmse"),
+        *keys, "n_train", "n_test", "correlation", F.sqrt("mse").alias("rmse"),
         (F.lit(1.0) - ratio(F.col("mse"), F.col("mc"))).alias("skill_vs_climatology"),
         (F.lit(1.0) - ratio(F.col("mse"), F.col("mp"))).alias("skill_vs_persistence"),
     )
-    return row, dict(zip(predictors, [float(c) for c in model.coefficients]))
+    names = F.array(*[F.lit(p) for p in predictors])
+    coefficients = fit.select(*keys, F.inline(F.arrays_zip(names.alias("predictor"), F.col("coefficients").alias("coefficient"))))
+    return skills, coefficients.toDF(*keys, "predictor", "coefficient")
 
 
 def best_predictor(skills: DataFrame, *, keys: Sequence[str] = REGION) -> DataFrame:

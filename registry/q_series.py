@@ -26,9 +26,42 @@ def _(v):
     return D.zero_fraction(v.zseries, "z").withColumn("zero_fraction", r6("zero_fraction"))
 
 
-@query("d03_gamma_fit")
+# Euler's psi and its derivative: eight steps up, then the asymptotic series
+_Z = "(k + 8)"
+_PSI = f"(ln({_Z}) - 0.5 / {_Z} - 1 / (12 * {_Z} ** 2) + 1 / (120 * {_Z} ** 4) - 1 / (252 * {_Z} ** 6) + 1 / (240 * {_Z} ** 8) - " + " - ".join(f"1 / (k + {i})" for i in range(8)) + ")"
+_PSI1 = f"(1 / {_Z} + 0.5 / {_Z} ** 2 + 1 / (6 * {_Z} ** 3) - 1 / (30 * {_Z} ** 5) + 1 / (42 * {_Z} ** 7) + " + " + ".join(f"1 / (k + {i}) ** 2" for i in range(8)) + ")"
+
+
+def _gamma_sql(source: str, min_values: int, min_positive: int = D.MIN_POSITIVE) -> str:
+    """Maximum-likelihood shapes of ``source`` (region_id, month, acc) by Newton steps."""
+    return f"""gsum AS (SELECT region_id, CAST(month("month") AS INT) AS calendar_month, count(*) AS n, count(*) FILTER (acc > 0) AS n_wet, avg(CASE WHEN acc <= 0 THEN 1.0 ELSE 0.0 END) AS zero_fraction,
+    avg(acc) FILTER (acc > 0) AS mean_wet, ln(avg(acc) FILTER (acc > 0)) - avg(ln(CASE WHEN acc > 0 THEN acc END)) AS s, min(acc) FILTER (acc > 0) AS least, max(acc) FILTER (acc > 0) AS most
+    FROM {source} WHERE acc IS NOT NULL GROUP BY 1, 2 HAVING count(*) >= {min_values}),
+  gfit AS (SELECT *, CASE WHEN n_wet >= {min_positive} AND most - least > 1e-8 + 1e-5 * abs(least) THEN list_reduce(list_prepend((3 - s + sqrt((s - 3) ** 2 + 24 * s)) / (12 * s), CAST(range(25) AS DOUBLE[])),
+    lambda k, step: k - (ln(k) - {_PSI} - s) / (1 / k - {_PSI1})) END AS shape FROM gsum)"""
+
+
+def _spi_sql(series: str, scale: int, min_years: int, min_values: int) -> str:
+    """Index values: incomplete gamma by its series, normal quantile by Newton steps on the upper half."""
+    below = "exp(lgamma(j + 1.5) + (j + 1) * ln(2) - 0.5 * ln(pi()))"
+    normal = f"(0.5 + exp(-z * z / 2) / sqrt(2 * pi()) * list_sum(list_transform(range(120), lambda j: z ** (2 * j + 1) / {below})))"
+    floor = D.PROBABILITY_FLOOR
+    return f"""sacc AS (SELECT region_id, "month", CASE WHEN count(ppt) OVER w = {scale} THEN sum(ppt) OVER w END AS acc FROM {series} WHERE ppt IS NOT NULL
+    WINDOW w AS (PARTITION BY region_id ORDER BY "month" ROWS BETWEEN {scale - 1} PRECEDING AND CURRENT ROW)),
+  span AS (SELECT region_id, count(DISTINCT year("month")) FILTER (acc IS NOT NULL) AS years FROM sacc GROUP BY 1), {_gamma_sql("sacc", min_values)},
+  prob AS (SELECT a.region_id, a."month", CASE WHEN acc <= 0 THEN zero_fraction ELSE zero_fraction + (1 - zero_fraction) * list_sum(list_transform(range(4000), lambda j:
+      exp((shape + j) * ln(greatest(acc, 1e-300) / (mean_wet / shape)) - acc / (mean_wet / shape) - lgamma(shape + j + 1)))) END AS h, shape
+    FROM sacc a JOIN span p ON p.region_id = a.region_id AND p.years >= {min_years} LEFT JOIN gfit g ON g.region_id = a.region_id AND calendar_month = month(a."month") AND acc IS NOT NULL),
+  clip AS (SELECT region_id, "month", shape, least(greatest(h, {floor}), 1 - {floor}) AS h FROM prob),
+  spi AS (SELECT region_id, "month", CASE WHEN shape IS NOT NULL THEN sign(h - 0.5) * list_reduce(list_prepend(0.0, CAST(range(40) AS DOUBLE[])),
+    lambda z, step: z + (greatest(h, 1 - h) - {normal}) * exp(z * z / 2) * sqrt(2 * pi())) END AS spi FROM clip)"""
+
+
+@query("d03_gamma_fit", sql("climate", "SELECT region_id, calendar_month, n, n_wet, round(zero_fraction, 6) AS zero_fraction, round(shape, 4) AS shape, round(mean_wet / shape, 6) AS scale FROM gfit",
+  'cacc AS (SELECT region_id, "month", ppt AS acc FROM climate), ' + _gamma_sql("cacc", 5)))
 def _(v):
-    return D.gamma_fit(v.climate, "ppt", min_values=5)
+    fit = D.gamma_fit(v.climate, "ppt", min_values=5)
+    return fit.select("region_id", "calendar_month", "n", "n_wet", r6("zero_fraction").alias("zero_fraction"), F.round("shape", 4).alias("shape"), r6("scale").alias("scale"))
 
 
 @query("d03_gamma_statistics", sql("climate", """SELECT region_id, CAST(month("month") AS INT) AS calendar_month, count(*) AS n, count(*) FILTER (ppt > 0) AS n_wet, round(avg(CASE WHEN ppt <= 0 THEN 1.0 ELSE 0.0 END), 6) AS zero_fraction,
@@ -38,11 +71,31 @@ def _(v):
     return fit.select("region_id", "calendar_month", "n", "n_wet", r6("zero_fraction").alias("zero_fraction"), r6(F.col("shape") * F.col("scale")).alias("mean_wet"))
 
 
-@query("d04_spi")
+@query("d04_spi", sql("climate", 'SELECT region_id, "month", round(spi, 6) + 0.0 AS spi FROM spi', _spi_sql("climate", 3, 5, 5)))
 def _(v):
     return D.spi(v.climate, "ppt", 3, min_years=5, min_values=5).select("region_id", "month", r6("spi").alias("spi"))
 
 
+def _with_short_region(v):
+    """The climate and one more region that ends after its first years."""
+    return v.climate.unionByName(v.climate.where("region_id = 1 AND month < date '1998-01-01'").withColumn("region_id", F.lit(100).cast("bigint")))
+
+
+_SHORT = """shortened AS (SELECT region_id, "month", ppt, soil FROM climate UNION ALL SELECT 100, "month", ppt, soil FROM climate WHERE region_id = 1 AND "month" < DATE '1998-01-01')"""
+
+
+@query("d04_spi_beside_a_short_region", sql("climate", 'SELECT region_id, "month", round(spi, 6) + 0.0 AS spi FROM spi', _SHORT + ", " + _spi_sql("shortened", 3, 5, 5)))
+def _(v):
+    return D.spi(_with_short_region(v), "ppt", 3, min_years=5, min_values=5).select("region_id", "month", r6("spi").alias("spi"))
+
+
+@query("d04_rejections", sql("climate", """SELECT region_id, count(DISTINCT year("month")) FILTER (acc IS NOT NULL) AS years, 'calibration spans ' || count(DISTINCT year("month")) FILTER (acc IS NOT NULL) || ' years, at least 5 are needed' AS reason FROM (
+  SELECT region_id, "month", CASE WHEN count(ppt) OVER w = 3 THEN sum(ppt) OVER w END AS acc FROM shortened WINDOW w AS (PARTITION BY region_id ORDER BY "month" ROWS BETWEEN 2 PRECEDING AND CURRENT ROW))
+  GROUP BY 1 HAVING count(DISTINCT year("month")) FILTER (acc IS NOT NULL) < 5""", _SHORT))
+def _(v):
+    return D.spi_rejections(_with_short_region(v), "ppt", 3, min_years=5)
+
+
 @query("d05_category", sql("zseries", f'SELECT region_id, "month", {_CATEGORY.format(z="z")} AS category FROM zseries'))
 def _(v):
     return v.zseries.select("region_id", "month", D.spi_category(F.col("z")).alias("category"))
@@ -125,6 +178,12 @@ def _benchmark(v):
     return out.select("region_id", "method", "lead", "n", *[r6(c).alias(c) for c in floats])
 
 
+@query("f01_rejections", sql("climate", """SELECT region_id, CAST(floor(n * 0.6) AS BIGINT) AS n_train, n - CAST(floor(n * 0.6) AS BIGINT) AS n_test FROM (SELECT region_id, count(soil) AS n FROM shortened GROUP BY 1)
+  WHERE floor(n * 0.6) < 24 OR n - floor(n * 0.6) < 24""", _SHORT))
+def _(v):
+    return P.split_rejections(_with_short_region(v), "soil", train_fraction=0.6).drop("reason")
+
+
 for _name, _method in (("f02_climatology", "climatology"), ("f03_persistence_skill", "persistence"), ("f05_damped_persistence", "damped_persistence")):
     query(_name, sql("zseries", f"SELECT * FROM skill WHERE method = '{_method}'", _SPLIT))(lambda v, m=_method: _benchmark(v).where(F.col("method") == m))
 
@@ -218,35 +277,66 @@ def _(v):
     return out.select("region_id", "predictor", "n_test", *[r6(c).alias(c) for c in out.columns if c not in ("region_id", "predictor", "n_test")])
 
 
-def _yearly(v):
-    """Brand-year rows as one long series of years for the multivariate model."""
-    lines = v.table("lineitem").select("l_shipdate", "l_quantity", "l_extendedprice", "l_discount", "l_tax")
-    return lines.groupBy((F.year("l_shipdate") * 12 + F.month("l_shipdate")).alias("year")).agg(
+def _yearly(v, region=None):
+    """Months as one long series of years per region (return flag and line status by default)."""
+    lines = v.table("lineitem").select("l_returnflag", "l_linestatus", "l_shipdate", "l_quantity", "l_extendedprice", "l_discount", "l_tax")
+    if region is None:  # one region ends early
+        region = F.concat("l_returnflag", "l_linestatus")
+        lines = lines.where((region != "NO") | (F.year("l_shipdate") < 1997))
+    return lines.groupBy(region.alias("region_id"), (F.year("l_shipdate") * 12 + F.month("l_shipdate")).alias("year")).agg(
         F.avg("l_quantity").alias("a"), F.avg("l_discount").alias("b"), F.avg("l_tax").alias("c"), F.avg("l_extendedprice").alias("target")
     )
 
 
-# ridge in closed form: Cramer's rule on the 3x3 normal equations of standardised inputs
-_RIDGE = """ym AS (SELECT year(l_shipdate) * 12 + month(l_shipdate) AS y, avg(l_quantity) AS a, avg(l_discount) AS b, avg(l_tax) AS c, avg(l_extendedprice) AS target FROM lineitem GROUP BY 1),
-ys AS (SELECT *, row_number() OVER (ORDER BY y) AS t, floor(count(*) OVER () * 0.7) AS cut FROM ym),
-yz AS (SELECT *, (a - avg(a) FILTER (t <= cut) OVER ()) / (stddev_pop(a) FILTER (t <= cut) OVER ()) AS za, (b - avg(b) FILTER (t <= cut) OVER ()) / (stddev_pop(b) FILTER (t <= cut) OVER ()) AS zb,
-  (c - avg(c) FILTER (t <= cut) OVER ()) / (stddev_pop(c) FILTER (t <= cut) OVER ()) AS zc, target - avg(target) FILTER (t <= cut) OVER () AS zy FROM ys),
-ne AS (SELECT sum(za * za) + 1 AS aa, sum(za * zb) AS ab, sum(za * zc) AS ac, sum(zb * zb) + 1 AS bb, sum(zb * zc) AS bc, sum(zc * zc) + 1 AS cc, sum(za * zy) AS ay, sum(zb * zy) AS bby, sum(zc * zy) AS cy FROM yz WHERE t <= cut),
-co AS (SELECT aa * (bb * cc - bc * bc) - ab * (ab * cc - bc * ac) + ac * (ab * bc - bb * ac) AS det, * FROM ne)"""
+_EARLY = "l_returnflag || l_linestatus <> 'NO' OR year(l_shipdate) < 1997"
+
+
+def _ridge_sql(region: str, kept: str = "true") -> str:
+    """Ridge in closed form: Cramer's rule on the 3x3 normal equations of standardised inputs, per region."""
+    centred = ", ".join(f"coalesce(({c} - avg({c}) FILTER (t <= cut) OVER w) / nullif(stddev_pop({c}) FILTER (t <= cut) OVER w, 0), 0) AS z{c}" for c in "abc")
+    return f"""ym AS (SELECT {region} AS region_id, year(l_shipdate) * 12 + month(l_shipdate) AS y, avg(l_quantity) AS a, avg(l_discount) AS b, avg(l_tax) AS c, avg(l_extendedprice) AS target FROM lineitem WHERE {kept} GROUP BY 1, 2),
+ys AS (SELECT *, row_number() OVER (PARTITION BY region_id ORDER BY y) AS t, floor(count(*) OVER (PARTITION BY region_id) * 0.7) AS cut, count(*) OVER (PARTITION BY region_id) AS total,
+  lag(target) OVER (PARTITION BY region_id ORDER BY y) AS prev FROM ym),
+yz AS (SELECT *, {centred}, avg(target) FILTER (t <= cut) OVER w AS tm, target - avg(target) FILTER (t <= cut) OVER w AS zy FROM ys WHERE cut >= 15 AND total - cut >= 10 WINDOW w AS (PARTITION BY region_id)),
+ne AS (SELECT region_id, count(*) AS n_train, sum(za * za) + 1 AS aa, sum(za * zb) AS ab, sum(za * zc) AS ac, sum(zb * zb) + 1 AS bb, sum(zb * zc) AS bc, sum(zc * zc) + 1 AS cc, sum(za * zy) AS ay, sum(zb * zy) AS bby, sum(zc * zy) AS cy FROM yz WHERE t <= cut GROUP BY 1),
+co AS (SELECT *, (ay * (bb * cc - bc * bc) - ab * (bby * cc - bc * cy) + ac * (bby * bc - bb * cy)) / det AS ca, (aa * (bby * cc - bc * cy) - ay * (ab * cc - bc * ac) + ac * (ab * cy - bby * ac)) / det AS cb,
+  (aa * (bb * cy - bby * bc) - ab * (ab * cy - bby * ac) + ay * (ab * bc - bb * ac)) / det AS cc_ FROM (SELECT *, aa * (bb * cc - bc * bc) - ab * (ab * cc - bc * ac) + ac * (ab * bc - bb * ac) AS det FROM ne)),
+sk AS (SELECT region_id, n_train, count(*) AS n_test, corr(target, p) AS correlation, sqrt(avg((target - p) ** 2)) AS rmse, 1 - avg((target - p) ** 2) / avg((target - tm) ** 2) AS skill_vs_climatology,
+  1 - avg((target - p) ** 2) / avg((target - prev) ** 2) AS skill_vs_persistence FROM (SELECT yz.*, n_train, tm + ca * za + cb * zb + cc_ * zc AS p FROM yz JOIN co USING (region_id) WHERE t > cut) GROUP BY 1, 2)"""
+
+
+_COEFFICIENTS = " UNION ALL ".join(f"SELECT {{region}} '{p}' AS predictor, round({c}, 4) AS coefficient FROM co" for p, c in (("a", "ca"), ("b", "cb"), ("c", "cc_")))
+_SKILLS = ("correlation", "rmse", "skill_vs_climatology", "skill_vs_persistence")
+
+
+@query("f14_ridge", sql("", _COEFFICIENTS.format(region=""), _ridge_sql("0")))
+def _(v):
+    _skills, coefficients = P.ridge_skill(_yearly(v, F.lit(0)), ["a", "b", "c"])
+    return coefficients.select("predictor", F.round("coefficient", 4).alias("coefficient"))
+
+
+@query("f14_ridge_skill", sql("", "SELECT n_test, " + ", ".join(f"round({c}, 6) AS {c}" for c in _SKILLS) + " FROM sk", _ridge_sql("0")))
+def _(v):
+    skills, _coefficients = P.ridge_skill(_yearly(v, F.lit(0)), ["a", "b", "c"])
+    return skills.select("n_test", *[r6(c).alias(c) for c in _SKILLS])
+
+
+@query("f14_ridge_by_region", sql("", _COEFFICIENTS.format(region="region_id,"), _ridge_sql("l_returnflag || l_linestatus", _EARLY)))
+def _(v):
+    _skills, coefficients = P.ridge_skill(_yearly(v), ["a", "b", "c"])
+    return coefficients.select("region_id", "predictor", F.round("coefficient", 4).alias("coefficient"))
 
 
-@query("f14_ridge", sql("", """SELECT 'a' AS predictor, round((ay * (bb * cc - bc * bc) - ab * (bby * cc - bc * cy) + ac * (bby * bc - bb * cy)) / det, 4) AS coefficient FROM co
-  UNION ALL SELECT 'b', round((aa * (bby * cc - bc * cy) - ay * (ab * cc - bc * ac) + ac * (ab * cy - bby * ac)) / det, 4) FROM co
-  UNION ALL SELECT 'c', round((aa * (bb * cy - bby * bc) - ab * (ab * cy - bby * ac) + ay * (ab * bc - bb * ac)) / det, 4) FROM co""", _RIDGE))
+@query("f14_ridge_skill_by_region", sql("", "SELECT region_id, n_train, n_test, " + ", ".join(f"round({c}, 6) AS {c}" for c in _SKILLS) + " FROM sk", _ridge_sql("l_returnflag || l_linestatus", _EARLY)))
 def _(v):
-    _row, coefficients = P.ridge_skill(_yearly(v), ["a", "b", "c"])
-    return v.spark.createDataFrame([(k, round(c, 4)) for k, c in coefficients.items()], "predictor string, coefficient double")
+    skills, _coefficients = P.ridge_skill(_yearly(v), ["a", "b", "c"])
+    return skills.select("region_id", "n_train", "n_test", *[r6(c).alias(c) for c in _SKILLS])
 
 
-@query("f14_ridge_skill")
+@query("f14_rejections", sql("", f"""SELECT region_id, CAST(floor(n * 0.7) AS BIGINT) AS n_train, n - CAST(floor(n * 0.7) AS BIGINT) AS n_test FROM (
+  SELECT l_returnflag || l_linestatus AS region_id, count(DISTINCT year(l_shipdate) * 12 + month(l_shipdate)) AS n FROM lineitem WHERE {_EARLY} GROUP BY 1) WHERE floor(n * 0.7) < 15 OR n - floor(n * 0.7) < 10"""))
 def _(v):
-    row, _coefficients = P.ridge_skill(_yearly(v), ["a", "b", "c"])
-    return row
+    return P.split_rejections(_yearly(v), "target", min_train=15, min_test=10).drop("reason")
 
 
 @query("f15_best_predictor", sql("climate", f"""SELECT {_ROUNDED} FROM (SELECT *, row_number() OVER (PARTITION BY region_id ORDER BY round(skill_vs_climatology, 9) DESC, predictor) AS k

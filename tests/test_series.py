@@ -76,8 +76,18 @@ def test_calibration_is_applied_outside_its_span(rain):
     _, df = rain
     out = D.spi(df, "ppt", 3, calibration=("1960-01-01", "1999-12-31"))
     assert out.where("year(month) = 2015 AND spi IS NOT NULL").count() == 24
-    with pytest.raises(ValueError, match="at least 30"):
-        D.spi(df, "ppt", 3, calibration=("1960-01-01", "1969-12-31"))
+
+
+def test_a_short_region_is_a_rejection_and_leaves_the_others(rain):
+    _, df = rain
+    mixed = df.where("region_id <> 1 OR month < date '1975-01-01'")
+    whole = {(r["region_id"], r["month"]): r["spi"] for r in D.spi(df, "ppt", 3).where("region_id <> 1").collect()}
+    got = {(r["region_id"], r["month"]): r["spi"] for r in D.spi(mixed, "ppt", 3).collect()}
+    assert got == whole
+    assert [(r["region_id"], r["years"], r["reason"]) for r in D.spi_rejections(mixed, "ppt", 3).collect()] == [(1, 15, "calibration spans 15 years, at least 30 are needed")]
+    span = ("1960-01-01", "1969-12-31")
+    assert D.spi(df, "ppt", 3, calibration=span).count() == 0
+    assert D.spi_rejections(df, "ppt", 3, calibration=span).count() == 2
 
 
 def test_short_or_constant_months_get_no_index(spark):
@@ -163,9 +173,10 @@ def test_learned_damping_ignores_the_test_part(spark):
 
 def test_forecast_guards(spark):
     df = series(spark, {"v": ar1(0.5, 60)})
-    for fraction, match in ((0.95, "0.3..0.9"), (0.3, "too few")):
-        with pytest.raises(ValueError, match=match):
-            P.chronological_split(df, "v", train_fraction=fraction)
+    with pytest.raises(ValueError, match="0.3..0.9"):
+        P.chronological_split(df, "v", train_fraction=0.95)
+    assert P.chronological_split(df, "v", train_fraction=0.3).count() == 0
+    assert [(r["n_train"], r["n_test"]) for r in P.split_rejections(df, "v", train_fraction=0.3).collect()] == [(18, 42)]
     with pytest.raises(ValueError):
         P.lagged(df, "v", 0)
     short = series(spark, {"v": ar1(0.5, 10)})
@@ -228,21 +239,29 @@ def test_seasonal_guards(climate):
         P.seasonal_dataset(climate, predictor_months=(10,))
     with pytest.raises(KeyError):
         P.seasonal_dataset(climate, target="yield")
-    with pytest.raises(ValueError, match="too few years"):
-        P.seasonal_baselines(P.seasonal_dataset(climate.where("month < date '1975-01-01'")))
-
-
-def test_ridge_equals_the_closed_form(climate):
-    data = P.seasonal_dataset(climate.where("region_id = 1"))
-    row, coefficients = P.ridge_skill(data)
-    pdf = data.orderBy("year").toPandas()
-    cut = int(len(pdf) * 0.7)
-    x, y = pdf[list(P.PREDICTORS)].to_numpy(), pdf["target"].to_numpy()
-    z = (x - x[:cut].mean(0)) / x[:cut].std(0)
-    beta = np.linalg.solve(z[:cut].T @ z[:cut] + np.eye(z.shape[1]), z[:cut].T @ (y[:cut] - y[:cut].mean()))
-    np.testing.assert_allclose([coefficients[p] for p in P.PREDICTORS], beta, rtol=1e-6)
-    error = z[cut:] @ beta + y[:cut].mean() - y[cut:]
-    assert row.first()["rmse"] == pytest.approx(np.sqrt((error**2).mean()), rel=1e-6)
+    short = P.seasonal_dataset(climate.where("region_id <> 1 OR month < date '1975-01-01'"))
+    assert P.seasonal_baselines(short).where("region_id = 1").count() == 0
+    assert P.seasonal_baselines(short).where("region_id <> 1").count() == 2
+    assert [r["region_id"] for r in P.split_rejections(short, "target", min_train=15, min_test=10).collect()] == [1]
+
+
+def test_ridge_equals_the_closed_form_in_every_region(climate):
+    data = P.seasonal_dataset(climate)
+    skills, coefficients = P.ridge_skill(data.withColumn("spring_ppt", F.when(F.col("region_id") == 1, F.lit(2.0)).otherwise(F.col("spring_ppt"))))
+    skills = {r["region_id"]: r for r in skills.collect()}
+    beta_of = {(r["region_id"], r["predictor"]): r["coefficient"] for r in coefficients.collect()}
+    for region, pdf in data.orderBy("year").toPandas().groupby("region_id"):
+        if region == 1:
+            pdf["spring_ppt"] = 2.0  # a constant predictor has no say
+        cut = int(len(pdf) * 0.7)
+        x, y = pdf[list(P.PREDICTORS)].to_numpy(), pdf["target"].to_numpy()
+        spread = x[:cut].std(0)
+        z = (x - x[:cut].mean(0)) / np.where(spread > 1e-12, spread, np.inf)
+        beta = np.linalg.solve(z[:cut].T @ z[:cut] + np.eye(z.shape[1]), z[:cut].T @ (y[:cut] - y[:cut].mean()))
+        np.testing.assert_allclose([beta_of[region, p] for p in P.PREDICTORS], beta, rtol=1e-6, atol=1e-12)
+        error = z[cut:] @ beta + y[:cut].mean() - y[cut:]
+        assert skills[region]["rmse"] == pytest.approx(np.sqrt((error**2).mean()), rel=1e-6)
+        assert skills[region]["n_test"] == len(pdf) - cut
 
 
 def test_monitor_bundle(rain):
