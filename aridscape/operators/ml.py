@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Sequence
 
 from pyspark.ml.feature import VectorAssembler
@@ -10,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from aridscape.functions.columns import defined
-from aridscape.operators.stats import column_quantiles, hash_sample, spearman
+from aridscape.operators.stats import Marks, bucket_count, column_quantiles, hash_sample, spearman, with_rank
 from aridscape.operators.validate import unique_labels
 from aridscape.session import cut_lineage
 
@@ -56,22 +57,61 @@ def equal_sample(table: DataFrame, total: int = SAMPLE_SIZE, *, seed: int = 42)
     return hash_sample(table, ["year"], total // max(years, 1), ["cell_id"], seed=seed)
 
 
-def assign_folds(table: DataFrame, block: str = "block", *, folds: int = 5) -> DataFrame:
-    """Whole blocks to folds, largest first into the lightest fold.
+def deal_phases(loads: list[int], size: int, count: int) -> tuple[list[tuple[int, list[int]]], list[int]]:
+    """How ``count`` blocks of one size fall to folds, each to the lightest at its turn.
 
-    Only block counts reach the driver, one row per block of cells.
+    Fold f takes its k-th block at load ``loads[f] + k * size``, so the order is a
+    merge of progressions with one step: between the starting loads of two folds
+    it repeats the same round. Returns (rank of the first block, round of folds)
+    of each such phase, and the loads afterwards.
+    """
+    starts = sorted(set(loads))
+    phases, dealt, after = [], 0, list(loads)
+    for i, start in enumerate(starts):
+        if dealt >= count:
+            break
+        active = [f for f, load in enumerate(loads) if load <= start]
+        first = {f: loads[f] + -(-(start - loads[f]) // size) * size for f in active}
+        turn = sorted(active, key=lambda f: (first[f], f))
+        room = count - dealt
+        if i + 1 < len(starts):
+            room = min(room, sum(max(0, -(-(starts[i + 1] - first[f]) // size)) for f in active))
+        if room:
+            phases.append((dealt, turn))
+            for place, f in enumerate(turn):
+                after[f] += size * (room // len(turn) + (place < room % len(turn)))
+        dealt += room
+    return phases, after
+
+
+def fold_map(table: DataFrame, block: str = "block", *, folds: int = 5) -> DataFrame:
+    """``block, fold``: whole blocks, largest first, each to the fold with the fewest rows so far
+    (ties: smaller block number, smaller fold).
+
+    The driver sees how many blocks have each size, not the blocks: a block's fold
+    follows from its rank among blocks of its size, found by range-wise ranking.
     """
-    counts = table.groupBy(block).agg(F.count("*").alias("n")).orderBy(F.desc("n"), block)
-    load = [0] * folds
-    placed = []
-    for row in counts.toLocalIterator():
-        target = load.index(min(load))
-        load[target] += row["n"]
-        placed.append((row[block], target))
-    if len(placed) < folds:
-        raise ValueError(f"{len(placed)} blocks cannot fill {folds} folds")
-    mapping = table.sparkSession.createDataFrame(placed, f"{block} long, fold int")
-    return table.join(mapping, block)
+    sizes = cut_lineage(table.groupBy(F.col(block).cast("long").alias("block")).agg(F.count("*").alias("size")))
+    histogram = sizes.groupBy("size").agg(F.count("*").alias("blocks")).orderBy(F.desc("size")).collect()
+    if sum(r["blocks"] for r in histogram) < folds:
+        raise ValueError(f"{sum(r['blocks'] for r in histogram)} blocks cannot fill {folds} folds")
+    loads, rows = [0] * folds, []
+    for r in histogram:
+        phases, loads = deal_phases(loads, r["size"], r["blocks"])
+        rows.append((r["size"], [(start, turn) for start, turn in phases]))
+    turns = table.sparkSession.createDataFrame(rows, "size long, phases array<struct<start: long, turn: array<int>>>")
+    (marks,) = Marks.measure(sizes.select(F.col("block").cast("double").alias("_b")), ["_b"], bucket_count(table))
+    numbered = sizes.withColumn("_b", F.col("block").cast("double"))
+    ranked = with_rank(numbered, "_b", ["size"], marks, numbered, "block", "_rank").join(turns, "size")
+    at = F.col("_rank").cast("long") - 1
+    phase = F.element_at(F.filter("phases", lambda p: p["start"] <= at), -1)
+    fold = F.element_at(phase["turn"], (F.pmod(at - phase["start"], F.size(phase["turn"])) + 1).cast("int"))
+    return ranked.select(F.col("block").alias(block), fold.alias("fold"))
+
+
+def assign_folds(table: DataFrame, block: str = "block", *, folds: int = 5) -> DataFrame:
+    """``table`` with the fold of each row's block (``fold_map``)."""
+    return table.join(fold_map(table, block, folds=folds), block)
 
 
 def forest(features: Sequence[str], *, trees: int = 100, depth: int = 15, min_leaf: int = 5, seed: int = 42) -> RandomForestRegressor:
@@ -86,25 +126,38 @@ def assemble(table: DataFrame, features: Sequence[str]) -> DataFrame:
     return VectorAssembler(inputCols=list(features), outputCol="features").transform(table)
 
 
-def cross_validate(folded: DataFrame, features: Sequence[str], *, folds: int = 5, sample: int = SAMPLE_SIZE, **forest_options) -> tuple[DataFrame, DataFrame]:
+def model_path(path: str, fold: int | None = None) -> str:
+    """Place of a stored model: the final one, or that of a fold."""
+    return f"{path.rstrip('/')}/{'final' if fold is None else f'fold={fold}'}"
+
+
+def stored_model(path: str, fold: int | None = None) -> RandomForestRegressionModel:
+    return RandomForestRegressionModel.load(model_path(path, fold))
+
+
+def cross_validate(folded: DataFrame, features: Sequence[str], *, folds: int = 5, sample: int = SAMPLE_SIZE, path: str | None = None, **forest_options) -> tuple[DataFrame, DataFrame]:
     """(fold metrics, mean importances) of blocked cross-validation.
 
     Each fold's forest is fitted on at most ``sample`` rows of the other folds
-    (``equal_sample``) and scored on all rows of its own.
+    (``equal_sample``) and scored on all rows of its own. With ``path`` every
+    fold's model is stored there, and the stored model does the scoring.
     """
     points = assemble(folded, features).select("cell_id", "year", "features", "label", "fold").persist()
     spark = folded.sparkSession
-    metrics, importances = [], []
+    scored, importances = [], []
     for fold in range(folds):
         model = forest(features, **forest_options).fit(equal_sample(points.where(F.col("fold") != fold), sample))
+        if path:
+            model.write().overwrite().save(model_path(path, fold + 1))
+            model = stored_model(path, fold + 1)
         error = F.col("prediction") - F.col("label")
-        row = model.transform(points.where(F.col("fold") == fold)).agg(
-            F.count("*").alias("n"), F.avg(error * error).alias("mse"), F.avg(F.abs(error)).alias("mae"), F.var_pop("label").alias("var")
-        ).first()
-        r2 = 1 - row["mse"] / row["var"] if row["var"] else None
-        metrics.append((fold + 1, row["n"], r2, row["mse"] ** 0.5, row["mae"]))
+        scored.append(model.transform(points.where(F.col("fold") == fold)).agg(
+            F.lit(fold + 1).alias("fold"), F.count("*").alias("n"), F.avg(error * error).alias("mse"), F.avg(F.abs(error)).alias("mae"), F.var_pop("label").alias("var")
+        ))
         importances.append([float(v) for v in model.featureImportances.toArray()])
+    rows = functools.reduce(DataFrame.unionByName, scored).collect()  # one row per fold, all folds in one job
     points.unpersist()
+    metrics = [(r["fold"], r["n"], 1 - r["mse"] / r["var"] if r["var"] else None, r["mse"] ** 0.5, r["mae"]) for r in rows if r["n"]]
     scores = spark.createDataFrame(metrics, "fold int, n long, r2 double, rmse double, mae double")
     mean = [sum(column) / folds for column in zip(*importances)]
     ranking = spark.createDataFrame(list(zip(features, mean)), "feature string, importance double").orderBy(F.desc("importance"))
@@ -116,10 +169,12 @@ def score_spread(scores: DataFrame) -> DataFrame:
 
 
 def fit_final(table: DataFrame, features: Sequence[str], *, path: str | None = None, **forest_options) -> RandomForestRegressionModel:
+    """The forest over all given rows; with ``path`` it is stored, and what is returned was read back."""
     model = forest(features, **forest_options).fit(assemble(table, features).select("features", "label"))
-    if path:
-        model.write().overwrite().save(path)
-    return model
+    if not path:
+        return model
+    model.write().overwrite().save(model_path(path))
+    return stored_model(path)
 
 
 def resilience_gap(model: RandomForestRegressionModel, rows: DataFrame, features: Sequence[str], *, max_severity: float = -1.0) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -29,6 +30,21 @@ def build_session(app_name: str = "aridscape", master: str | None = None, **conf
     return builder.getOrCreate()
 
 
+_FOLDERS: dict[str, str] = {}
+
+
+def shared_path(spark: SparkSession, name: str) -> str:
+    """New place for stored models and layers in the folder every executor reaches
+    (``spark.checkpoint.dir``); a temporary folder only in local mode without one."""
+    context = spark.sparkContext
+    base = context.getConf().get("spark.checkpoint.dir")
+    if base is None:
+        if not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
+        base = _FOLDERS.setdefault(context.applicationId, "file://" + tempfile.mkdtemp(prefix="aridscape-shared-"))
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the shared checkpoint folder.
 

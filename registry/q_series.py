@@ -41,7 +41,7 @@ def _gamma_sql(source: str, min_values: int, min_positive: int = D.MIN_POSITIVE)
     lambda k, step: k - (ln(k) - {_PSI} - s) / (1 / k - {_PSI1})) END AS shape FROM gsum)"""
 
 
-def _spi_sql(series: str, scale: int, min_years: int, min_values: int) -> str:
+def spi_sql(series: str, scale: int, min_years: int, min_values: int) -> str:
     """Index values: incomplete gamma by its series, normal quantile by Newton steps on the upper half."""
     below = "exp(lgamma(j + 1.5) + (j + 1) * ln(2) - 0.5 * ln(pi()))"
     normal = f"(0.5 + exp(-z * z / 2) / sqrt(2 * pi()) * list_sum(list_transform(range(120), lambda j: z ** (2 * j + 1) / {below})))"
@@ -71,7 +71,7 @@ def _(v):
     return fit.select("region_id", "calendar_month", "n", "n_wet", r6("zero_fraction").alias("zero_fraction"), r6(F.col("shape") * F.col("scale")).alias("mean_wet"))
 
 
-@query("d04_spi", sql("climate", 'SELECT region_id, "month", round(spi, 6) + 0.0 AS spi FROM spi', _spi_sql("climate", 3, 5, 5)))
+@query("d04_spi", sql("climate", 'SELECT region_id, "month", round(spi, 6) + 0.0 AS spi FROM spi', spi_sql("climate", 3, 5, 5)))
 def _(v):
     return D.spi(v.climate, "ppt", 3, min_years=5, min_values=5).select("region_id", "month", r6("spi").alias("spi"))
 
@@ -84,7 +84,7 @@ def _with_short_region(v):
 _SHORT = """shortened AS (SELECT region_id, "month", ppt, soil FROM climate UNION ALL SELECT 100, "month", ppt, soil FROM climate WHERE region_id = 1 AND "month" < DATE '1998-01-01')"""
 
 
-@query("d04_spi_beside_a_short_region", sql("climate", 'SELECT region_id, "month", round(spi, 6) + 0.0 AS spi FROM spi', _SHORT + ", " + _spi_sql("shortened", 3, 5, 5)))
+@query("d04_spi_beside_a_short_region", sql("climate", 'SELECT region_id, "month", round(spi, 6) + 0.0 AS spi FROM spi', _SHORT + ", " + spi_sql("shortened", 3, 5, 5)))
 def _(v):
     return D.spi(_with_short_region(v), "ppt", 3, min_years=5, min_values=5).select("region_id", "month", r6("spi").alias("spi"))
 

@@ -10,8 +10,10 @@ from aridscape.operators import ml as L
 from aridscape.operators import terrain
 from aridscape.operators import validate as V
 from aridscape.operators.stats import spearman
+from aridscape.session import shared_path
 from aridscape.sources.grid import block_id
 
+from registry.q_series import spi_sql
 from registry.views import NAMES, WIDTH, query, r6, r9, sql
 
 # --- anomalies -------------------------------------------------------------------
@@ -207,12 +209,23 @@ def _(v):
     return out.select("n_dry", "n_other", r6("dry_rho").alias("dry_rho"), r6("other_rho").alias("other_rho"))
 
 
-@query("v11_historical_spi")
+_SPI_LABELS = 'bas AS (SELECT 0 AS region_id, "month", ppt FROM basin), ' + spi_sql("bas", 12, 5, 5) + """,
+sev AS (SELECT CAST(year("month") AS INT) AS "year", avg(spi) <= -1.0 AS dry FROM spi WHERE month("month") IN (7, 8, 9) GROUP BY 1),
+sr AS (SELECT "year", rank() OVER (PARTITION BY "year" ORDER BY risk) + (count(*) OVER (PARTITION BY "year", risk) - 1) / 2.0 AS rx,
+  rank() OVER (PARTITION BY "year" ORDER BY anomaly) + (count(*) OVER (PARTITION BY "year", anomaly) - 1) / 2.0 AS ry FROM joined WHERE code = 40 AND risk IS NOT NULL AND anomaly IS NOT NULL),
+years AS (SELECT DISTINCT "year" FROM joined WHERE code = 40 AND anomaly IS NOT NULL),
+srho AS (SELECT "year", coalesce(dry, false) AS is_dry, rho FROM years LEFT JOIN (SELECT "year", CASE WHEN count(*) >= 20 THEN corr(rx, ry) END AS rho FROM sr GROUP BY 1) USING ("year") LEFT JOIN sev USING ("year")),
+sgroup AS (SELECT count(*) FILTER (is_dry) AS n_dry, count(*) FILTER (NOT is_dry) AS n_other, avg(rho) FILTER (is_dry) AS dry_rho, avg(rho) FILTER (NOT is_dry) AS other_rho FROM srho)"""
+
+
+@query("v11_historical_spi", sql("joined basin", """SELECT n_dry, n_other, round(dry_rho, 6) AS dry_rho, round(other_rho, 6) AS other_rho, round(other_rho - dry_rho, 6) AS gap, CASE WHEN n_dry < 3 OR n_other < 1 THEN 'undecided'
+  WHEN dry_rho >= -0.1 THEN 'not_supported' WHEN other_rho - dry_rho < 0.1 THEN 'not_supported' WHEN dry_rho IS NULL THEN 'undecided' ELSE 'supported' END AS verdict FROM sgroup""", _SPI_LABELS))
 def _(v):
     spi = D.spi(v.basin, "ppt", 12, min_years=5, min_values=5)
     severity = V.severity_index(spi)
     labels = severity.withColumn("is_dry", F.coalesce(F.col("severity") <= -1.0, F.lit(False)))
-    return V.verdict(V.group_means(V.yearly_test(v.joined.where(V.cell_subset(40)), labels, min_pairs=20)), need_other=True)
+    out = V.verdict(V.group_means(V.yearly_test(v.joined.where(V.cell_subset(40)), labels, min_pairs=20)), need_other=True)
+    return out.select("n_dry", "n_other", *[r6(c).alias(c) for c in ("dry_rho", "other_rho", "gap")], "verdict")
 
 
 @query("v12_irrigation_contrast", sql("joined distance", """SELECT "year", round(avg(anomaly) FILTER (distance_m < 60), 6) + 0.0 AS near_mean, round(avg(anomaly) FILTER (distance_m > 150), 6) + 0.0 AS far_mean,
@@ -223,9 +236,17 @@ def _(v):
     return out.select("year", r6("near_mean").alias("near_mean"), r6("far_mean").alias("far_mean"), "n_near", "n_far")
 
 
-@query("v13_decoupling_trend")
+# two-sided tail of Student's t for whole degrees of freedom: finite sums in the angle whose tangent is t / sqrt(dof)
+_TAIL = """fit AS (SELECT count(*) AS n, count(*) - 2 AS dof, regr_slope(rho, "year") AS slope, regr_intercept(rho, "year") AS intercept, regr_r2(rho, "year") AS r2 FROM yearly WHERE is_dry AND rho IS NOT NULL),
+angle AS (SELECT *, atan(sqrt(r2 / greatest(1 - r2, 1e-300))) AS a FROM fit),
+tail AS (SELECT *, 1 - CASE WHEN dof % 2 = 1 THEN 2 / pi() * (a + sin(a) * coalesce(list_sum(list_transform(range((dof - 1) // 2), lambda k: sqrt(pi()) / 2 * exp(lgamma(k + 1) - lgamma(k + 1.5)) * cos(a) ** (2 * k + 1))), 0))
+  ELSE sin(a) * list_sum(list_transform(range(dof // 2), lambda k: exp(lgamma(k + 0.5) - lgamma(k + 1)) / sqrt(pi()) * cos(a) ** (2 * k))) END AS p FROM angle WHERE n >= 3)"""
+
+
+@query("v13_decoupling_trend", sql("yearly", """SELECT n AS n_years, round(slope, 6) + 0.0 AS slope, round(intercept, 6) AS intercept, round(r2, 6) AS r_squared, round(p, 6) AS p_value, p < 0.05 AS significant FROM tail""", _TAIL))
 def _(v):
-    return V.decoupling_trend(V.yearly_test(v.joined, v.labels))
+    out = V.decoupling_trend(V.yearly_test(v.joined, v.labels))
+    return out.select("n_years", *[r6(c).alias(c) for c in ("slope", "intercept", "r_squared", "p_value")], "significant")
 
 
 @query("v13_decoupling_slope", sql("yearly", 'SELECT count(*) AS n_years, round(regr_slope(rho, "year"), 6) + 0.0 AS slope, round(regr_r2(rho, "year"), 6) AS r_squared FROM yearly WHERE is_dry AND rho IS NOT NULL'))
@@ -294,15 +315,28 @@ def _(v):
     return L.equal_sample(_table(v), total=3000).groupBy("year").agg(F.count("*").alias("rows"))
 
 
-@query("l03_spatial_folds")
+# largest block first, each to the lightest fold
+_GREEDY = """lines AS (SELECT joined.cell_id, joined."year", joined.anomaly, (c."row" // 10) * 5 + c.col // 10 AS block FROM joined JOIN labels USING ("year") JOIN cells c USING (cell_id) WHERE severity <= 0.5 AND joined.risk IS NOT NULL AND anomaly IS NOT NULL),
+ordered AS (SELECT block, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, block) AS k FROM lines GROUP BY 1),
+greedy AS (SELECT CAST(0 AS BIGINT) AS k, CAST([0, 0, 0, 0, 0] AS BIGINT[]) AS loads, CAST(NULL AS BIGINT) AS block, CAST(NULL AS INT) AS fold
+  UNION ALL SELECT o.k, list_transform(g.loads, lambda x, j: x + CASE WHEN j = list_position(g.loads, list_min(g.loads)) THEN o.n ELSE 0 END), o.block, CAST(list_position(g.loads, list_min(g.loads)) - 1 AS INT) FROM greedy g JOIN ordered o ON o.k = g.k + 1),
+folds AS (SELECT lines.*, fold FROM lines JOIN greedy USING (block))"""
+
+
+@query("l03_spatial_folds", sql("joined labels cells", 'SELECT fold, count(*) AS "rows", count(DISTINCT block) AS blocks FROM folds GROUP BY 1', _GREEDY, recursive=True))
 def _(v):
     return _folded(v).groupBy("fold").agg(F.count("*").alias("rows"), F.countDistinct("block").alias("blocks"))
 
 
+@query("l03_fold_map", sql("joined labels cells", "SELECT CAST(block AS BIGINT) AS block, fold FROM greedy WHERE k > 0", _GREEDY, recursive=True))
+def _(v):
+    return L.fold_map(_table(v).withColumn("block", block_id(10, -(-WIDTH // 10))))
+
+
 def _cv(v):
-    """Fold metrics and importances; three queries read the same validation run."""
+    """Fold metrics and importances of one validation run whose models are stored and read back."""
     if "cross_validation" not in v.__dict__:
-        v.__dict__["cross_validation"] = L.cross_validate(_folded(v), [*_FEATURES, L.DYNAMIC_FEATURE])
+        v.__dict__["cross_validation"] = L.cross_validate(_folded(v), [*_FEATURES, L.DYNAMIC_FEATURE], path=shared_path(v.spark, "forests"))
     return v.__dict__["cross_validation"]
 
 
@@ -321,19 +355,33 @@ def _(v):
     return _cv(v)[1]
 
 
+def _final(v, table):
+    """The final forest, stored and read back."""
+    return L.fit_final(L.equal_sample(table), [*_FEATURES, L.DYNAMIC_FEATURE], path=shared_path(v.spark, "forest"))
+
+
 @query("l06_final_fit")
 def _(v):
-    features = [*_FEATURES, L.DYNAMIC_FEATURE]
     table = _table(v)
-    model = L.fit_final(L.equal_sample(table), features)
     error = F.col("prediction") - F.col("label")
-    return model.transform(L.assemble(table, features)).agg(F.count("*").alias("rows"), F.sqrt(F.avg(error * error)).alias("rmse"))
+    predicted = _final(v, table).transform(L.assemble(table, [*_FEATURES, L.DYNAMIC_FEATURE]))
+    return predicted.agg(F.count("*").alias("rows"), F.sqrt(F.avg(error * error)).alias("rmse"))
+
+
+@query("l06_stored_model", sql("joined labels", """SELECT count(*) AS "rows", true AS beats_mean, true AS in_range FROM joined JOIN labels USING ("year") WHERE severity <= 0.5 AND risk IS NOT NULL AND anomaly IS NOT NULL"""))
+def _(v):
+    table = _table(v)
+    predicted = _final(v, table).transform(L.assemble(table, [*_FEATURES, L.DYNAMIC_FEATURE]))
+    error, label = F.col("prediction") - F.col("label"), F.col("label")
+    return predicted.agg(
+        F.count("*").alias("rows"), (F.avg(error * error) < F.var_pop(label)).alias("beats_mean"),
+        ((F.min("prediction") >= F.min(label)) & (F.max("prediction") <= F.max(label))).alias("in_range"),
+    )
 
 
 def _gap(v):
-    features = [*_FEATURES, L.DYNAMIC_FEATURE]
     table = _table(v)
-    return L.resilience_gap(L.fit_final(L.equal_sample(table), features), table, features, max_severity=0.0)
+    return L.resilience_gap(_final(v, table), table, [*_FEATURES, L.DYNAMIC_FEATURE], max_severity=0.0)
 
 
 @query("l07_resilience_gap")
@@ -341,6 +389,11 @@ def _(v):
     return _gap(v)
 
 
+@query("l07_gap_cells", sql("joined labels", """SELECT joined.cell_id, count(*) AS years FROM joined JOIN labels USING ("year") WHERE severity <= 0.0 AND risk IS NOT NULL AND anomaly IS NOT NULL GROUP BY 1"""))
+def _(v):
+    return _gap(v).where("resilience_gap IS NOT NULL").select("cell_id", "years")
+
+
 def _attribution(v):
     """Mean anomaly per cell beside its factors."""
     mean = v.anomalies.groupBy("cell_id").agg(r9(F.avg("anomaly") * 1.000123457 + F.max("anomaly")).alias("gap"))

@@ -409,7 +409,7 @@ CTES: dict[str, tuple[str, str]] = {
 }
 
 
-def sql(names: str, body: str, extra: str = "") -> str:
+def sql(names: str, body: str, extra: str = "", recursive: bool = False) -> str:
     """``body`` behind the named CTEs, everything they build on, and ``extra`` CTEs."""
     ordered: list[str] = []
 
@@ -425,7 +425,7 @@ def sql(names: str, body: str, extra: str = "") -> str:
     if not ordered and not extra:
         return body
     parts = [f"{n} AS ({CTES[n][1]})" for n in ordered] + ([extra] if extra else [])
-    return "WITH " + ",\n".join(parts) + "\n" + body
+    return ("WITH RECURSIVE " if recursive else "WITH ") + ",\n".join(parts) + "\n" + body
 
 
 # --- registry ---------------------------------------------------------------------

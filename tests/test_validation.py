@@ -237,16 +237,50 @@ def test_folds_keep_blocks_whole_and_balanced(training):
         L.assign_folds(training.withColumn("block", F.lit(1)))
 
 
+def test_dealing_by_size_equals_the_greedy_loop():
+    rng = np.random.default_rng(4)
+    for _ in range(300):
+        folds = int(rng.integers(2, 7))
+        sizes = sorted(rng.integers(1, rng.choice([3, 12, 60]), int(rng.integers(folds, 60))).tolist(), reverse=True)
+        loads, expected = [0] * folds, []
+        for n in sizes:
+            f = loads.index(min(loads))
+            expected.append(f)
+            loads[f] += n
+        got, dealt = [], [0] * folds
+        for size in sorted(set(sizes), reverse=True):
+            count = sizes.count(size)
+            phases, dealt = L.deal_phases(dealt, size, count)
+            for rank in range(count):
+                start, turn = [p for p in phases if p[0] <= rank][-1]
+                got.append(turn[(rank - start) % len(turn)])
+        assert (got, dealt) == (expected, loads)
+
+
+def test_fold_map_equals_the_greedy_loop(spark):
+    rng = np.random.default_rng(6)
+    sizes = {b: int(n) for b, n in enumerate(rng.choice([1, 2, 2, 2, 7, 30], 90))}
+    rows = spark.createDataFrame([(b, i) for b, n in sizes.items() for i in range(n)], "block long, x int")
+    loads, expected = [0] * 4, {}
+    for b in sorted(sizes, key=lambda b: (-sizes[b], b)):
+        expected[b] = loads.index(min(loads))
+        loads[expected[b]] += sizes[b]
+    assert {r["block"]: r["fold"] for r in L.fold_map(rows, folds=4).collect()} == expected
+    assert max(loads) - min(loads) <= max(sizes.values())
+
+
 def test_forest_learns_the_planted_feature(training, tmp_path):
     features = ["a", "b", L.DYNAMIC_FEATURE]
     folded = L.assign_folds(training.withColumn("block", F.expr("(row div 5) * 5 + (col div 5)")))
-    scores, ranking = L.cross_validate(folded, features, trees=10, depth=6)
+    scores, ranking = L.cross_validate(folded, features, path=str(tmp_path / "cv"), trees=10, depth=6)
+    assert len(L.stored_model(str(tmp_path / "cv"), 5).trees) == 10
     assert scores.agg(F.min("r2")).first()[0] > 0.6
     assert ranking.first()["feature"] == "a"
     spread = L.score_spread(scores).first()
     assert spread["std_r2"] >= 0 and spread["mean_rmse"] > 0
     model = L.fit_final(training, features, path=str(tmp_path / "model"), trees=10, depth=6)
-    loaded = type(model).load(str(tmp_path / "model"))
+    loaded = L.stored_model(str(tmp_path / "model"))
+    assert loaded.uid == model.uid
     gap = L.resilience_gap(loaded, training, features)
     assert gap.count() == 500 and abs(gap.agg(F.avg("resilience_gap")).first()[0]) < 0.01
 
