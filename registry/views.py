@@ -20,6 +20,7 @@ from aridscape.operators.normalize import Criterion, score_layers
 from aridscape.operators.overlay import risk_column
 from aridscape.operators.stats import column_quantiles
 from aridscape.sources.config import landcover_table
+from aridscape.session import cut_lineage
 from aridscape.sources.grid import GridSpec
 
 WIDTH = 50
@@ -273,7 +274,8 @@ class Views:
 
     @cached_property
     def scores(self) -> DataFrame:
-        scored = score_layers(self.layers, CRITERIA)
+        # bounds, breaks and the scores scan the layers several times: aggregated once
+        scored = score_layers(cut_lineage(self.layers), CRITERIA)
         return scored.select("cell_id", *[r9(F.col(n)).alias(n) for n in NAMES])
 
     @cached_property
