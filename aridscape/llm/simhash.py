@@ -231,8 +231,11 @@ def exact_links(members: DataFrame, sets: DataFrame, similarity: float, tile: in
     tiles = written(tiled.groupBy("key", "tile", "tiles").agg(F.collect_list(F.struct("node", "shingles")).alias("rows")), "set-tiles")
     own = tiles.select(F.lit(True).alias("same"), F.col("rows").alias("a"), F.slice("rows", 1, 0).alias("b"))
     split = tiles.where("tiles > 1")
-    other = split.select("key", F.col("tile").alias("other"), F.col("rows").alias("b"))
-    more = split.join(other, "key").where("tile < other").select(F.lit(False).alias("same"), F.col("rows").alias("a"), "b")
+    # tile pairs are named first and then get their rows, so those of one key are dealt over tasks
+    named = split.where("tile < tiles - 1").select("key", "tile", F.explode(F.expr("sequence(tile + 1, tiles - 1)")).alias("other"))
+    left = split.select("key", "tile", F.col("rows").alias("a"))
+    right = split.select("key", F.col("tile").alias("other"), F.col("rows").alias("b"))
+    more = named.join(left, ["key", "tile"]).join(right, ["key", "other"]).select(F.lit(False).alias("same"), "a", "b")
 
     def run(batches):
         for batch in batches:

@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from aridscape.llm.common import boxed, components, written
+from aridscape.llm.simhash import exact_links
 from aridscape.llm.words import _powers, mixed, slices, windows
 
 REACH = 6
@@ -197,46 +198,10 @@ def _shingle_sets(docs: DataFrame, places: DataFrame) -> DataFrame:
     return both.mapInArrow(run, "content long, shingles array<long>").dropDuplicates(["content"])
 
 
-def similar_pairs(sets_a: list, sets_b: list, same: bool, similarity: float) -> list[tuple[int, int]]:
-    """Positions whose sets reach the Jaccard similarity; i < j within one tile."""
-    where: dict[int, list[int]] = {}
-    for j, b in enumerate(sets_b):
-        for x in b.tolist():
-            where.setdefault(x, []).append(j)
-    found = []
-    for i, a in enumerate(sets_a):
-        shared = np.zeros(len(sets_b), np.int64)
-        for x in a.tolist():
-            if x in where:
-                shared[where[x]] += 1
-        for j in np.flatnonzero(shared).tolist():
-            if (not same or i < j) and shared[j] >= similarity * (len(a) + len(sets_b[j]) - shared[j]) - 1e-9:
-                found.append((i, j))
-    return found
-
-
 def _links(members: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """``u, v``: contents that share a band and reach the similarity."""
-    sizes = members.groupBy("key").agg(F.ceil(F.count("*") / TILE).alias("tiles"))
-    tiled = members.join(sizes, "key").join(sets, "content").withColumn("tile", F.pmod(F.xxhash64("content"), F.col("tiles")))
-    tiles = tiled.groupBy("key", "tile", "tiles").agg(F.collect_list(F.struct("content", "shingles")).alias("rows"))
-    one = tiles.where("tiles = 1").select(F.lit(True).alias("same"), F.col("rows").alias("a"), F.col("rows").alias("b"))
-    split = written(tiles.where("tiles > 1"), "tiles")
-    other = split.select("key", F.col("tile").alias("other"), F.col("rows").alias("b"))
-    more = split.join(other, "key").where("tile <= other").select((F.col("tile") == F.col("other")).alias("same"), F.col("rows").alias("a"), "b")
-
-    def run(batches):
-        for batch in batches:
-            us, vs = [], []
-            for same, a, b in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
-                ca, cb = (x.values.field("content").to_numpy(zero_copy_only=False) for x in (a, b))
-                sa, sb = (x.values.field("shingles").to_numpy(zero_copy_only=False) for x in (a, b))
-                for i, j in similar_pairs(list(sa), list(sb), same, similarity):
-                    us.append(ca[i])
-                    vs.append(cb[j])
-            yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], ["u", "v"])
-
-    return one.union(more).mapInArrow(run, "u long, v long")
+    """``u, v``: spanning links of contents that share a band and reach the similarity."""
+    named = members.select("key", F.col("content").alias("node"))
+    return exact_links(named, sets.withColumnRenamed("content", "node"), similarity, TILE)
 
 
 def repeated(docs: DataFrame, similarity: float = 0.8, recall: float = 0.98) -> DataFrame:

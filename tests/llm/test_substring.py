@@ -2,6 +2,7 @@ import numpy as np
 import pyarrow as pa
 
 from aridscape.llm import substring
+from aridscape.llm.common import components
 from aridscape.llm.words import slices
 
 from .conftest import prose
@@ -89,19 +90,44 @@ def test_exact_copies_vanish_in_any_order(spark, documents):
             spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
 
 
-def test_pairs_equal_brute_force():
-    r = np.random.default_rng(0)
-    sets = [np.unique(r.integers(0, 12, 8)) for _ in range(40)]
-    want = {(i, j) for i in range(40) for j in range(i + 1, 40) if len(np.intersect1d(sets[i], sets[j])) >= 0.8 * len(np.union1d(sets[i], sets[j])) - 1e-9}
-    assert set(substring.similar_pairs(sets, sets, True, 0.8)) == want
+def linked(spark, sets, similarity):
+    table = spark.createDataFrame([(i, [int(v) for v in x]) for i, x in enumerate(sets)], "content long, shingles array<long>")
+    members = spark.createDataFrame([(1, i) for i in range(len(sets))], "key long, content long")
+    found = substring._links(members, table, similarity)
+    return found.count(), dict(components(found).collect())
 
 
-def test_large_bands_are_tiled(spark, monkeypatch):
-    monkeypatch.setattr(substring, "TILE", 3)
-    sets = spark.createDataFrame([(i, [1, 2, 3, 4, 5, 6, 7, 8, 9, 100 + i // 10]) for i in range(20)], "content long, shingles array<long>")
-    members = spark.createDataFrame([(1, i) for i in range(20)], "key long, content long")
-    links = {frozenset(x) for x in substring._links(members, sets, 0.95).collect() if x[0] != x[1]}
-    assert links == {frozenset((i, j)) for i in range(20) for j in range(i) if i // 10 == j // 10}
+def test_links_of_a_band_equal_brute_force(spark, monkeypatch):
+    r = np.random.default_rng(0)
+    sets = [np.unique(r.integers(0, 12, 8)) for _ in range(40)]
+    near = [(i, j) for i in range(40) for j in range(i) if len(np.intersect1d(sets[i], sets[j])) >= 0.8 * len(np.union1d(sets[i], sets[j])) - 1e-9]
+    want = dict(components(spark.createDataFrame(near, "u long, v long")).collect())
+    for tile in (3, 512):
+        monkeypatch.setattr(substring, "TILE", tile)
+        assert linked(spark, sets, 0.8)[1] == want
+
+
+def test_a_frequent_band_is_tiled_and_gives_spanning_links(spark, monkeypatch):
+    monkeypatch.setattr(substring, "TILE", 40)
+    sets = [[*range(9), 100 + i // 300] for i in range(600)]
+    n, roots = linked(spark, sets, 0.95)
+    assert roots == {i: i - i % 300 for i in range(600)}
+    assert n < 600 * 20  # not the 90,000 pairs
+
+
+def test_recall_on_pasted_passages(documents):
+    """Passages of 60 words in two documents each: nine of ten are found for the better part, and nothing else."""
+    rows, planted = [], []
+    for k in range(40):
+        passage = prose(1000 + k, 60).split()
+        for c in (0, 1):
+            host = prose(2000 + 2 * k + c, 80).split()
+            rows.append((2 * k + c, " ".join([*host[:35], *passage, *host[35:]]), "en", "a"))
+        planted.append((2 * k, 2 * k + 1))
+    found = substring.repeated(documents(rows)).groupBy("doc_id").agg({"n_words": "sum"}).collect()
+    words = {r["doc_id"]: r["sum(n_words)"] for r in found}
+    assert sum(words.get(a, 0) > 30 and words.get(b, 0) > 30 for a, b in planted) >= 0.9 * len(planted)
+    assert set(words) <= {d for pair in planted for d in pair}
 
 
 def test_spans_and_blanks():
