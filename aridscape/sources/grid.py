@@ -162,13 +162,9 @@ def load_grid(spark: SparkSession, path: str) -> GridSpec:
 
 # --- layers ---------------------------------------------------------------------
 
-LAYER_SCHEMA = T.StructType(
-    [
-        T.StructField("cell_id", T.LongType(), False),
-        T.StructField("value", T.FloatType()),
-        T.StructField("grid", T.StringType()),
-    ]
-)
+#: Stored types of a layer's values, each with the marker of a missing one.
+LAYER_TYPES = {"float": ("float", NODATA), "class": ("tinyint", 0)}
+_MANIFEST = "_manifest"
 
 
 def alignment_report(layer: DataFrame, grid: GridSpec, *, keys: Sequence[str] = ()) -> DataFrame:
@@ -191,27 +187,47 @@ def alignment_report(layer: DataFrame, grid: GridSpec, *, keys: Sequence[str] =
     )
 
 
-def aligned_scan(spark: SparkSession, path: str, grid: GridSpec) -> DataFrame:
-    """Read a stored layer; reject another grid, foreign cells or duplicates."""
-    layer = spark.read.schema(LAYER_SCHEMA).parquet(path)
-    # one row per differing grid; a file written by ``write_layer`` holds one
-    for stored in layer.select("grid").distinct().toLocalIterator():
-        other = GridSpec.from_json(stored["grid"])
-        same_shape = (other.width, other.height, other.crs) == (grid.width, grid.height, grid.crs)
-        close = max(abs(other.left - grid.left), abs(other.top - grid.top), abs(other.resolution - grid.resolution))
-        if not same_shape or close > 1e-6:
-            raise ValueError(f"{path} is not aligned with the common grid: {other} != {grid}")
-    report = alignment_report(layer, grid).first()
+def write_layer(layer: DataFrame, grid: GridSpec, path: str, *, kind: str = "float", description: str | None = None) -> None:
+    """Store ``cell_id, value`` with nodata markers; ``kind`` is ``float`` or ``class`` (8 bits, 0 is missing).
+
+    The stored files are checked once: every cell of the grid, none twice, none
+    beyond it. Only then does the layer get its manifest, without which it
+    cannot be read; readers trust it and shuffle nothing.
+    """
+    stored, nodata = LAYER_TYPES[kind]
+    value = null_to_nodata(F.col("value"), nodata).cast(stored)
+    layer.select("cell_id", value.alias("value", metadata={"comment": description or ""})).write.mode("overwrite").parquet(path)
+    spark = layer.sparkSession
+    report = alignment_report(spark.read.parquet(path), grid).first()
     if report["rows"] != grid.cell_count or report["outside"] or report["duplicated"]:
         raise ValueError(f"{path}: expected {grid.cell_count} distinct cells, got {report.asDict()}")
-    return layer.select("cell_id", nodata_to_null(F.col("value"), NODATA).cast("double").alias("value"))
+    manifest = {"grid": json.loads(grid.to_json()), "kind": kind, "rows": report["rows"], "description": description}
+    spark.range(1).select(F.lit(json.dumps(manifest)).alias("value")).coalesce(1).write.mode("overwrite").text(f"{path}/{_MANIFEST}")
+
+
+def layer_manifest(spark: SparkSession, path: str) -> dict:
+    """What ``write_layer`` found when it checked the layer."""
+    try:
+        return json.loads(spark.read.text(f"{path}/{_MANIFEST}", wholetext=True).first()["value"])
+    except Exception as error:
+        raise FileNotFoundError(f"no checked layer at {path}") from error
 
 
-def write_layer(layer: DataFrame, grid: GridSpec, path: str, *, description: str | None = None, nodata: float = NODATA) -> None:
-    """Store ``cell_id, value`` with nodata markers and the grid it belongs to."""
-    value = null_to_nodata(F.col("value"), nodata).cast("float")
-    out = layer.select("cell_id", value.alias("value", metadata={"comment": description or ""}), F.lit(grid.to_json()).alias("grid"))
-    out.write.mode("overwrite").parquet(path)
+def aligned_scan(spark: SparkSession, path: str, grid: GridSpec) -> DataFrame:
+    """Read a stored layer as ``cell_id, value``, missing cells null; reject one of another grid.
+
+    A plain scan: cells were checked when the layer was written.
+    """
+    manifest = layer_manifest(spark, path)
+    other = GridSpec.from_json(json.dumps(manifest["grid"]))
+    same_shape = (other.width, other.height, other.crs) == (grid.width, grid.height, grid.crs)
+    close = max(abs(other.left - grid.left), abs(other.top - grid.top), abs(other.resolution - grid.resolution))
+    if not same_shape or close > 1e-6:
+        raise ValueError(f"{path} is not aligned with the common grid: {other} != {grid}")
+    stored, nodata = LAYER_TYPES[manifest["kind"]]
+    layer = spark.read.schema(f"cell_id long, value {stored}").parquet(path)
+    value = nodata_to_null(F.col("value"), nodata)
+    return layer.select("cell_id", value.cast("double" if manifest["kind"] == "float" else "int").alias("value"))
 
 
 def write_periods(layers: DataFrame, path: str, partition_by: Sequence[str]) -> None:

@@ -9,8 +9,11 @@ from aridscape.operators.classify import class_summary
 from aridscape.operators.composites import ndvi, scl_clear
 from aridscape.operators.distance import filled_cells, segments
 from aridscape.operators.normalize import directed, percentile_bounds, rescale
+from aridscape.session import shared_path
 from aridscape.sources import export, features, jsonstat, scenes, series, survey
-from aridscape.sources.grid import NODATA, alignment_report, discover_periods, missing_periods, projected_bounds, snap_outward
+from aridscape.sources.grid import (
+    NODATA, aligned_scan, alignment_report, discover_periods, missing_periods, projected_bounds, snap_outward, write_layer, write_periods,
+)
 
 from registry.krueger_sql import project
 from registry.views import CRITERIA, CRS, LABELS, LEFT, RES, TOP, WEIGHTS, WIDTH, query, r6, sql
@@ -66,6 +69,47 @@ def _(v):
     return alignment_report(lines, v.grid, keys=["layer"])
 
 
+def _stored(v, name, kind="float"):
+    """A layer of the grid's cells, written, checked and read back."""
+    path = shared_path(v.spark, name)
+    cells = v.spark.range(v.grid.cell_count).withColumnRenamed("id", "cell_id")
+    value = v.layers.select("cell_id", F.col(name).alias("value")) if kind == "float" else v.cells.select("cell_id", F.col("lc").cast("tinyint").alias("value"))
+    write_layer(cells.join(value, "cell_id", "left"), v.grid, path, kind=kind, description=name)
+    return aligned_scan(v.spark, path, v.grid)
+
+
+_GRID = f"all_cells AS (SELECT unnest(range(h * {WIDTH})) AS cell_id FROM dims)"
+
+
+@query("s03_stored_layer", sql("layers dims", "SELECT cell_id, round(CAST(CAST(lst AS FLOAT) AS DOUBLE), 3) AS value FROM all_cells LEFT JOIN layers USING (cell_id)", _GRID))
+def _(v):
+    return _stored(v, "lst").select("cell_id", F.round("value", 3).alias("value"))
+
+
+@query("s05_class_layer", sql("cells dims", "SELECT cell_id, CAST(lc AS INT) AS value FROM all_cells LEFT JOIN cells USING (cell_id)", _GRID))
+def _(v):
+    return _stored(v, "landcover", kind="class")
+
+
+@query("s05_period_store", """SELECT CAST(year(l_shipdate) AS INT) AS "year", count(*) AS "rows", round(sum(CASE WHEN year(l_shipdate) = 1998 THEN 2 ELSE 1 END * l_quantity), 6) AS total FROM lineitem GROUP BY 1""")
+def _(v):
+    # one year is written a second time with other values: only its partition is replaced
+    path = shared_path(v.spark, "periods")
+    lines = v.table("lineitem").select(F.col("l_partkey").alias("cell_id"), F.year("l_shipdate").alias("year"), F.col("l_quantity").alias("value"))
+    write_periods(lines, path, ["year"])
+    write_periods(lines.where("year = 1998").withColumn("value", F.col("value") * 2), path, ["year"])
+    return v.spark.read.parquet(path).groupBy("year").agg(F.count("*").alias("rows"), r6(F.sum("value")).alias("total"))
+
+
+@query("s18_missing_in_store", """SELECT DISTINCT CAST(year(o_orderdate) AS INT) AS "year" FROM orders WHERE year(o_orderdate) NOT IN (1996, 1998)""")
+def _(v):
+    path = shared_path(v.spark, "periods")
+    lines = v.table("lineitem").select(F.col("l_partkey").alias("cell_id"), F.year("l_shipdate").alias("year"), F.col("l_quantity").alias("value"))
+    write_periods(lines.where("year IN (1996, 1998)"), path, ["year"])
+    wanted = v.table("orders").select(F.year("o_orderdate").alias("year")).distinct()
+    return missing_periods(wanted, discover_periods(v.spark.read.parquet(path), ["year"]), ["year"])
+
+
 @query("s04_nodata_decode", sql("layers", "SELECT cell_id, round(CAST(lst AS FLOAT), 3) AS lst, lst IS NULL AS masked FROM layers"))
 def _(v):
     stored = v.layers.select("cell_id", null_to_nodata(F.col("lst"), NODATA).cast("float").alias("lst"))
@@ -96,7 +140,7 @@ def _(v):
 
 
 @query("s07_region_mean", """WITH g AS (SELECT CAST(date_trunc('month', l_shipdate) AS DATE) AS "month", 27.01 + (l_partkey % 50) * 0.02 AS lon,
-  38.99 - (l_partkey // 50) * 0.02 AS lat, l_quantity AS q, l_discount AS d FROM lineitem),
+  38.99 - (l_partkey // 50) * 0.02 AS lat, l_quantity * 1.000123457 AS q, l_discount * 1.000123457 AS d FROM lineitem),
   b AS (SELECT r_regionkey AS region_id, 27.0 + 0.2 * r_regionkey AS west, 27.2 + 0.2 * r_regionkey AS east,
           38.98 - (SELECT max(l_partkey) // 50 FROM lineitem) * 0.02 AS south, 39.0 AS north FROM region)
   SELECT region_id, "month", round(avg(q), 6) AS ppt, round(avg(CASE WHEN year("month") <= 1999 THEN d END), 6) AS soil
@@ -106,7 +150,8 @@ def _(v):
         F.trunc(F.col("l_shipdate").cast("date"), "month").alias("month"),
         (27.01 + (F.col("l_partkey") % 50) * 0.02).alias("lon"),
         (38.99 - F.expr("l_partkey div 50") * 0.02).alias("lat"),
-        "l_quantity", "l_discount",
+        # a long fraction, so that no mean ends in an exact half
+        (F.col("l_quantity") * 1.000123457).alias("l_quantity"), (F.col("l_discount") * 1.000123457).alias("l_discount"),
     )
     # boxes as high as the grid, which grows with the parts
     rows = v.table("lineitem").agg(F.expr("max(l_partkey) div 50")).first()[0]

@@ -48,9 +48,24 @@ def test_layer_write_and_aligned_scan(spark, tmp_path):
 
 def test_incomplete_layer_is_rejected(spark, tmp_path):
     layer = G.cells(spark, SPEC).where("cell_id <> 7").select("cell_id", F.lit(1.0).alias("value"))
-    G.write_layer(layer, SPEC, str(tmp_path / "bad"))
     with pytest.raises(ValueError, match="distinct cells"):
+        G.write_layer(layer, SPEC, str(tmp_path / "bad"))
+    with pytest.raises(FileNotFoundError, match="no checked layer"):
         G.aligned_scan(spark, str(tmp_path / "bad"), SPEC)
+    twice = layer.union(layer.where("cell_id = 8"))
+    with pytest.raises(ValueError, match="distinct cells"):
+        G.write_layer(twice, SPEC, str(tmp_path / "twice"))
+
+
+def test_class_layers_take_eight_bits_and_reads_shuffle_nothing(spark, tmp_path):
+    path = str(tmp_path / "classes")
+    codes = G.cells(spark, SPEC).select("cell_id", F.when(F.col("col") > 0, F.col("row") * 10).alias("value"))
+    G.write_layer(codes, SPEC, path, kind="class")
+    assert spark.read.parquet(path).schema["value"].dataType.simpleString() == "tinyint"
+    assert G.layer_manifest(spark, path)["rows"] == SPEC.cell_count
+    back = G.aligned_scan(spark, path, SPEC)
+    assert {r["value"] for r in back.select("value").distinct().collect()} == {None, *range(10, 120, 10)}
+    assert "Exchange" not in back._jdf.queryExecution().toString()
 
 
 def test_only_present_partitions_are_replaced(spark, tmp_path):

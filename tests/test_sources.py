@@ -72,6 +72,22 @@ def test_region_mean_equals_a_plain_filter(spark):
         assert got[r["region_id"]] == pytest.approx(inside.agg(F.avg("value")).first()[0])
 
 
+def test_region_mean_with_all_points_in_one_place(spark):
+    """Crowded inner cells, crowded edge cells, points on the bounds, gaps and boxes within one cell."""
+    lon = F.element_at(F.array(*[F.lit(x) for x in (26.0, 26.2, 26.9, 27.3, 27.8, 27.81)]), (F.col("id") % 6 + 1).cast("int"))
+    grid = spark.range(3000).select(
+        lon.alias("lon"), F.when(F.col("id") % 2 == 0, 38.0).otherwise(38.6).alias("lat"), F.lit("2020-01-01").cast("date").alias("month"),
+        F.when(F.col("id") % 7 > 0, F.col("id").cast("double")).alias("value"),
+    )
+    rows = [(1, 26.2, 37.0, 27.8, 38.6), (2, 26.0, 38.0, 26.0, 38.0), (3, 26.85, 37.95, 26.95, 38.05), (4, -5.0, 10.0, 60.0, 70.0), (5, 1.0, 1.0, 2.0, 2.0)]
+    boxes = spark.createDataFrame(rows, "region_id int, west double, south double, east double, north double")
+    got = {r["region_id"]: r["ppt"] for r in series.region_mean(grid, "ppt", boxes).collect()}
+    assert set(got) == {1, 2, 3, 4}
+    for r in boxes.where("region_id < 5").collect():
+        inside = grid.where(F.col("lon").between(r["west"], r["east"]) & F.col("lat").between(r["south"], r["north"]))
+        assert got[r["region_id"]] == pytest.approx(inside.agg(F.avg("value")).first()[0])
+
+
 def test_variables_with_missing_tails(spark):
     a = spark.createDataFrame([(1, 1, 5.0), (1, 2, 6.0)], "region_id int, month int, ppt double")
     b = spark.createDataFrame([(1, 1, 7.0)], "region_id int, month int, soil double")
