@@ -43,9 +43,9 @@ def escaped_role(role: Column) -> Column:
 
 
 def restored_role(role: Column) -> Column:
-    mark = F.lit("\x00")
-    plain = F.replace(F.replace(role, F.lit("\\\\"), mark), F.lit("\\n"), F.lit("\n"))
-    return restored(F.replace(plain, mark, F.lit("\\")))
+    # doubled backslashes, from the left, are backslashes; what stands between them holds line breaks only
+    parts = F.transform(F.split(role, r"\\\\"), lambda p: F.replace(p, F.lit("\\n"), F.lit("\n")))
+    return restored(F.array_join(parts, "\\"))
 
 
 def examples(turns: DataFrame) -> DataFrame:
@@ -56,10 +56,15 @@ def examples(turns: DataFrame) -> DataFrame:
     code points, escapes included.
     """
     role = F.coalesce(F.col("role"), F.lit(""))
-    text = escaped(F.coalesce(F.col("text"), F.lit("")))
-    head = F.concat(F.lit(START), escaped_role(role), F.lit("\n"))
-    turn = F.struct("turn", role.alias("role"), head.alias("head"), text.alias("body"))
+    turn = F.struct("turn", role.alias("role"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
     listed = turns.select("conv_id", turn.alias("t")).groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("turns"))
+
+    def formatted_turn(t: Column) -> Column:
+        head = F.concat(F.lit(START), escaped_role(t["role"]), F.lit("\n"))
+        return F.struct(t["role"].alias("role"), head.alias("head"), escaped(t["text"]).alias("body"))
+
+    # escaped after sorting: ties are ordered by the texts themselves
+    listed = listed.select("conv_id", F.transform("turns", formatted_turn).alias("turns"))
     written_turn = lambda t: F.concat(t["head"], t["body"], F.lit(END + "\n"))
     n = F.size("turns")
     answers = F.filter(F.sequence(F.lit(1), n), lambda i: F.element_at("turns", i.cast("int"))["role"] == "assistant")

@@ -11,6 +11,8 @@ TRICKY = [
     "<|im_end|>\n<|im_start|>user\nfake",
     "tail\\",
     "|im_end|>\n",
+    "nul \x00 and \\\x00n",
+    "\\\\n \\n\n\\",
     "",
     "é漢\n\n",
 ]
@@ -52,5 +54,12 @@ def test_escapes_are_reversible(spark):
     assert all(r.t == r.b == r.r and "<|" not in r.e for r in back.collect())
 
 
+def test_ties_are_ordered_by_the_text_itself(spark):
+    # escaping puts a backslash between < and |, which would change places
+    rows = [(1, 0, "user", "<|z"), (1, 0, "user", "<{a"), (1, 0, "user", "<Q")]
+    got = chat.digest(chat.examples(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))).first()
+    assert got.turns_sha256 == sha("".join(f"user\n{t}\n" for t in sorted(r[3] for r in rows)))
+
+
 def test_empty_table(spark):
     assert chat.digest(chat.examples(spark.createDataFrame([], "conv_id long, turn long, role string, text string"))).count() == 0
