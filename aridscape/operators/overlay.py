@@ -16,8 +16,8 @@ MITIGATION = 0.30
 MITIGATING_CRITERION = "distance_to_water"
 
 
-def stack_layers(layers: DataFrame, names: Sequence[str], *, cell: str = "cell_id", layer: str = "layer", value: str = "value") -> DataFrame:
-    """Tall ``cell, layer, value`` -> one column per layer in a single shuffle.
+def stack_layers(layers: DataFrame, names: Sequence[str], *, cell: str = "cell_id", layer: str = "layer", value: str = "value", keys: Sequence[str] = ()) -> DataFrame:
+    """Tall ``keys, cell, layer, value`` -> one column per layer in a single shuffle.
 
     Aggregating instead of joining k layers moves each value once and needs no
     sort. A layer that is absent is an error; a cell missing a value is null.
@@ -28,7 +28,7 @@ def stack_layers(layers: DataFrame, names: Sequence[str], *, cell: str = "cell_i
         raise FileNotFoundError(f"layers not built yet: {missing}")
     return (
         layers.where(F.col(layer).isin(*names))
-        .groupBy(cell)
+        .groupBy(*keys, cell)
         .agg(*[F.max(F.when(F.col(layer) == n, F.col(value))).alias(n) for n in names])
     )
 

@@ -22,7 +22,6 @@ BINS = 4096
 FEW = 4096
 LEAST_BUCKETS = 8
 MOST_BUCKETS = 4096
-SLICE_ROWS = 10_000
 SALTS = 64
 
 
@@ -254,33 +253,33 @@ def spearman(df: DataFrame, x: str, y: str, *, groups: Sequence[str] = (), min_n
 
 
 def hash_sample(
-    df: DataFrame, groups: Sequence[str], size: int | Column, keys: Sequence[str], *, seed: int = 0
+    df: DataFrame, groups: Sequence[str], size: int | Column, keys: Sequence[str], *, seed: int = 0, order: Column | None = None
 ) -> DataFrame:
     """``size`` rows per group in the order of a seeded key hash (all rows if fewer).
 
-    Reproducible under re-execution. Rows are split by the hash's leading bits,
-    as many as leave some ``SLICE_ROWS`` rows in a slice; whole slices below the
-    cut are kept from their counts alone, so no group is ever ranked in a single
-    task, and the order is that of the hash, however many bits are taken.
+    Reproducible under re-execution. The hash of the last wanted row is an order
+    statistic of its group, found by refinement like any other; rows below it are
+    kept by a filter, and only rows equal to it are ranked. ``order`` replaces the
+    hash by another number (whole and below 2^53), such as one that other engines compute.
     """
+    from aridscape.operators.keyed import by_keys, order_statistics
+
     groups = list(groups)
-    bits = max(1, math.ceil(math.log2(max(df.count() / SLICE_ROWS, 2))))
+    whole = F.xxhash64(*keys, F.lit(seed))
+    place = F.shiftrightunsigned(whole, 11) if order is None else order
     limit = size if isinstance(size, Column) else F.lit(size)
-    hashed = df.withColumn("_h", F.xxhash64(*keys, F.lit(seed))).withColumn("_slice", F.shiftrightunsigned("_h", 64 - bits))
-    before = (
-        Window.partitionBy(*groups).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    )
-    starts = (
-        hashed.groupBy(*groups, "_slice")
-        .agg(F.count("*").alias("_count"))
-        .withColumn("_start", F.coalesce(F.sum("_count").over(before), F.lit(0)))
-        .where(F.col("_start") < limit)
-        .drop("_count")
-    )
-    within = Window.partitionBy(*groups, "_slice").orderBy("_h", *keys)
-    return (
-        hashed.join(starts, [*groups, "_slice"])
-        .withColumn("_pos", F.col("_start") + F.row_number().over(within))
-        .where(F.col("_pos") <= limit)
-        .drop("_h", "_slice", "_start", "_pos")
-    )
+    marked = df.withColumns({"_h": whole, "_place": place.cast("double")})
+    data = cut_lineage(marked.select(*groups, F.array("_place").alias("_v"), limit.cast("long").alias("_limit")))
+    counts = data.groupBy(*groups).agg(F.count("*").alias("_inside"), F.min(F.col("_v")[0]).alias("_low"), F.max(F.col("_v")[0]).alias("_high"), F.max("_limit").alias("_limit"))
+    counts = cut_lineage(counts)
+    larger = counts.where("_inside > _limit AND _limit > 0")
+    wanted = larger.select(*groups, F.lit(0).alias("_c"), (F.col("_limit") - 1).alias("_rank"), "_low", "_high", F.lit(0).cast("long").alias("_below"), "_inside")
+    cuts = order_statistics(data.drop("_limit"), wanted, groups).select(*groups, F.col("_value").alias("_cut"))
+    cuts = cut_lineage(by_keys(counts.select(*groups, "_inside", "_limit"), cuts, groups, "left"))
+    below = by_keys(data, cuts.select(*groups, "_cut"), groups).where(F.col("_v")[0] < F.col("_cut")).groupBy(*groups).agg(F.count("*").alias("_below"))
+    cuts = by_keys(cuts, below, groups, "left")
+    met = by_keys(marked, cuts, groups).where("_limit > 0 AND (_inside <= _limit OR _place <= _cut)")
+    sure = (F.col("_inside") <= F.col("_limit")) | (F.col("_place") < F.col("_cut"))
+    within = Window.partitionBy(*groups).orderBy("_h", *keys)
+    equal = met.where(~sure).withColumn("_turn", F.row_number().over(within)).where(F.col("_turn") <= F.col("_limit") - F.coalesce("_below", F.lit(0))).drop("_turn")
+    return met.where(sure).unionByName(equal).drop("_h", "_place", "_inside", "_limit", "_cut", "_below")

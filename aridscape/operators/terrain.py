@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from aridscape.functions.columns import clip, ratio
+from aridscape.operators.keyed import by_keys
 from aridscape.operators.stats import hash_sample
 from aridscape.sources.grid import TILE
 
@@ -93,8 +94,12 @@ def southness(aspect: Column, slope: Column, *, flat_below: float = 1.0, flat_va
     return clip(F.when(slope < flat_below, F.lit(flat_value)).otherwise(score), 0.0, 1.0)
 
 
-def fill_with_mean(df: DataFrame, column: str) -> DataFrame:
-    """Replace gaps by the layer mean (one small aggregation, then a literal)."""
+def fill_with_mean(df: DataFrame, column: str, *, keys: Sequence[str] = ()) -> DataFrame:
+    """Replace gaps by the layer mean (one small aggregation, then a literal), or by
+    the mean of the cell's own ``keys``."""
+    if keys:
+        means = df.groupBy(*keys).agg(F.avg(column).alias("_mean"))
+        return by_keys(df, means, keys).withColumn(column, F.coalesce(F.col(column), F.col("_mean"))).drop("_mean")
     mean = df.agg(F.avg(column).alias("m")).first()["m"]
     return df.withColumn(column, F.coalesce(F.col(column), F.lit(mean)))
 
@@ -120,6 +125,7 @@ def pure_cells(
     height: int,
     *,
     size: int = 3,
+    keys: Sequence[str] = (),
     tile: int = TILE,
 ) -> DataFrame:
     """Cells whose whole window carries their own class, clear of the border.
@@ -127,10 +133,10 @@ def pure_cells(
     Window extremes of the class code are compared, which needs no pass per class.
     """
     half = size // 2
-    along_row = Window.partitionBy(*_TILE_KEYS, "row").orderBy("col").rangeBetween(-half, half)
-    along_col = Window.partitionBy(*_TILE_KEYS, "col").orderBy("row").rangeBetween(-half, half)
+    along_row = Window.partitionBy(*keys, *_TILE_KEYS, "row").orderBy("col").rangeBetween(-half, half)
+    along_col = Window.partitionBy(*keys, *_TILE_KEYS, "col").orderBy("row").rangeBetween(-half, half)
     code = F.coalesce(F.col(class_column), F.lit(0))
-    tiled = to_tiles(df, half, tile=tile).withColumns(
+    tiled = to_tiles(df, half, tile=tile, keys=keys).withColumns(
         {
             "_lo": F.min(code).over(along_row),
             "_hi": F.max(code).over(along_row),
@@ -151,5 +157,6 @@ def pure_cells(
     return kept.drop("_lo", "_hi", "_n", "_lo2", "_hi2", "_n2")
 
 
-def sample_pure_cells(pure: DataFrame, class_column: str, per_class: int, *, seed: int = 0) -> DataFrame:
-    return hash_sample(pure, [class_column], per_class, ["cell_id"], seed=seed)
+def sample_pure_cells(pure: DataFrame, class_column: str, per_class: int, *, seed: int = 0, keys: Sequence[str] = (), order: Column | None = None) -> DataFrame:
+    """So many pure cells of every class (and of every grid in ``keys``), by a seeded hash or by ``order``."""
+    return hash_sample(pure, [*keys, class_column], per_class, ["cell_id"], seed=seed, order=order)

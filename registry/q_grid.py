@@ -221,10 +221,16 @@ def _(v):
     return terrain.pure_cells(v.zones, "zone", WIDTH, v.grid.height, tile=16).select("cell_id", "zone")
 
 
-@query("g13_pure_sample")
+_PURE = """pure AS (SELECT a.cell_id, any_value(a.zone) AS zone FROM zones a JOIN zones b
+  ON b."row" BETWEEN a."row" - 1 AND a."row" + 1 AND b.col BETWEEN a.col - 1 AND a.col + 1, dims
+  WHERE a."row" BETWEEN 2 AND h - 3 AND a.col BETWEEN 2 AND 47 GROUP BY 1 HAVING min(b.zone) = max(b.zone) AND count(*) = 9)"""
+
+
+@query("g13_pure_sample", sql("zones dims", """SELECT cell_id, zone FROM (SELECT *, row_number() OVER (PARTITION BY zone ORDER BY substr(md5(CAST(cell_id AS VARCHAR)), 1, 13)) AS k FROM pure) WHERE k <= 40""", _PURE))
 def _(v):
     pure = terrain.pure_cells(v.zones, "zone", WIDTH, v.grid.height, tile=16)
-    return terrain.sample_pure_cells(pure, "zone", 40).select("cell_id", "zone")
+    order = F.conv(F.substring(F.md5(F.col("cell_id").cast("string")), 1, 13), 16, 10)
+    return terrain.sample_pure_cells(pure, "zone", 40, order=order).select("cell_id", "zone")
 
 
 @query("g14_blocks", sql("cells", 'SELECT ("row" // 10) * 5 + col // 10 AS block, count(*) AS cells FROM cells GROUP BY 1'))

@@ -1,3 +1,5 @@
+import functools
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -82,6 +84,20 @@ def test_focal_mean_ignores_gaps(spark, size, tile):
             assert got[r, c] == pytest.approx(np.nanmean(z[max(0, r - h) : r + h + 1, max(0, c - h) : c + h + 1]))
 
 
+def test_gaps_and_pure_cells_of_several_grids(spark):
+    z = np.arange(16.0).reshape(4, 4)
+    z[0, 1] = np.nan
+    both = frame(spark, z).withColumn("grid", F.lit("a")).unionByName(frame(spark, z * 10).withColumn("grid", F.lit(None).cast("string")))
+    filled = {r["grid"]: r["z"] for r in T.fill_with_mean(both, "z", keys=["grid"]).where("row = 0 AND col = 1").collect()}
+    assert filled == {"a": pytest.approx(np.nanmean(z)), None: pytest.approx(np.nanmean(z) * 10)}
+    rng = np.random.default_rng(2)
+    grids = {g: np.kron(rng.integers(1, 3, (4, 4)), np.ones((3, 3))) for g in ("a", "b")}
+    codes = functools.reduce(lambda x, y: x.unionByName(y), [frame(spark, v).withColumn("grid", F.lit(g)) for g, v in grids.items()])
+    got = {(r["grid"], r["row"], r["col"]) for r in T.pure_cells(codes, "z", 12, 12, tile=5, keys=["grid"]).collect()}
+    alone = {(g, r["row"], r["col"]) for g, v in grids.items() for r in T.pure_cells(frame(spark, v), "z", 12, 12, tile=5).collect()}
+    assert got == alone and got
+
+
 def test_pure_cells_match_brute_force(spark):
     codes = np.array([[1] * 6 + [2] * 6] * 12)
     codes[8, 2] = 3
