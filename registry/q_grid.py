@@ -245,7 +245,7 @@ _OVERLAY = f"""t AS (SELECT r.i * 60 + c.j AS cell_id, r.i AS "row", c.j AS col,
   FROM (SELECT unnest(range(h)) AS i FROM dims) r, range(60) c(j)), p AS (""" + project("t", 'cell_id, "row", col') + ")"
 
 
-@query("g15_class_overlay", sql("classes cells dims", f"""SELECT p.cell_id, p."row", p.col, coalesce(k.class, 0) AS class, CASE WHEN k.class > 0 THEN ['#e89286','#dd6a5c','#cc4234','#a12c24','#6b1c15'][k.class] END AS color,
+@query("g15_class_overlay", sql("classes cells dims", f"""SELECT p.cell_id, p."row", p.col, coalesce(k.class, 0) AS class, CASE WHEN k.class > 0 THEN ['#f2e6c8','#e3c48a','#c9944f','#96602f','#573516'][k.class] END AS color,
   CASE WHEN k.class > 0 THEN 255 ELSE 0 END AS alpha FROM p LEFT JOIN cells c ON c."row" = floor(({TOP} - y) / {RES}) AND c.col = floor((x - {LEFT}) / {RES})
   LEFT JOIN classes k ON k.cell_id = c.cell_id""", _OVERLAY))
 def _(v):
@@ -253,5 +253,5 @@ def _(v):
 
     target = GridSpec("EPSG:4326", _STEP, 60, v.grid.height, 27.5985, 38.7105)
     source = v.classes.join(v.cells.select("cell_id", "row", "col"), "cell_id").select("row", "col", F.col("class").alias("value"))
-    palette = ["#e89286", "#dd6a5c", "#cc4234", "#a12c24", "#6b1c15"]
+    palette = ["#f2e6c8", "#e3c48a", "#c9944f", "#96602f", "#573516"]
     return class_overlay(source, v.grid, cells(v.spark, target), target, palette)

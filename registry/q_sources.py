@@ -379,12 +379,12 @@ def _(v):
 
 @query("s20_summary_export", sql("classes yearly", """SELECT class, label, pixels, round(share_pct, 1) AS share_pct, color, n_years FROM (
   SELECT class, ['very low','low','medium','high','very high'][class] AS label, count(*) AS pixels, 100.0 * count(*) / sum(count(*)) OVER () AS share_pct,
-  ['#e89286','#dd6a5c','#cc4234','#a12c24','#6b1c15'][class] AS color FROM classes WHERE class > 0 GROUP BY class), (SELECT count(*) AS n_years FROM yearly)"""))
+  ['#f2e6c8','#e3c48a','#c9944f','#96602f','#573516'][class] AS color FROM classes WHERE class > 0 GROUP BY class), (SELECT count(*) AS n_years FROM yearly)"""))
 def _(v):
     from aridscape.operators.validate import yearly_test
 
     labels = {1: "very low", 2: "low", 3: "medium", 4: "high", 5: "very high"}
-    colors = ["#e89286", "#dd6a5c", "#cc4234", "#a12c24", "#6b1c15"]
+    colors = ["#f2e6c8", "#e3c48a", "#c9944f", "#96602f", "#573516"]
     records = export.class_records(class_summary(v.classes.select("class"), v.grid.cell_km2), v.breaks, labels, colors)
     years = yearly_test(v.joined, v.labels).select("year", "severity", "is_dry", "rho")
     text = export.summary_json(records, {"crs": CRS, "resolution_m": RES}, {"n_criteria": len(WEIGHTS)}, {"operational_years": years})
