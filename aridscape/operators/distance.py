@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from aridscape.session import cut_lineage
 from aridscape.sources.grid import GridSpec
 
 
@@ -101,16 +102,20 @@ def rasterize(features: DataFrame, grid: GridSpec) -> DataFrame:
 # --- distance --------------------------------------------------------------------
 
 
-def _lowest_parabola(queries: np.ndarray, sites: np.ndarray, heights: np.ndarray) -> np.ndarray:
-    """min over sites of (q - s)^2 + h for sorted queries and sites.
+#: Rows of a column, or columns of a row, that one group holds.
+SPAN = 1 << 14
+
+
+def _lowest_parabola(queries: np.ndarray, sites: np.ndarray, heights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """min over sites of (q - s)^2 + h for sorted queries and sites, and a site that reaches it.
 
     The best site moves right as the query does, so each query only searches
     between the answers of its already solved neighbours; one numpy pass per
     halving of the stride.
     """
     m = queries.size
-    if sites.size == 0:
-        return np.full(m, np.nan)
+    if not m or not sites.size:
+        return np.full(m, np.nan), np.full(m, np.nan)
     best = np.zeros(m, dtype="int64")
     value = np.empty(m)
     stride = 1 << max(m.bit_length() - 1, 0)
@@ -128,39 +133,123 @@ def _lowest_parabola(queries: np.ndarray, sites: np.ndarray, heights: np.ndarray
         first = hits[np.searchsorted(hits, starts)]
         best[pos], value[pos] = index[first], low
         stride //= 2
-    return value
+    return value, sites[best]
 
 
-def euclidean_distance(
-    cells: DataFrame, feature: str, cell_size: float, *, keys: Sequence[str] = ()
-) -> DataFrame:
-    """Exact distance in metres from each cell to the nearest feature cell.
+def _nearest_in_column(cells: DataFrame, feature: str, keys: list[str], span: int | None) -> DataFrame:
+    """``cells`` with ``gap``, the rows to the nearest feature of the column.
 
-    Pass one finds the nearest feature up or down the column with windows; pass
-    two takes the lower envelope along the row. A group is one grid line. The
-    result is null where a grid holds no feature.
+    With a ``span`` a column is scanned in stretches of so many rows; the nearest
+    features outside a stretch come from the stretches' first and last features.
     """
-    keys = list(keys)
-    column = Window.partitionBy(*keys, "col")
     at = F.when(F.col(feature), F.col("row"))
+    group = [*keys, "col"]
+    if span:
+        cells = cells.withColumn("_part", F.floor(F.col("row") / span))
+        ends = cells.groupBy(*group, "_part").agg(F.min(at).alias("_first"), F.max(at).alias("_last"))
+        column = Window.partitionBy(*group)
+        before = Window.unboundedPreceding, -1
+        ends = ends.select(
+            *[F.col(k).alias(f"_e{i}") for i, k in enumerate(group)],
+            F.col("_part").alias("_e_part"),
+            F.last("_last", ignorenulls=True).over(column.orderBy("_part").rowsBetween(*before)).alias("_up"),
+            F.last("_first", ignorenulls=True).over(column.orderBy(F.desc("_part")).rowsBetween(*before)).alias("_down"),
+        )
+        same = [F.col(k).eqNullSafe(F.col(f"_e{i}")) for i, k in enumerate(group)]
+        cells = cells.join(ends, [*same, F.col("_part") == F.col("_e_part")])
+        group = [*group, "_part"]
+    stretch = Window.partitionBy(*group)
     # both directions look back along their own order: a frame that grows at
     # its far end is linear, one open towards the end would be quadratic
-    above = F.last(at, ignorenulls=True).over(column.orderBy("row").rowsBetween(Window.unboundedPreceding, 0))
-    below = F.last(at, ignorenulls=True).over(column.orderBy(F.desc("row")).rowsBetween(Window.unboundedPreceding, 0))
+    so_far = Window.unboundedPreceding, 0
+    above = F.last(at, ignorenulls=True).over(stretch.orderBy("row").rowsBetween(*so_far))
+    below = F.last(at, ignorenulls=True).over(stretch.orderBy(F.desc("row")).rowsBetween(*so_far))
+    if span:
+        above, below = F.coalesce(above, F.col("_up")), F.coalesce(below, F.col("_down"))
     gap = F.least(F.col("row") - above, below - F.col("row"))
-    lines = cells.select(*keys, "cell_id", "row", "col", gap.cast("double").alias("gap"))
-    schema = lines.select(*keys, "cell_id", "row", "col").schema
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields)
+    return cells.select(*keys, "cell_id", "row", "col", gap.cast("double").alias("gap"))
 
-    def envelope(pdf: pd.DataFrame) -> pd.DataFrame:
+
+def _sites_by_stretch(lines: DataFrame, keys: list[str], span: int, first: int, last: int) -> DataFrame:
+    """The columns that may be nearest to a cell of each stretch of a row.
+
+    Every stretch prices the borders between stretches. The best column moves
+    right with the cell, so those of a stretch lie between the best columns of
+    its two borders: neighbouring stretches share at most one column.
+    """
+    group = [*keys, "row"]
+    sites = lines.where(F.col("gap").isNotNull())
+    borders = np.arange(first, last + 2)
+    types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in lines.select(*group).schema.fields)
+
+    def price(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("col")
-        q = pdf["col"].to_numpy("float64")
-        g = pdf["gap"].to_numpy("float64")
-        known = np.isfinite(g)
-        squared = _lowest_parabola(q, q[known], g[known] ** 2)
-        return pdf[[*keys, "cell_id", "row", "col"]].assign(distance_m=np.sqrt(squared) * cell_size)
+        cost, site = _lowest_parabola((borders * span).astype("float64"), pdf["col"].to_numpy("float64"), pdf["gap"].to_numpy("float64") ** 2)
+        head = {k: [pdf[k].iloc[0]] * len(borders) for k in group}
+        return pd.DataFrame({**head, "_border": borders, "_cost": cost, "_site": site.astype("int64")})
+
+    priced = sites.groupBy(*group, "_part").applyInPandas(price, f"{types}, _border long, _cost double, _site long")
+    best = priced.groupBy(*group, "_border").agg(F.min_by("_site", "_cost").alias("_low"))
+    high = F.lead("_low").over(Window.partitionBy(*group).orderBy("_border"))
+    between = best.withColumn("_high", high).where(F.col("_high").isNotNull())
+    held_by = F.sequence(F.floor(F.col("_low") / span), F.floor(F.col("_high") / span))
+    asked = between.select(
+        *[F.col(k).alias(f"_a{i}") for i, k in enumerate(group)], "_border", "_low", "_high", F.explode(held_by).alias("_held")
+    )
+    same = [F.col(k).eqNullSafe(F.col(f"_a{i}")) for i, k in enumerate(group)]
+    found = sites.join(asked, [*same, F.col("_part") == F.col("_held"), F.col("col").between(F.col("_low"), F.col("_high"))])
+    return found.select(*group, F.col("_border").alias("_part"), "col", "gap")
+
+
+def euclidean_distance(
+    cells: DataFrame,
+    feature: str,
+    cell_size: float,
+    *,
+    keys: Sequence[str] = (),
+    shape: tuple[int, int] | None = None,
+    span: int = SPAN,
+) -> DataFrame:
+    """Exact distance in metres from each cell to the nearest feature cell.
 
-    out = lines.groupBy(*keys, "row").applyInPandas(envelope, f"{fields}, distance_m double")
+    Pass one finds the nearest feature up or down the column; pass two takes the
+    lower envelope along the row. Columns of more than ``span`` rows and rows of
+    more than ``span`` columns are worked off in stretches, so that no line has
+    to fit a task. ``shape`` (height, width) saves the look at the grid's extent.
+    The result is null where a grid holds no feature.
+    """
+    keys = list(keys)
+    if shape is None:
+        extent = cells.agg(*[F.coalesce(f(c), F.lit(0)) for c in ("row", "col") for f in (F.min, F.max)]).first()
+    else:
+        extent = (0, shape[0] - 1, 0, shape[1] - 1)
+    top, bottom, first, last = (int(v // span) for v in extent)
+    lines = _nearest_in_column(cells, feature, keys, span if bottom > top else None)
+    # short rows share a group, so that a group holds some span cells however narrow the grid is
+    rows = max(1, span // int(extent[3] - extent[2] + 1))
+    group = [*keys, "_band"]
+    if last > first:
+        lines = cut_lineage(lines.withColumn("_part", F.floor(F.col("col") / span)))
+        sites = _sites_by_stretch(lines, keys, span, first, last)
+        lines = lines.withColumn("gap", F.lit(None).cast("double")).unionByName(sites, allowMissingColumns=True)
+        group = [*group, "_part"]
+    types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in cells.select(*keys, "cell_id", "row", "col").schema.fields)
+
+    def envelope(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["row", "col"])
+        row = pdf["row"].to_numpy()
+        known = pdf["gap"].notna().to_numpy()
+        asked = pdf["cell_id"].notna().to_numpy()
+        at, height = pdf["col"].to_numpy("float64"), pdf["gap"].to_numpy("float64") ** 2
+        squared = np.full(len(pdf), np.nan)
+        ends = np.flatnonzero(np.diff(row)) + 1
+        for a, b in zip([0, *ends.tolist()], [*ends.tolist(), len(row)]):
+            k, q = a + np.flatnonzero(known[a:b]), a + np.flatnonzero(asked[a:b])
+            squared[q], _ = _lowest_parabola(at[q], at[k], height[k])
+        return pdf.loc[asked, [*keys, "cell_id", "row", "col"]].assign(distance_m=np.sqrt(squared[asked]) * cell_size)
+
+    lines = lines.withColumn("_band", F.floor(F.col("row") / rows))
+    out = lines.groupBy(*group).applyInPandas(envelope, f"{types}, distance_m double")
     return out.withColumn("distance_m", F.when(~F.isnan("distance_m"), F.col("distance_m")))
 
 

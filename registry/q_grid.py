@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from aridscape.functions.geodesy import with_lonlat, with_utm
 from aridscape.operators import composites, terrain
-from aridscape.operators.distance import rasterize
+from aridscape.operators.distance import euclidean_distance, rasterize
 from aridscape.operators.regrid import SourceRaster, regrid
 from aridscape.sources.export import class_overlay
 from aridscape.sources.grid import GridSpec, block_id, decimate
@@ -202,6 +202,28 @@ def _(v):
     return v.distance.select("cell_id", "distance_m")
 
 
+_LINES = """side AS (SELECT CAST(ceil((max(cell_id) + 1) / 4.0) AS BIGINT) AS n FROM cells),
+lines AS (SELECT 'wide' AS grid, cell_id, cell_id // n AS "row", cell_id % n AS col, p_size = 50 AS wet FROM cells, side
+  UNION ALL SELECT 'tall', cell_id, cell_id % n, cell_id // n, p_size = 50 FROM cells, side)"""
+
+
+@query("g10_distance_lines", sql("cells", f"""SELECT a.grid, a.cell_id, round(min(sqrt((a."row" - b."row") ** 2 + (a.col - b.col) ** 2)) * {RES}, 9) + 0.0 AS distance_m
+  FROM lines a JOIN lines b ON a.grid = b.grid AND b.wet GROUP BY 1, 2""", _LINES))
+def _(v):
+    """Four lines as long as the table allows, worked off in stretches of 64 cells."""
+    n = -(-(v.cells.agg(F.max("cell_id")).first()[0] + 1) // 4)
+    long, short = F.expr(f"cell_id % {n}L"), F.expr(f"cell_id div {n}L")
+    wet = (F.col("p_size") == 50).alias("wet")
+    wet = (F.col("p_size") == 50).alias("wet")
+    wide = v.cells.select("cell_id", short.alias("row"), long.alias("col"), wet)
+    tall = v.cells.select("cell_id", long.alias("row"), short.alias("col"), wet)
+    found = [
+        euclidean_distance(lines, "wet", RES, shape=shape, span=64).select(F.lit(grid).alias("grid"), "cell_id", r9(F.col("distance_m")).alias("distance_m"))
+        for grid, lines, shape in (("wide", wide, (4, n)), ("tall", tall, (n, 4)))
+    ]
+    return found[0].union(found[1])
+
+
 @query("g11_decimate", sql("cells", 'SELECT cell_id, elev FROM cells WHERE "row" % 3 = 0 AND col % 3 = 0'))
 def _(v):
     return decimate(v.cells, 3).select("cell_id", "elev")

@@ -203,7 +203,7 @@ class Views:
     @cached_property
     def distance(self) -> DataFrame:
         flagged = self.cells.withColumn("wet", F.col("p_size") == 50)
-        return euclidean_distance(flagged, "wet", RES).withColumn("distance_m", r9(F.col("distance_m")))
+        return euclidean_distance(flagged, "wet", RES, shape=(self.grid.height, self.grid.width)).withColumn("distance_m", r9(F.col("distance_m")))
 
     @cached_property
     def scenes(self) -> DataFrame:

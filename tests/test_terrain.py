@@ -121,6 +121,40 @@ def test_distance_equals_brute_force(spark):
     np.testing.assert_array_equal(got, expected)
 
 
+@pytest.mark.parametrize("shape,share", [((23, 31), 0.03), ((1, 400), 0.01), ((400, 1), 0.01), ((40, 60), 0.0), ((9, 120), 0.3)])
+def test_lines_in_stretches_equal_brute_force(spark, shape, share):
+    rng = np.random.default_rng(7)
+    mask = rng.random(shape) < share
+    mask[shape[0] // 2, shape[1] // 3] = True
+    df = frame(spark, mask.astype(float)).withColumn("wet", F.col("z") == 1)
+    got = gather(euclidean_distance(df, "wet", 30.0, span=8), "distance_m", shape)
+    rows, cols = np.nonzero(mask)
+    r, c = np.mgrid[0 : shape[0], 0 : shape[1]]
+    expected = np.sqrt(((r[..., None] - rows) ** 2 + (c[..., None] - cols) ** 2).min(axis=-1)) * 30
+    np.testing.assert_array_equal(got, expected)
+
+
+def test_stretches_keep_grids_apart(spark):
+    df = frame(spark, np.zeros((12, 30))).withColumn("g", F.explode(F.array(F.lit("a"), F.lit("b"), F.lit(None).cast("string"))))
+    df = df.withColumn("wet", (F.col("g").isNull()) & (F.col("row") == 3) & (F.col("col") == 20))
+    out = euclidean_distance(df, "wet", 10.0, keys=["g"], span=7)
+    assert out.count() == 3 * 360
+    assert out.where("g IS NOT NULL AND distance_m IS NOT NULL").count() == 0
+    far = out.where("g IS NULL").agg(F.max("distance_m"), F.count("distance_m")).first()
+    assert far[0] == pytest.approx(10 * np.hypot(8, 20)) and far[1] == 360
+
+
+def test_ragged_lines_give_each_cell_its_distance(spark):
+    df = frame(spark, np.zeros((2, 40))).where("row = 0 OR col < 5").withColumn("wet", (F.col("row") == 0) & (F.col("col") == 39))
+    out = {(r["row"], r["col"]): r["distance_m"] for r in euclidean_distance(df, "wet", 1.0, span=8).collect()}
+    assert len(out) == 45 and out[0, 0] == 39
+
+
+def test_no_cells_give_no_distances(spark):
+    df = frame(spark, np.zeros((2, 2))).withColumn("wet", F.col("z") == 1)
+    assert euclidean_distance(df.where("cell_id < 0"), "wet", 1.0).count() == 0
+
+
 def test_distance_is_per_grid_and_undefined_without_features(spark):
     df = frame(spark, np.zeros((4, 5))).withColumn("g", F.explode(F.array(F.lit(1), F.lit(2))))
     df = df.withColumn("wet", (F.col("g") == 1) & (F.col("cell_id") == 0))
