@@ -192,18 +192,20 @@ def write(docs: DataFrame, path: str, tokenizer: str, drops_space: bool, end_id:
     def encode(batches):
         codes = canonical_codes(lengths)
         for batch in _small(batches):
-            ids, bounds = _buffers(batch.column(2), dtype)
+            ids, bounds = _buffers(batch.column("ids"), dtype)
             packed, begin, inside = encode_documents(ids, bounds, codes, lengths)
             parts = [packed[a:b].tobytes() for a, b in zip(begin[:-1].tolist(), begin[1:].tolist())]
             marks = [inside[a:b:CHECKPOINT] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(np.diff(bounds)), pa.array(parts, pa.binary()), pa.array(marks, pa.list_(pa.int64()))],
-                ["doc_id", "text_hash", "n", "bits", "marks"],
+                [batch.column("part"), batch.column("doc_id"), pa.array(np.diff(bounds)), pa.array(parts, pa.binary()), pa.array(marks, pa.list_(pa.int64()))],
+                ["part", "doc_id", "n", "bits", "marks"],
             )
 
-    coded = staged.mapInArrow(encode, "doc_id long, text_hash long, n long, bits binary, marks array<long>")
+    # ids are ordered before they are coded: the sample for the ranges then only reads the staged files
     parts = max(1, -(-int(counts.sum()) // part_ids))
-    ordered = coded.repartitionByRange(parts, "doc_id", "text_hash").sortWithinPartitions("doc_id", "text_hash").withColumn("part", F.spark_partition_id())
+    ordered = staged.repartitionByRange(parts, "doc_id", "text_hash").sortWithinPartitions("doc_id", "text_hash")
+    numbered = ordered.select(F.spark_partition_id().alias("part"), "doc_id", "ids")
+    coded = numbered.mapInArrow(encode, "part int, doc_id long, n long, bits binary, marks array<long>")
 
     def blocks(batches):
         held, ids_held, number, part = [], 0, 0, 0
@@ -236,7 +238,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, drops_space: bool, end_id:
             yield block()
 
     schema = "part int, block int, n_ids long, doc_ids array<long>, counts array<long>, checkpoints array<long>, payload binary"
-    ordered.mapInArrow(blocks, schema).write.mode("overwrite").option("compression", "zstd").parquet(f"{path}/blocks")
+    coded.mapInArrow(blocks, schema).write.mode("overwrite").option("compression", "zstd").parquet(f"{path}/blocks")
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:

@@ -9,6 +9,8 @@ at any white space (vocabularies that drop it).
 from __future__ import annotations
 
 import functools
+import itertools
+import json
 import os
 
 import numpy as np
@@ -22,6 +24,18 @@ KEPT = 1_000_000
 #: Texts per call of the tokenizer, whose results are large while they live.
 CALL = 2048
 
+#: Fixed value: the public pattern of vocabularies that split letters, digits and signs.
+RUNS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: New pieces go to the tokenizer several in one text, each followed by this sign.
+MARK = "\x01"
+JOINED = 6
+
+_KIND = np.zeros(256, np.uint8)
+_KIND[33:127] = 3
+_KIND[[*range(65, 91), *range(97, 123)]] = 1
+_KIND[48:58] = 2
+_KIND[39] = 0
+
 
 class Store:
     """Ids of pieces by hash: sorted hashes, place and number of each piece's ids."""
@@ -57,6 +71,10 @@ class Store:
 
 
 class Encoder:
+    #: Pieces end where the kind of sign changes; A-Z counts as a-z; the id of MARK.
+    by_kind = lower = False
+    mark = None
+
     def __init__(self, path: str, drops_space: bool):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
@@ -65,6 +83,12 @@ class Encoder:
         self.tokenizer.encode_special_tokens = True
         self.dtype = np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
         self.drops_space = drops_space
+        parts = json.loads(self.tokenizer.to_str())
+        if drops_space and json.dumps(RUNS) in json.dumps(parts["pre_tokenizer"]):
+            self.by_kind = True
+            self.lower = '"Lowercase"' in json.dumps(parts["normalizer"])
+            mark = self.tokenizer.encode(MARK, add_special_tokens=False).ids
+            self.mark = mark[0] if len(mark) == 1 else None
         self._forget()
 
     def _forget(self) -> None:
@@ -74,13 +98,33 @@ class Encoder:
         """All ids of the texts, and how many each has."""
         flat, counts = [np.zeros(0, self.dtype)], [np.zeros(0, np.int64)]
         for at in range(0, len(texts), CALL):
-            found = [e.ids for e in self.tokenizer.encode_batch_fast(texts[at : at + CALL], add_special_tokens=False)]
-            counts.append(np.fromiter(map(len, found), np.int64, len(found)))
-            flat.append(np.fromiter((x for ids in found for x in ids), self.dtype, int(counts[-1].sum())))
+            some = texts[at : at + CALL]
+            joined = self.mark is not None and not any(MARK in t for t in some)
+            if joined:
+                gap = f" {MARK} "
+                some = [gap.join(some[k : k + JOINED]) + gap for k in range(0, len(some), JOINED)]
+            found = [e.ids for e in self.tokenizer.encode_batch_fast(some, add_special_tokens=False)]
+            length = np.fromiter(map(len, found), np.int64, len(found))
+            ids = np.fromiter(itertools.chain.from_iterable(found), self.dtype, int(length.sum()))
+            if joined:
+                ends = ids == self.mark
+                length = np.diff(np.flatnonzero(ends), prepend=-1) - 1
+                ids = ids[~ends]
+            counts.append(length)
+            flat.append(ids)
         return np.concatenate(flat), np.concatenate(counts)
 
     def _pieces(self, s: Slice) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Begin, end and row of the pieces of a slice."""
+        if self.by_kind and len(s.starts):
+            kind = _KIND[s.data]
+            word = np.zeros(len(kind), bool)
+            word[s.starts] = True
+            cut = word.copy()
+            cut[1:] |= (kind[1:] != kind[:-1]) & (kind[1:] > 0) & (kind[:-1] > 0)
+            begin = np.flatnonzero(cut)
+            of = np.cumsum(word[begin]) - 1
+            return begin, np.minimum(s.ends[of], np.append(begin[1:], len(kind))), s.row[of]
         if self.drops_space:
             return s.starts, s.ends, s.row
         first = np.zeros(len(s.starts), bool)
@@ -121,7 +165,7 @@ class Encoder:
             if len(direct):
                 plain = ~np.isin(row, direct)
                 begin, end, row = begin[plain], end[plain], row[plain]
-            hashes, at, inverse = np.unique(s.hashes(begin, end), return_index=True, return_inverse=True)
+            hashes, at, inverse = np.unique(s.hashes(begin, end, self.lower), return_index=True, return_inverse=True)
             if len(self.young.known) > KEPT:
                 self.old, self.young = self.young, Store(self.dtype)
             slot = self.young.find(hashes)

@@ -49,3 +49,19 @@ def test_ids_equal_the_tokenizer(name, drops_space):
     ids, bounds = Encoder(public.path(name), drops_space).encode(pa.array(rows))
     for i, text in enumerate(rows):
         assert ids[bounds[i] : bounds[i + 1]].tolist() == plain.encode(text or "", add_special_tokens=False).ids, repr(text)
+
+
+def test_ids_where_letters_digits_and_signs_meet():
+    tokenizers = pytest.importorskip("tokenizers")
+    public = pytest.importorskip("public_tokenizers")
+    from aridscape.llm.tokens import MARK, Encoder
+
+    r = random.Random(5)
+    pieces = ["a", "Bc", "é", "e\u0301", "'", "'s", "'S", "'re", ".", "--", "…", "5", "½", " ", "\n", "<", "\u0338", MARK, "\x00", "İ", "Σ", "\u200d"]
+    rows = ["".join(r.choices(pieces, k=r.randrange(14))) for _ in range(4000)]
+    path = public.path("word_bpe_49k.json")
+    plain = tokenizers.Tokenizer.from_file(path)
+    plain.encode_special_tokens = True
+    ids, bounds = Encoder(path, True).encode(pa.array(rows))
+    want = [e.ids for e in plain.encode_batch_fast(rows, add_special_tokens=False)]
+    assert [ids[a:b].tolist() for a, b in zip(bounds[:-1], bounds[1:])] == want
