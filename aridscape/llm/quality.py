@@ -124,6 +124,20 @@ def chi_square_quantile(q: float, p: int) -> float:
     return p * (1 - c + NormalDist().inv_cdf(q) * math.sqrt(c)) ** 3
 
 
+def distance_limit(n: F.Column, share: float, p: int) -> F.Column:
+    """Limit of the squared distance under an estimate from ``n`` rows that a
+    ``share`` of regular rows exceeds: a quantile of Hotelling's T-squared (the F
+    quantile by the cube-root normal approximation). It falls to the chi-square
+    quantile as rows grow and is null where so few rows exclude no distance."""
+    z = NormalDist().inv_cdf(1 - share)
+    a, free = 2 / (9 * p), F.greatest(n - p, F.lit(1)).cast("double")
+    b = F.lit(2 / 9) / free
+    square = (1 - b) * (1 - b) - z * z * b
+    half = (1 - b) * (1 - a)
+    root = (half + F.sqrt(F.greatest(half * half - square * ((1 - a) ** 2 - z * z * a), F.lit(0.0)))) / square
+    return F.when((n > p) & (square > 0), F.pow(root, F.lit(3.0)) * p * (n - 1) * (n + 1) / (n * free))
+
+
 PAIRS = [(i, j) for i in range(len(FEATURES)) for j in range(i, len(FEATURES))]
 #: Least standard deviations, so that a statistic that is constant in a group does not reject by a single character.
 FLOOR = [0.25, 0.05, 0.03, 0.04, 0.04, 0.06]
@@ -216,9 +230,9 @@ def judged(docs: DataFrame, min_rows: int = 200, outlier_share: float = 1e-9) ->
 
     Groups are language and source; one with fewer than ``min_rows`` rows is
     judged with the other small groups of its language, and languages that are
-    still small together. With fewer than ``min_rows`` rows left, only the fixed
-    limits decide. ``outlier_share`` is the share of regular documents that the
-    distance limit may reject.
+    still small together; if those are too few as well, by the estimate of all
+    rows. ``outlier_share`` is the share of regular documents that the distance
+    limit may reject; the limit is wider the fewer rows an estimate rests on.
     """
     stats = with_features(statistics_table(docs))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED_PERCENT * F.col("n_words"))
@@ -240,18 +254,23 @@ def judged(docs: DataFrame, min_rows: int = 200, outlier_share: float = 1e-9) ->
             .when(F.col("lang_n") >= min_rows, label("lang"))
             .otherwise(F.lit("all"))
             .alias("grp"),
+            F.col("n").alias("g_rows"),
         )
     )
     groups = written(groups, "groups")
-    joined = stats.join(groups, F.col("lang").eqNullSafe(F.col("g_lang")) & F.col("source").eqNullSafe(F.col("g_source")), "left").drop("g_lang", "g_source")
+    joined = stats.join(groups, F.col("lang").eqNullSafe(F.col("g_lang")) & F.col("source").eqNullSafe(F.col("g_source")), "left").drop("g_lang", "g_source", "g_rows")
     regular = joined.where("NOT base_failed")
-    sizes = regular.groupBy("grp").agg(F.count("*").alias("members"))
-    estimates = covariance_estimates(regular.select("grp", *FEATURES))
-    estimates = estimates.join(sizes, "grp").where(F.col("members") >= min_rows).drop("members")
-    limit = chi_square_quantile(1 - outlier_share, len(FEATURES))
+    last = groups.where("grp = 'all'").agg(F.sum("g_rows")).first()[0]
+    judges = regular.select("grp", *FEATURES)
+    if last and last < min_rows:
+        judges = judges.union(regular.where("grp <> 'all'").select(F.lit("all"), *FEATURES))
+    sizes = judges.groupBy("grp").agg(F.count("*").alias("members"))
+    estimates = covariance_estimates(judges).join(sizes, "grp")
+    estimates = estimates.withColumn("limit", distance_limit(F.col("members"), outlier_share, len(FEATURES))).drop("members")
     out = joined.join(estimates, "grp", "left").withColumn("distance", _distance() / F.col("scale"))
-    out = out.withColumn("kept", ~F.col("base_failed") & (F.coalesce(F.col("distance"), F.lit(0.0)) <= limit))
-    return out.drop("centre", "inverse", "scale", *EXTRA)
+    far = F.coalesce(F.col("distance") > F.col("limit"), F.lit(False))
+    out = out.withColumn("kept", ~F.col("base_failed") & ~far)
+    return out.drop("centre", "inverse", "scale", "limit", *EXTRA)
 
 
 def filtered(docs: DataFrame, **options) -> DataFrame:

@@ -2,6 +2,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import functions as F
 
 from aridscape.llm import quality
 
@@ -47,6 +48,25 @@ def test_rejects_junk_and_keeps_prose(documents):
     assert sorted(r.doc_id for r in kept.collect()) == sorted([*range(260), 0, 0])
 
 
+def test_a_last_small_pool_is_judged_by_all_rows(documents):
+    few = [(1000 + i, prose(400 + i, 60 + i), f"l{i % 3}", "q") for i in range(9)]
+    few += [(2000, prose(7, 80).replace(" ", "### $$$ "), "l1", "q")]
+    rows = {r.doc_id: r for r in quality.judged(documents(sample() + few), min_rows=50).collect()}
+    assert not rows[2000].kept and not rows[2000].base_failed and rows[2000].distance is not None
+    assert all(rows[1000 + i].kept for i in range(9)) and all(rows[i].kept for i in range(260))
+    assert all(r.kept for r in quality.judged(documents(few[:4])).collect())
+
+
+def test_limit_nears_the_chi_square_quantile(spark):
+    n = spark.createDataFrame([(3,), (10,), (50,), (200,), (10**12,)], "n long")
+    got = [r[0] for r in n.select(quality.distance_limit(F.col("n"), 1e-9, 6)).collect()]
+    assert got[:2] == [None, None] and got[2] > got[3] > got[4]
+    assert abs(got[4] / quality.chi_square_quantile(1 - 1e-9, 6) - 1) < 1e-6
+    # the 0.95 quantile of F(6, 20) is 2.599
+    t = n.limit(1).select(quality.distance_limit(F.lit(26).cast("long"), 0.05, 6)).first()[0]
+    assert abs(t * 26 * 20 / (6 * 25 * 27) - 2.599) < 0.02
+
+
 def test_estimates_against_brute_force(spark):
     """Concentration steps end in a fixed point that numpy confirms."""
     r = np.random.default_rng(2)
